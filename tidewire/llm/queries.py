@@ -50,6 +50,59 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (fai
 FROM l"""
 
 
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidewire.llm.url_filter import filter_urls
+
+    return filter_urls(_table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict", "by")
+
+
+OP2_SQL = r"""
+WITH RECURSIVE tags AS (
+  SELECT url AS src, unnest(regexp_extract_all(regexp_replace(html, '(?s)<!--.*?-->', '', 'g'), '(?is)<(?:link|meta)\b[^>]*>')) AS tag
+  FROM pages WHERE regexp_matches(html, '(?i)canonical|refresh')),
+hrefs AS (
+  SELECT src, trim(CASE
+      WHEN lower(tag) LIKE '<link%' AND regexp_matches(tag, '(?is)\brel\s*=\s*["'']?[^"''>]*\bcanonical\b') THEN regexp_extract(tag, '(?is)\bhref\s*=\s*["'']?([^"''\s>]*)', 1)
+      WHEN lower(tag) LIKE '<meta%' AND regexp_matches(tag, '(?is)\bhttp-equiv\s*=\s*["'']?refresh') THEN regexp_extract(tag, '(?is)\bcontent\s*=\s*"[^"]*url\s*=\s*([^"]*)"', 1)
+    END) AS dst FROM tags),
+links AS (SELECT DISTINCT src, replace(dst, '&amp;', '&') AS dst FROM hrefs WHERE dst LIKE '%://%'),
+urls AS (SELECT url FROM pages UNION SELECT dst FROM links),
+cut AS (
+  SELECT url, CASE WHEN url LIKE '%://%' THEN translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE '' END AS host,
+         CASE WHEN url LIKE '%://%' THEN regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1) ELSE '' END AS path,
+         CASE WHEN url LIKE '%://%' THEN regexp_extract(url, '(?s)^.*?://[^/?#]*[^?#]*(\??[^#]*)', 1) ELSE '' END AS query
+  FROM urls),
+rules(verdict, h, p) AS (VALUES ('allow', 'com', '/'), ('block', 'example.com', '/en/'), ('allow', 'www.example.com', '/en/'), ('block', 'net', '/es/'), ('block', 'net', '/fr/')),
+won AS (
+  SELECT c.url, arg_max(r.h || r.p, length(r.h || r.p)) AS rule, arg_max(r.verdict, length(r.h || r.p)) AS verdict
+  FROM cut c JOIN rules r ON (c.host = r.h OR ends_with(c.host, '.' || r.h)) AND starts_with(c.path, r.p) GROUP BY c.url),
+nodes AS (SELECT cut.*, host || path || query AS node, rule, verdict FROM cut LEFT JOIN won USING (url)),
+e AS (SELECT a.node AS a, b.node AS b FROM links JOIN nodes a ON a.url = src JOIN nodes b ON b.url = dst WHERE a.host <> '' AND b.host <> ''),
+bad(node) AS (
+  SELECT node FROM nodes WHERE verdict = 'block' AND node IN (SELECT a FROM e UNION SELECT b FROM e)
+  UNION SELECT CASE WHEN e.a = bad.node THEN e.b ELSE e.a END FROM bad JOIN e ON e.a = bad.node OR e.b = bad.node)
+SELECT page_id, host, path, n.rule, coalesce(n.verdict, CASE WHEN bad.node IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict,
+       CASE WHEN n.verdict IS NOT NULL THEN 'rule' WHEN bad.node IS NOT NULL THEN 'alias' ELSE 'default' END AS "by"
+FROM pages LEFT JOIN nodes n ON n.url IS NOT DISTINCT FROM pages.url LEFT JOIN bad ON bad.node = n.node"""
+
+
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidewire.llm.warc import decide, read_archives, write_archives
+    from tidewire.session import stored
+
+    archives = stored(write_archives(decide(_table(spark, sf_dir, "pages"))), "warc")
+    out = read_archives(archives).where("reason IS NULL")
+    return out.select(F.expr("try_cast(record_id AS long)").alias("page_id"), "payload_bytes", "payload_digest", F.col("warc_type").alias("record_type"), F.col("refers_to").cast("long").alias("refers_to"))
+
+
+OP7_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, octet_length(encode(coalesce(html, '')))::BIGINT AS n FROM pages),
+k AS (SELECT html, max(page_id) AS kept FROM p WHERE n >= 1000 GROUP BY html)
+SELECT page_id, n AS payload_bytes, sha1(p.html) AS payload_digest, CASE WHEN kept IS NULL OR kept = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN kept <> page_id THEN kept END AS refers_to
+FROM p LEFT JOIN k ON k.html = p.html AND p.n >= 1000"""
+
+
 def op6_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -60,8 +113,8 @@ def op6_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_quality_rules, op6_sentence_pieces)}
+    return {f.__name__: f for f in (op2_url_filter, op4_quality_rules, op6_sentence_pieces, op7_warc)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_quality_rules": OP4_SQL}
+    return {"op2_url_filter": OP2_SQL, "op4_quality_rules": OP4_SQL, "op7_warc": OP7_SQL}
