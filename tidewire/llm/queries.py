@@ -50,6 +50,13 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (fai
 FROM l"""
 
 
+def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidewire.llm.simhash import near_duplicates
+
+    out = near_duplicates(_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidewire.llm.url_filter import filter_urls
 
@@ -113,7 +120,7 @@ def op6_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_url_filter, op4_quality_rules, op6_sentence_pieces, op7_warc)}
+    return {f.__name__: f for f in (op1_simhash, op2_url_filter, op4_quality_rules, op6_sentence_pieces, op7_warc)}
 
 
 def oracle_sql() -> dict[str, str]:
