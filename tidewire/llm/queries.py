@@ -119,9 +119,34 @@ def op6_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidewire.llm.decontaminate import contained_items
+
+    out = contained_items(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return out.select("doc_id", "item_id", "n_found", "n_shingles")
+
+
+OP9_SQL = r"""
+WITH t AS (
+  SELECT 'd' AS kind, doc_id AS id, text FROM documents UNION ALL SELECT 'b', item_id, text FROM benchmark),
+w AS (
+  SELECT kind, id, list_filter(regexp_split_to_array(regexp_replace(lower(text), '[\x00-\x20!-/:-@\[-`{-\x7F]+', ' ', 'g'), ' '), lambda x: x <> '') AS words FROM t),
+b AS (SELECT id, words, least(5, len(words)) AS width FROM w WHERE kind = 'b' AND len(words) > 0),
+bg AS (
+  SELECT DISTINCT id, width, array_to_string(words[i:i + width - 1], ' ') AS gram
+  FROM (SELECT *, unnest(range(1, len(words) - width + 2)) AS i FROM b)),
+dg AS (
+  SELECT DISTINCT id, width, array_to_string(words[i:i + width - 1], ' ') AS gram
+  FROM (SELECT w.id, width, words, unnest(range(1, len(words) - width + 2)) AS i FROM w CROSS JOIN (SELECT DISTINCT width FROM b) WHERE kind = 'd' AND len(words) >= width)),
+n AS (SELECT id, count(*) AS n FROM bg GROUP BY id)
+SELECT dg.id AS doc_id, bg.id AS item_id, count(*) AS n_found, any_value(n.n) AS n_shingles
+FROM dg JOIN bg USING (width, gram) JOIN n ON n.id = bg.id
+GROUP BY dg.id, bg.id HAVING count(*) * 5 >= any_value(n.n) * 4"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash, op2_url_filter, op4_quality_rules, op6_sentence_pieces, op7_warc)}
+    return {f.__name__: f for f in (op1_simhash, op2_url_filter, op4_quality_rules, op6_sentence_pieces, op7_warc, op9_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_url_filter": OP2_SQL, "op4_quality_rules": OP4_SQL, "op7_warc": OP7_SQL}
+    return {"op2_url_filter": OP2_SQL, "op4_quality_rules": OP4_SQL, "op7_warc": OP7_SQL, "op9_decontamination": OP9_SQL}
