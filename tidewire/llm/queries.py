@@ -144,8 +144,15 @@ FROM dg JOIN bg USING (width, gram) JOIN n ON n.id = bg.id
 GROUP BY dg.id, bg.id HAVING count(*) * 5 >= any_value(n.n) * 4"""
 
 
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidewire.llm.classifier import classify, fit
+
+    docs = _table(spark, sf_dir, "documents")
+    return classify(docs, fit(docs, _table(spark, sf_dir, "labels")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash, op2_url_filter, op4_quality_rules, op6_sentence_pieces, op7_warc, op9_decontamination)}
+    return {f.__name__: f for f in (op1_simhash, op2_url_filter, op4_quality_rules, op6_sentence_pieces, op7_warc, op9_decontamination, op10_quality_classifier)}
 
 
 def oracle_sql() -> dict[str, str]:
