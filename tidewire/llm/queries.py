@@ -110,6 +110,12 @@ SELECT page_id, n AS payload_bytes, sha1(p.html) AS payload_digest, CASE WHEN ke
 FROM p LEFT JOIN k ON k.html = p.html AND p.n >= 1000"""
 
 
+def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidewire.llm.html_text import extract
+
+    return extract(_table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
 def op6_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -152,7 +158,7 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash, op2_url_filter, op4_quality_rules, op6_sentence_pieces, op7_warc, op9_decontamination, op10_quality_classifier)}
+    return {f.__name__: f for f in (op1_simhash, op2_url_filter, op4_quality_rules, op5_html_text, op6_sentence_pieces, op7_warc, op9_decontamination, op10_quality_classifier)}
 
 
 def oracle_sql() -> dict[str, str]:
