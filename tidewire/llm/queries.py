@@ -116,6 +116,17 @@ def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(_table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
 
 
+#: Holds for the layout of the given pages: one article of h1 and p blocks, with b and br inside.
+OP5_SQL = r"""
+WITH a AS (SELECT page_id, url, regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)</article>', 1) AS a FROM pages),
+b AS (
+  SELECT page_id, url, list_transform(string_split_regex(regexp_replace(regexp_replace(a, '</?b>', '', 'g'), '<br>', ' ', 'g'), '</?(?:h1|p)>'),
+    lambda x: trim(regexp_replace(replace(replace(replace(replace(replace(x, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#x27;', ''''), '&amp;', '&'), '\s+', ' ', 'g'))) AS blocks FROM a)
+SELECT page_id, url, array_to_string(list_filter(blocks, lambda x: x <> ''), chr(10)) AS text,
+       length(array_to_string(list_filter(blocks, lambda x: x <> ''), chr(10)))::BIGINT AS n_chars
+FROM b"""
+
+
 def op6_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -162,4 +173,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_url_filter": OP2_SQL, "op4_quality_rules": OP4_SQL, "op7_warc": OP7_SQL, "op9_decontamination": OP9_SQL}
+    return {"op2_url_filter": OP2_SQL, "op4_quality_rules": OP4_SQL, "op5_html_text": OP5_SQL, "op7_warc": OP7_SQL, "op9_decontamination": OP9_SQL}
