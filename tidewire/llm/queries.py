@@ -136,6 +136,34 @@ def op6_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidewire.llm.line_dedup import drop_repeated_lines
+
+    out = drop_repeated_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+OP8_SQL = r"""
+WITH raw AS (SELECT doc_id, coalesce(text, '') AS text, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+l AS (
+  SELECT doc_id, i, ls[i] AS line, list_sort(list_distinct(list_filter(regexp_split_to_array(lower(ls[i]), '[\x20\x09-\x0D]+'), lambda x: x <> ''))) AS t
+  FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM raw)),
+s AS (SELECT t, len(t) AS n, min(row(doc_id, i)) AS place FROM l WHERE len(t) > 0 GROUP BY t),
+w AS (SELECT place, n, unnest(t) AS w FROM s),
+f AS (SELECT w, count(*) AS c FROM w GROUP BY w),
+p AS (SELECT place, n, w FROM w JOIN f USING (w) QUALIFY row_number() OVER (PARTITION BY place ORDER BY c, w) <= n - (4 * n + 4) // 5 + 1),
+pairs AS (SELECT DISTINCT y.place AS y, x.place AS x FROM p y JOIN p x ON x.w = y.w AND x.place < y.place AND 5 * y.n >= 4 * x.n AND 5 * x.n >= 4 * y.n),
+bad AS (
+  SELECT DISTINCT y AS place FROM pairs JOIN s a ON a.place = y JOIN s b ON b.place = x
+  WHERE 9 * len(list_intersect(a.t, b.t)) >= 4 * (a.n + b.n)),
+v AS (
+  SELECT l.doc_id, l.i, l.line, len(l.t) > 0 AS word, coalesce(len(l.t) > 0 AND (row(l.doc_id, l.i) <> s.place OR bad.place IS NOT NULL), false) AS gone
+  FROM l LEFT JOIN s ON s.t = l.t LEFT JOIN bad ON bad.place = s.place AND bad.place = row(l.doc_id, l.i))
+SELECT doc_id, count_if(word)::BIGINT AS n_lines, count_if(gone)::BIGINT AS n_removed,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
+FROM v GROUP BY doc_id"""
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidewire.llm.decontaminate import contained_items
 
@@ -169,8 +197,8 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash, op2_url_filter, op4_quality_rules, op5_html_text, op6_sentence_pieces, op7_warc, op9_decontamination, op10_quality_classifier)}
+    return {f.__name__: f for f in (op1_simhash, op2_url_filter, op4_quality_rules, op5_html_text, op6_sentence_pieces, op7_warc, op8_line_dedup, op9_decontamination, op10_quality_classifier)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_url_filter": OP2_SQL, "op4_quality_rules": OP4_SQL, "op5_html_text": OP5_SQL, "op7_warc": OP7_SQL, "op9_decontamination": OP9_SQL}
+    return {"op2_url_filter": OP2_SQL, "op4_quality_rules": OP4_SQL, "op5_html_text": OP5_SQL, "op7_warc": OP7_SQL, "op8_line_dedup": OP8_SQL, "op9_decontamination": OP9_SQL}
