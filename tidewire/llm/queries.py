@@ -12,6 +12,13 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_repeated_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidewire.llm.repeated_text import remove_repeats
+
+    out = remove_repeats(_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidewire.llm.quality_rules import quality_rules
 
@@ -197,7 +204,7 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash, op2_url_filter, op4_quality_rules, op5_html_text, op6_sentence_pieces, op7_warc, op8_line_dedup, op9_decontamination, op10_quality_classifier)}
+    return {f.__name__: f for f in (op1_simhash, op2_url_filter, op3_repeated_text, op4_quality_rules, op5_html_text, op6_sentence_pieces, op7_warc, op8_line_dedup, op9_decontamination, op10_quality_classifier)}
 
 
 def oracle_sql() -> dict[str, str]:
