@@ -46,10 +46,11 @@ def _powers(n: int, base: int) -> np.ndarray:
     """base ** 0 .. n - 1 modulo 2 ** 64, by doubling."""
     out = np.ones(max(n, 1), np.uint64)
     size, step = 1, np.uint64(base)
-    while size < n:
-        top = min(size, n - size)
-        out[size : size + top] = out[:top] * step
-        size, step = size + top, step * step
+    with np.errstate(over="ignore"):
+        while size < n:
+            top = min(size, n - size)
+            out[size : size + top] = out[:top] * step
+            size, step = size + top, step * step
     return out
 
 

@@ -28,7 +28,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewire.llm.decontaminate import _mix, _powers
-from tidewire.session import stored
 
 DEPTH, DIGIT = 50, 20
 SIDE = DEPTH - DIGIT
@@ -36,15 +35,20 @@ WIDTH = DEPTH + SIDE  # bytes of an anchor's surroundings
 BASE = 0x100000001B3
 CHUNK, PASS = 1 << 23, 1 << 16
 LAST = (1 << 63) - 1
-HEAD = np.dtype([("digit", "<u8"), ("doc", "<i8"), ("copy", "<u4"), ("at", "<u4")])
-AROUND = np.dtype([("digit", "<u8"), ("doc", "<i8"), ("copy", "<u4"), ("at", "<u4"), ("left", "u1"), ("right", "u1"), ("text", "u1", (WIDTH,))])
+#: Packed rows. The first digit is 32 bits of a hash beside those that chose the bucket: a chance hit of two digits
+#: only sends an anchor on to the second pass, which compares bytes.
+HEAD = np.dtype([("digit", "<u4"), ("doc", "<i8"), ("copy", "<u4"), ("at", "<u4")])
+PLACE = np.dtype([("doc", "<i8"), ("copy", "<u4"), ("at", "<u4")])
+SPAN = np.dtype([("doc", "<i8"), ("copy", "<u4"), ("start", "<u4"), ("stop", "<u4")])
+AROUND = np.dtype([("doc", "<i8"), ("copy", "<u4"), ("at", "<u4"), ("left", "u1"), ("right", "u1"), ("text", "u1", (WIDTH,))])
+TEXT = np.dtype([("doc", "<i8"), ("copy", "<u4"), ("null", "u1"), ("size", "<u4")])
 
 
 def _pack(rows: np.ndarray) -> bytes:
     """Columns of a record array one after the other, compressed."""
     import zstandard
 
-    return zstandard.ZstdCompressor(level=1).compress(b"".join(np.ascontiguousarray(rows[n]).tobytes() for n in rows.dtype.names))
+    return zstandard.ZstdCompressor(level=3).compress(b"".join(np.ascontiguousarray(rows[n]).tobytes() for n in rows.dtype.names))
 
 
 def _unpack(data: bytes, kind: np.dtype) -> np.ndarray:
@@ -111,13 +115,18 @@ def _chunks(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 begin, size = i + 1, 0
 
 
-def _dealt(rows: np.ndarray, buckets: int, kind: int) -> Iterator[tuple[int, int, bytes]]:
-    """(kind, bucket, packed rows) by digit."""
-    bucket = (rows["digit"] >> np.uint64(32)).astype(np.int64) % buckets
+def _home(doc: np.ndarray, copy: np.ndarray, buckets: int) -> np.ndarray:
+    """Bucket of a document."""
+    with np.errstate(over="ignore"):
+        return (_mix(doc.astype(np.uint64) * np.uint64(BASE) + copy.astype(np.uint64)) >> np.uint64(33)).astype(np.int64) % buckets
+
+
+def _dealt(rows: np.ndarray, bucket: np.ndarray, kind: int) -> Iterator[tuple[int, int, bytes]]:
+    """(kind, bucket, packed rows) by bucket; rows keep their order."""
     order = np.argsort(bucket, kind="stable")
     rows, bucket = rows[order], bucket[order]
-    edge = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
-    for a, b in zip(edge.tolist(), [*edge[1:].tolist(), len(rows)], strict=True):
+    edge = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(rows) else np.empty(0, np.int64)
+    for a, b in zip(edge.tolist(), [*edge[1:].tolist(), len(rows)], strict=False):
         yield kind, int(bucket[a]), _pack(rows[a:b])
 
 
@@ -127,8 +136,59 @@ def _batch(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
 
 
 PACKED = "kind int, bucket int, data binary"
-PLACES = "doc bigint, copy bigint, at bigint"
-SPANS = "doc bigint, copy bigint, start bigint, stop bigint"
+#: Kinds of packed rows.
+DIGITS, KNOWN, TEXTS, PLACES, AROUNDS, SPANS = range(6)
+
+
+def _texts(buckets: int):  # noqa: ANN202
+    """Whole texts by the bucket of their document: a head per row, then the bytes."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        pack = zstandard.ZstdCompressor(level=3)
+        for chunk in _chunks(batches):
+            data = [x.as_py() or b"" for x in chunk.column(2)]
+            heads = np.empty(len(data), TEXT)
+            heads["doc"], heads["copy"], heads["null"] = chunk.column(0).to_numpy(), chunk.column(1).to_numpy(), chunk.column(3).to_numpy(zero_copy_only=False)
+            heads["size"] = [len(x) for x in data]
+            bucket = _home(heads["doc"], heads["copy"], buckets)
+            out = []
+            for b in np.unique(bucket).tolist():
+                own = np.flatnonzero(bucket == b)
+                out.append((TEXTS, b, pack.compress(len(own).to_bytes(8, "little") + heads[own].tobytes() + b"".join(data[i] for i in own.tolist()))))
+            yield _batch(out)
+
+    return run
+
+
+def _read_texts(blob: bytes) -> Iterator[tuple[int, int, bool, bytes]]:
+    import zstandard
+
+    raw = zstandard.ZstdDecompressor().decompress(blob)
+    n = int.from_bytes(raw[:8], "little")
+    heads = np.frombuffer(raw, TEXT, n, 8)
+    at = 8 + n * TEXT.itemsize
+    for doc, copy, null, size in heads.tolist():
+        yield doc, copy, bool(null), raw[at : at + size]
+        at += size
+
+
+def _gathered(batches: Iterable[pa.RecordBatch], kind: int, dtype: np.dtype) -> tuple[list[bytes], dict[tuple[int, int], np.ndarray]]:
+    """(packed texts, rows of the other kind by document) of a task's buckets."""
+    texts, parts = [], []
+    for batch in batches:
+        for k, data in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            if k == TEXTS:
+                texts.append(data)
+            elif k == kind:
+                parts.append(_unpack(data, dtype))
+    if not parts:
+        return texts, {}
+    rows = np.concatenate(parts)
+    rows = rows[np.lexsort((rows["copy"], rows["doc"]))]
+    edge = np.flatnonzero(np.r_[True, (rows["doc"][1:] != rows["doc"][:-1]) | (rows["copy"][1:] != rows["copy"][:-1])])
+    return texts, {(int(rows["doc"][a]), int(rows["copy"][a])): rows[a:b] for a, b in zip(edge.tolist(), [*edge[1:].tolist(), len(rows)], strict=True)}
 
 
 def _groups(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -137,118 +197,132 @@ def _groups(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.cumsum(new) - 1, np.flatnonzero(new)
 
 
-def _several(rows: np.ndarray) -> np.ndarray:
-    """For rows sorted by digit: whether the row's digit is in two documents or more."""
-    group, first = _groups(rows["digit"])
-    low, high = np.minimum.reduceat(rows["doc"], first), np.maximum.reduceat(rows["doc"], first)
-    return (low < high)[group]
+def _several(keys: np.ndarray, docs: np.ndarray) -> np.ndarray:
+    """For rows sorted by key: whether the row's key is in two documents or more."""
+    if not len(keys):
+        return np.empty(0, bool)
+    group, first = _groups(keys)
+    return (np.minimum.reduceat(docs, first) < np.maximum.reduceat(docs, first))[group]
 
 
 def _first_digits(buckets: int):  # noqa: ANN202
-    """Anchors of each chunk: what the chunk itself knows to survive (kind 1), and the rest by bucket (kind 0)."""
+    """Anchors of each chunk: those the chunk itself knows to survive (KNOWN), and the rest (DIGITS) by digit."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in _chunks(batches):
-            parts = []
+            parts, digits = [], []
             for i in range(chunk.num_rows):
-                data = np.frombuffer(chunk.column(2)[i].as_py() or b"", np.uint8)
-                at, digit = _anchors(data)
+                at, digit = _anchors(np.frombuffer(chunk.column(2)[i].as_py() or b"", np.uint8))
                 if len(at):
                     rows = np.empty(len(at), HEAD)
-                    rows["digit"], rows["doc"], rows["copy"], rows["at"] = digit, chunk.column(0)[i].as_py(), chunk.column(1)[i].as_py(), at
+                    rows["digit"], rows["doc"], rows["copy"], rows["at"] = digit & np.uint64(0xFFFFFFFF), chunk.column(0)[i].as_py(), chunk.column(1)[i].as_py(), at
                     parts.append(rows)
+                    digits.append(digit)
             if not parts:
                 continue
-            rows = np.concatenate(parts)
-            rows = rows[np.argsort(rows["digit"], kind="stable")]
-            group, first = _groups(rows["digit"])
-            known = _several(rows)
+            rows, digit = np.concatenate(parts), np.concatenate(digits)
+            order = np.argsort(digit, kind="stable")
+            rows, digit = rows[order], digit[order]
+            group, first = _groups(digit)
+            known = _several(digit, rows["doc"])
             # of a known digit a low and a high document go on as witnesses
-            low = np.minimum.reduceat(rows["doc"], first)[group] == rows["doc"]
-            high = np.maximum.reduceat(rows["doc"], first)[group] == rows["doc"]
             witness = np.zeros(len(rows), bool)
-            for side in (low, high):
-                at = np.flatnonzero(side & known)
+            for pick in (np.minimum, np.maximum):
+                at = np.flatnonzero(known & (pick.reduceat(rows["doc"], first)[group] == rows["doc"]))
                 witness[at[np.r_[True, group[at][1:] != group[at][:-1]]] if len(at) else at] = True
             # in order of document and place, so that the columns compress
-            sent, own = (x[np.lexsort((x["at"], x["doc"]))] for x in (rows[~known | witness], rows[known & ~witness]))
-            out = list(_dealt(sent, buckets, 0))
-            if len(own):
-                out += [(1, int(own["digit"][0] >> np.uint64(32)) % buckets, _pack(own))]
-            yield _batch(out)
+            order = np.lexsort((rows["at"], rows["doc"]))
+            sent = order[(~known | witness)[order]]
+            out = list(_dealt(rows[sent], (digit[sent] >> np.uint64(32)).astype(np.int64) % buckets, DIGITS))
+            own = rows[order[(known & ~witness)[order]]]
+            out += _dealt(own[["doc", "copy", "at"]].astype(PLACE), _home(own["doc"], own["copy"], buckets), KNOWN)
+            if out:
+                yield _batch(out)
 
     return run
 
 
-def _survivors(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pass 1: places of the digits found in several documents."""
+def _survivors(buckets: int):  # noqa: ANN202
+    """Pass 1: places of the digits found in several documents, by the bucket of their document."""
 
-    def out(rows: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(rows[n].astype(np.int64)) for n in ("doc", "copy", "at")], names=["doc", "copy", "at"])
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: dict[int, list[np.ndarray]] = {}
+        for batch in batches:
+            for kind, bucket, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if kind == KNOWN:
+                    yield _batch([(PLACES, bucket, data)])
+                else:
+                    parts.setdefault(bucket, []).append(_unpack(data, HEAD))
+        for bucket in list(parts):
+            rows = np.concatenate(parts.pop(bucket))
+            rows = rows[np.argsort(rows["digit"], kind="stable")]
+            rows = rows[_several(rows["digit"], rows["doc"])]
+            if len(rows):
+                rows = rows[np.lexsort((rows["at"], rows["doc"]))][["doc", "copy", "at"]].astype(PLACE)
+                yield _batch(list(_dealt(rows, _home(rows["doc"], rows["copy"], buckets), PLACES)))
 
-    parts = []
-    for batch in batches:
-        for kind, data in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
-            rows = _unpack(data, HEAD)
-            if kind:
-                yield out(rows)
-            else:
-                parts.append(rows)
-    if parts:
-        rows = np.concatenate(parts)
-        del parts
-        rows = rows[np.argsort(rows["digit"], kind="stable")]
-        rows = rows[_several(rows)]
-        for at in range(0, len(rows), PASS):
-            yield out(rows[at : at + PASS])
+    return run
+
+
+def _digit_of(text: np.ndarray) -> np.ndarray:
+    """Digit hash of each row of surroundings."""
+    flat = np.ascontiguousarray(text[:, SIDE : SIDE + DIGIT]).reshape(-1)
+    return _rolling(flat, DIGIT)[::DIGIT] if len(flat) else np.empty(0, np.uint64)
 
 
 def _surroundings(buckets: int):  # noqa: ANN202
-    """Surviving anchors with the bytes around them, by bucket (kind 0), and what the chunk itself covers (kind 1)."""
+    """Surviving anchors with the bytes around them by digit (AROUNDS), and what the task's own texts cover (SPANS)."""
+
+    def of(parts: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        rows = np.concatenate(parts)
+        whole = np.zeros(len(rows), np.uint64)
+        with np.errstate(over="ignore"):
+            for k in range(WIDTH // 8):
+                whole = _mix(whole * np.uint64(BASE) + np.ascontiguousarray(rows["text"][:, 8 * k : 8 * k + 8]).view("<u8")[:, 0])
+            whole = _mix(whole ^ (rows["left"].astype(np.uint64) << np.uint64(8) | rows["right"]))
+        order = np.lexsort((rows["doc"], whole))
+        group, first = _groups(whole[order])
+        covered = np.zeros(len(rows), bool)
+        covered[order] = rows["doc"][order][first][group] < rows["doc"][order]
+        sent, own = rows[~covered], rows[covered]
+        out = list(_dealt(sent, (_digit_of(sent["text"]) >> np.uint64(32)).astype(np.int64) % buckets, AROUNDS))
+        spans = np.empty(len(own), SPAN)
+        spans["doc"], spans["copy"] = own["doc"], own["copy"]
+        spans["start"], spans["stop"] = own["at"] - own["left"], own["at"] + DIGIT + own["right"]
+        spans = spans[spans["stop"] - spans["start"] >= DEPTH]
+        out += _dealt(spans, _home(spans["doc"], spans["copy"], buckets), SPANS)
+        if out:
+            yield _batch(out)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for chunk in _chunks(batches):
-            parts = []
-            for i in range(chunk.num_rows):
-                data = np.frombuffer(chunk.column(2)[i].as_py() or b"", np.uint8)
-                at = np.unique(np.array(chunk.column(3)[i].as_py(), np.int64))
+        texts, places = _gathered(batches, PLACES, PLACE)
+        parts, count = [], 0
+        for blob in texts:
+            for doc, copy, _, raw in _read_texts(blob):
+                if (doc, copy) not in places:
+                    continue
+                data, at = np.frombuffer(raw, np.uint8), np.unique(places[doc, copy]["at"]).astype(np.int64)
                 rows = np.zeros(len(at), AROUND)
-                rows["doc"], rows["copy"], rows["at"] = chunk.column(0)[i].as_py(), chunk.column(1)[i].as_py(), at
+                rows["doc"], rows["copy"], rows["at"] = doc, copy, at
                 rows["left"], rows["right"] = np.minimum(at, SIDE), np.minimum(len(data) - at - DIGIT, SIDE)
                 padded = np.concatenate([np.zeros(SIDE, np.uint8), data, np.zeros(SIDE, np.uint8)])
                 rows["text"] = padded[at[:, None] + np.arange(WIDTH)]
-                rows["digit"] = _rolling(data, DIGIT)[at]
                 parts.append(rows)
-            if not parts:
-                continue
-            rows = np.concatenate(parts)
-            whole = np.zeros(len(rows), np.uint64)
-            with np.errstate(over="ignore"):
-                for k in range(WIDTH // 8):
-                    whole = _mix(whole * np.uint64(BASE) + np.ascontiguousarray(rows["text"][:, 8 * k : 8 * k + 8]).view("<u8")[:, 0])
-                whole = _mix(whole ^ (rows["left"].astype(np.uint64) << np.uint64(8) | rows["right"]))
-            rows = rows[np.lexsort((rows["doc"], whole))]
-            group, first = _groups(np.sort(whole))
-            covered = rows["doc"][first][group] < rows["doc"]
-            out = list(_dealt(rows[~covered], buckets, 0))
-            own = rows[covered]
-            if len(own):
-                spans = np.stack([own["doc"], own["copy"].astype(np.int64), own["at"].astype(np.int64) - own["left"], own["at"].astype(np.int64) + DIGIT + own["right"]], axis=1)
-                spans = spans[spans[:, 3] - spans[:, 2] >= DEPTH]
-                if len(spans):
-                    out.append((1, int(own["digit"][0] >> np.uint64(32)) % buckets, spans.astype("<i8").tobytes()))
-            if out:
-                yield _batch(out)
+                count += len(rows)
+                if count > 4 * PASS:
+                    yield from of(parts)
+                    parts, count = [], 0
+        if parts:
+            yield from of(parts)
 
     return run
 
 
-def _windows(rows: np.ndarray) -> np.ndarray:
-    """Pass 2 on whole groups sorted by digit: (doc, copy, start, stop) of what a smaller document repeats.
+def _windows(rows: np.ndarray, group: np.ndarray) -> np.ndarray:
+    """Pass 2 on whole groups of one digit each: the spans that a smaller document repeats.
 
     The windows of one offset at a time are sorted by group and content hash, so memory is a few numbers per anchor.
     """
-    group, _ = _groups(rows["digit"])
     low = np.full(len(rows), SIDE + 1, np.int64)
     high = np.full(len(rows), -1, np.int64)
     power = _powers(DEPTH, BASE)[::-1]
@@ -271,72 +345,87 @@ def _windows(rows: np.ndarray) -> np.ndarray:
             high[hit] = k
     hit = np.flatnonzero(high >= 0)
     at = rows["at"][hit].astype(np.int64) - SIDE
-    return np.stack([rows["doc"][hit], rows["copy"][hit].astype(np.int64), at + low[hit], at + high[hit] + DEPTH], axis=1)
+    spans = np.empty(len(hit), SPAN)
+    spans["doc"], spans["copy"], spans["start"], spans["stop"] = rows["doc"][hit], rows["copy"][hit], at + low[hit], at + high[hit] + DEPTH
+    return spans
 
 
-def _spans(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    def out(spans: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(spans[:, k])) for k in range(4)], names=["doc", "copy", "start", "stop"])
+def _spans(buckets: int):  # noqa: ANN202
+    """Pass 2, bucket by bucket, in slices of whole groups."""
 
-    parts = []
-    for batch in batches:
-        for kind, data in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
-            if kind:
-                yield out(np.frombuffer(data, "<i8").reshape(-1, 4))
-            else:
-                parts.append(_unpack(data, AROUND))
-    if parts:
-        rows = np.concatenate(parts)
-        del parts
-        rows = rows[np.argsort(rows["digit"], kind="stable")]
-        _, first = _groups(rows["digit"])
-        begin = 0
-        for end in [*first[1:].tolist(), len(rows)]:
-            if end - begin >= PASS or end == len(rows):
-                spans = _windows(rows[begin:end])
-                if len(spans):
-                    yield out(spans)
-                begin = end
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[bytes]] = {}
+        for batch in batches:
+            for kind, bucket, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if kind == SPANS:
+                    yield _batch([(SPANS, bucket, data)])
+                else:
+                    held.setdefault(bucket, []).append(data)
+        for bucket in list(held):
+            rows = np.concatenate([_unpack(d, AROUND) for d in held.pop(bucket)])
+            digit = _digit_of(rows["text"])
+            order = np.argsort(digit, kind="stable")
+            _, first = _groups(digit[order])
+            begin = 0
+            for end in [*first[1:].tolist(), len(rows)]:
+                if end - begin >= PASS or end == len(rows):
+                    own = order[begin:end]
+                    spans = _windows(rows[own], _groups(digit[own])[0])
+                    if len(spans):
+                        spans = spans[np.lexsort((spans["start"], spans["doc"]))]
+                        yield _batch(list(_dealt(spans, _home(spans["doc"], spans["copy"], buckets), SPANS)))
+                    begin = end
+
+    return run
 
 
 def _cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        rows = []
-        for i in range(batch.num_rows):
-            data, spans, merged = batch.column(2)[i].as_py() or b"", batch.column(3)[i].as_py(), []
-            for s in sorted((x["start"], x["stop"]) for x in spans or []):
-                if merged and s[0] <= merged[-1][1]:
-                    merged[-1][1] = max(merged[-1][1], s[1])
-                else:
-                    merged.append(list(s))
+    texts, spans = _gathered(batches, SPANS, SPAN)
+
+    def out(rows: list[tuple]) -> pa.RecordBatch:
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.list_(pa.int64())), pa.binary(), pa.string()]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["key", "n_bytes", "n_removed", "spans", "kept", "kept_sha256"])
+
+    rows, size = [], 0
+    for blob in texts:
+        for doc, copy, null, data in _read_texts(blob):
+            merged: list[list[int]] = []
+            if (doc, copy) in spans:
+                own = spans[doc, copy]
+                for a, b in sorted(zip(own["start"].tolist(), own["stop"].tolist(), strict=True)):
+                    if merged and a <= merged[-1][1]:
+                        merged[-1][1] = max(merged[-1][1], b)
+                    else:
+                        merged.append([a, b])
             kept, last = [], 0
             for a, b in merged:
                 kept.append(data[last:a])
                 last = b
-            kept.append(data[last:])
-            kept = b"".join(kept)
-            rows.append((batch.column(4)[i].as_py(), len(data), len(data) - len(kept), merged, kept, hashlib.sha256(kept).hexdigest()))
-        cols = list(zip(*rows, strict=True))
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.list_(pa.int64())), pa.binary(), pa.string()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["key", "n_bytes", "n_removed", "spans", "kept", "kept_sha256"])
+            whole = b"".join([*kept, data[last:]])
+            rows.append((None if null else doc, len(data), len(data) - len(whole), merged, whole, hashlib.sha256(whole).hexdigest()))
+            size += len(data)
+            if size > CHUNK:
+                yield out(rows)
+                rows, size = [], 0
+    if rows:
+        yield out(rows)
 
 
 def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``(key, n_bytes, n_removed, spans, kept, kept_sha256)`` for every row; spans are the removed byte runs.
 
-    Anchors travel as packed columns per chunk and bucket; buckets follow the size of the texts, so a task's share
-    does not grow with the input. Texts move twice, by id, to meet their places.
+    Everything travels as packed columns per chunk and bucket. Buckets follow the size of the texts, so what a task
+    gathers does not grow with the input. Texts move twice, by document, to meet their places and their spans.
     """
     spark = docs.sparkSession
     data = F.coalesce(F.col(text).cast("string").cast("binary"), F.lit(b""))
-    rows = docs.select(F.coalesce(F.col(key).cast("bigint"), F.lit(LAST)).alias("doc"), F.crc32(data).cast("bigint").alias("copy"), data.alias("data"), F.col(key).cast("bigint").alias("key"))
+    rows = docs.select(F.coalesce(F.col(key).cast("bigint"), F.lit(LAST)).alias("doc"), F.crc32(data).cast("bigint").alias("copy"), data.alias("data"), F.col(key).isNull().alias("null"))
     total = rows.agg(F.sum(F.octet_length("data"))).first()[0] or 0
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(total) // (1 << 26)))
-    dealt = rows.select("doc", "copy", "data").mapInArrow(_first_digits(buckets), PACKED).repartition(buckets, "bucket")
-    places = stored(dealt.mapInArrow(_survivors, PLACES), "places").groupBy("doc", "copy").agg(F.collect_list("at").alias("places"))
-    met = rows.select("doc", "copy", "data").join(places.hint("merge"), ["doc", "copy"])
-    around = met.mapInArrow(_surroundings(buckets), PACKED).repartition(buckets, "bucket")
-    spans = stored(around.mapInArrow(_spans, SPANS), "spans").groupBy("doc", "copy").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
-    whole = rows.join(spans.hint("merge"), ["doc", "copy"], "left").select("doc", "copy", "data", "spans", "key")
-    out = whole.mapInArrow(_cut, "key bigint, n_bytes bigint, n_removed bigint, spans array<array<bigint>>, kept binary, kept_sha256 string")
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(total) // (1 << 25)))
+    texts = rows.mapInArrow(_texts(buckets), PACKED)
+    digits = rows.select("doc", "copy", "data").mapInArrow(_first_digits(buckets), PACKED).repartition(buckets, "bucket")
+    places = digits.mapInArrow(_survivors(buckets), PACKED)
+    around = texts.unionByName(places).repartition(buckets, "bucket").mapInArrow(_surroundings(buckets), PACKED)
+    spans = around.repartition(buckets, "bucket").mapInArrow(_spans(buckets), PACKED)
+    out = texts.unionByName(spans).repartition(buckets, "bucket").mapInArrow(_cut, "key bigint, n_bytes bigint, n_removed bigint, spans array<array<bigint>>, kept binary, kept_sha256 string")
     return out.withColumnRenamed("key", key)
