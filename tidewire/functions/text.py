@@ -107,7 +107,7 @@ def canonical_candidate(c: C, aliases: Mapping[str, str] = vocab.ALIASES, slugs:
 
 
 def canonical_candidates(c: C) -> Column:
-    return F.array_distinct(F.array_compact(F.transform(F.coalesce(col(c), F.array().cast("array<string>")), canonical_candidate)))
+    return F.array_distinct(F.array_compact(F.transform(F.coalesce(col(c), F.array().cast("array<string>")), lambda x: canonical_candidate(x))))
 
 
 def norm_labels(c: C) -> Column:
@@ -207,7 +207,7 @@ def classify_topics(text: C, keywords: Mapping[str, Sequence[str]]) -> Column:
 
 def topic_paragraphs(text: C, keywords: Sequence[str], most: int = 8, fallback: int = 10, size: int = 500) -> Column:
     """Paragraphs of over 50 characters with a keyword, else the first ones; each cut to ``size``."""
-    parts = F.filter(F.transform(F.split(col(text), r"\n\s*\n"), F.trim), lambda p: F.length(p) > 50)
+    parts = F.filter(F.transform(F.split(col(text), r"\n\s*\n"), lambda p: F.trim(p)), lambda p: F.length(p) > 50)
     hits = F.filter(parts, lambda p: _any(F.lower(p), keywords))
     chosen = F.when(F.size(hits) > 0, hits).otherwise(F.slice(parts, 1, fallback))
     return F.transform(F.slice(chosen, 1, most), lambda p: F.substring(p, 1, size))

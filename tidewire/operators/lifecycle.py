@@ -62,7 +62,7 @@ def promote(df: DataFrame, now: Column, above: float = 0.8) -> DataFrame:
     """Validated rows of high prominence become curated, with a history entry; ``promoted`` tells which."""
     up = (F.col("status") == "validated") & (F.col("prominence_score") > above)
     entry = F.struct(F.lit("curator").alias("tier"), F.date_format(now, "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("at"), F.lit("rules").alias("provider"), F.lit("promote").alias("action"), F.array(F.lit("status")).alias("changes"))
-    return df.withColumn("promoted", up).withColumns({"edit_history": F.when(up, F.array_append(F.coalesce("edit_history", F.array().cast(df.schema["edit_history"].dataType)), entry.cast(df.schema["edit_history"].dataType.elementType))).otherwise(F.col("edit_history")), "status": F.when(up, "curated").otherwise(F.col("status"))})
+    return df.withColumn("promoted", up).withColumns({"edit_history": F.when(up, F.concat(F.coalesce("edit_history", F.slice(F.array(entry), 1, 0)), F.array(entry))).otherwise(F.col("edit_history")), "status": F.when(up, "curated").otherwise(F.col("status"))})
 
 
 def unpublish(df: DataFrame, targets: DataFrame, target: str = "target") -> DataFrame:

@@ -29,7 +29,7 @@ def select_topics(positions: DataFrame, least: int = 3, n: int = 15) -> DataFram
 def number_options(positions: DataFrame, valid: Column, n: int = 6, order: Sequence[str] = ("candidate",)) -> DataFrame:
     """First valid candidates of each topic as opt_a, opt_b, ..."""
     rows = top_per_group(positions.where(valid), ["topic"], [F.col(o) for o in order], n)
-    return rows.withColumn("option_id", F.element_at(F.array(*map(F.lit, vocab.OPTION_IDS)), F.col("rank")))
+    return rows.withColumn("option_id", F.try_element_at(F.array(*map(F.lit, vocab.OPTION_IDS)), F.col("rank")))
 
 
 def evidence(articles: DataFrame, grid: DataFrame, n: int = 12) -> DataFrame:

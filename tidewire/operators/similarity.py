@@ -25,7 +25,7 @@ def cluster_text() -> Column:
 
 
 def _grams(text: Column) -> Column:
-    t = F.regexp_extract_all(text, F.lit(r"(?<![a-z0-9])([a-z0-9]{2,})(?![a-z0-9])"), 1)
+    t = F.filter(F.regexp_extract_all(text, F.lit("([a-z0-9]+)"), 1), lambda w: F.length(w) >= 2)
     pairs = F.zip_with(F.slice(t, F.lit(1), F.greatest(F.size(t) - 1, F.lit(0))), F.slice(t, F.lit(2), F.greatest(F.size(t) - 1, F.lit(0))), lambda a, b: F.concat(a, F.lit(" "), b))
     return F.concat(t, pairs)
 
