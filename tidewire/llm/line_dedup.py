@@ -2,15 +2,19 @@
 
 A line is the set of its lower-cased words. It is removed if an earlier line (by document id, then line number; lines
 of one document count too) has a Jaccard similarity of at least 0.8 with it. Tokens are ordered by rarity, estimated by
-a count per hash bucket: a constant of ``SLOTS`` numbers, as large for any corpus. Lines that match share a token among the first n - ceil(0.8 n) + 1 of each (prefix filter), differ
-little in size (length filter), and leave enough tokens behind the shared one (positional filter).
+a count per hash bucket: a constant of ``SLOTS`` numbers, as large for any corpus. Lines that match share a token among
+the first n - ceil(0.8 n) + 1 of each (prefix filter), differ little in size (length filter), and leave enough tokens
+behind the shared one (positional filter).
 
 Within a token's group no all-pairs product is made: first every line meets only the group's earliest line, which
-settles exact and near copies in linear work; then lines still open meet the earlier lines of groups of three or more,
-without the lines that repeat another's set. Verification counts the common tokens of the whole sets.
-
-Defined cases: lines without a word stay and match nothing; null texts have no lines; rows with one id are one document
-after another in the order of their texts' hashes, identical rows are judged as one; rows with a null id come last; an empty table gives an empty table.
+settles near copies in linear work; then lines still open meet the earlier lines of groups of three or more. Lines that
+repeat another's set are found before by a hash of the set and take no part. Candidates are thinned by parity bitmaps
+of the sets (they differ in no more bits than the sets in tokens, so no match is lost) and verified on the whole sets, which
+are read from the texts again, for lines in candidate pairs only.
+
+Defined cases: ids must be integers; lines without a word stay and match nothing; null texts have no lines; rows with
+one id are one document after another in the order of their texts' hashes, identical rows are judged as one; rows with
+a null id come last; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -23,6 +27,7 @@ from tidewire.session import stored
 #: Jaccard threshold as a fraction, and buckets of the rarity table.
 TOP, BOTTOM = 4, 5
 SLOTS = 1 << 16
+LAST = (1 << 63) - 1
 
 
 def _tokens(line: Column) -> Column:
@@ -30,9 +35,17 @@ def _tokens(line: Column) -> Column:
     return F.array_distinct(F.transform(F.array_remove(F.split(F.lower(line), "[\\x20\\x09-\\x0D]+"), ""), lambda w: F.xxhash64(w)))
 
 
-def _lines(docs: DataFrame, key: str, text: str) -> DataFrame:
-    rows = docs.select(F.col(key).alias("doc"), F.coalesce(F.xxhash64(text), F.lit(0)).alias("copy"), F.col(text).alias("t"))
-    return rows.select("doc", "copy", F.posexplode(F.split("t", "\n")).alias("line", "s")).select("doc", "copy", "line", _tokens(F.col("s")).alias("tokens")).where(F.size("tokens") > 0)
+def _documents(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(doc, copy, t): the id, null as the last, and where ids repeat a hash that tells their texts apart."""
+    again = docs.groupBy(key).agg(F.count("*").alias("n")).where("n > 1").limit(1).count()
+    copy = F.coalesce(F.xxhash64(text).bitwiseAND(F.lit(0x7FFFFFFF)), F.lit(0)) if again else F.lit(0).cast("long")
+    return docs.select(F.coalesce(F.col(key).cast("long"), F.lit(LAST)).alias("doc"), copy.alias("copy"), F.col(text).alias("t"))
+
+
+def _lines(rows: DataFrame) -> DataFrame:
+    """(doc, line, tokens) of the lines with a word; line has the copy above its number."""
+    lines = rows.select("doc", "copy", F.posexplode(F.split("t", "\n")).alias("i", "s"))
+    return lines.select("doc", F.shiftleft("copy", 32).bitwiseOR(F.col("i").cast("long")).alias("line"), _tokens(F.col("s")).alias("tokens")).where(F.size("tokens") > 0)
 
 
 def _rarity(lines: DataFrame) -> Column:
@@ -48,10 +61,13 @@ def _rarity(lines: DataFrame) -> Column:
     return F.split(F.lit(",".join(map(str, ranks))), ",").cast("array<tinyint>")
 
 
-def _at(prefix: str = "") -> Column:
-    """Place of a line in the order of all lines; null ids last."""
-    doc = F.col(f"{prefix}doc")
-    return F.struct(doc.isNull().alias("z"), doc.alias("doc"), F.col(f"{prefix}copy").alias("copy"), F.col(f"{prefix}line").alias("line"))
+def _parity(bits: int) -> Column:
+    """Bitmap in which every token flips one bit."""
+    return F.aggregate("tokens", F.lit(0).cast("long"), lambda a, t: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(t, bits).bitwiseAND(F.lit(63)).cast("int"))))
+
+
+def _low(c: str) -> Column:
+    return F.col(c).bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")
 
 
 def _possible(n: Column, i: Column, m: Column, j: Column) -> Column:
@@ -60,48 +76,65 @@ def _possible(n: Column, i: Column, m: Column, j: Column) -> Column:
     return (BOTTOM * n >= TOP * m) & (BOTTOM * m >= TOP * n) & ((TOP + BOTTOM) * (1 + F.least(n - i - 1, m - j - 1)) >= need)
 
 
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Ids of the later lines of pairs (y, x) whose sets are similar enough."""
-    y = sets.select(F.col("at").alias("y"), F.col("tokens").alias("a"))
-    x = sets.select(F.col("at").alias("x"), F.col("tokens").alias("b"))
-    both = pairs.join(y.hint("merge"), "y").join(x.hint("merge"), "x")
+def _verified(pairs: DataFrame, narrow: DataFrame, rows: DataFrame) -> DataFrame:
+    """(doc, line) of the later lines of pairs (y, x) whose sets are similar enough."""
+    of = lambda p: narrow.select(F.struct("doc", "line").alias(p), F.col("n").alias(f"n_{p}"), F.col("b1").alias(f"b1_{p}"), F.col("b2").alias(f"b2_{p}"))
+    both = pairs.join(of("y").hint("merge"), "y").join(of("x").hint("merge"), "x")
+    apart = F.greatest(F.bit_count(F.col("b1_y").bitwiseXOR(F.col("b1_x"))), F.bit_count(F.col("b2_y").bitwiseXOR(F.col("b2_x"))))
+    likely = stored(both.where((TOP + BOTTOM) * apart <= F.col("n_y") + F.col("n_x")).select("y", "x"), "likely")
+    wanted = likely.select(F.explode(F.array("y", "x")).alias("p")).select("p.doc", "p.line").distinct()
+    wanted = wanted.groupBy("doc").agg(F.collect_set("line").alias("want"))  # no more than a document has lines
+    texts = rows.join(wanted.hint("merge"), "doc").select("doc", "copy", "want", F.posexplode(F.split("t", "\n")).alias("i", "s"))
+    line = F.shiftleft("copy", 32).bitwiseOR(F.col("i").cast("long"))
+    sets = stored(texts.where(F.array_contains("want", line)).select(F.struct("doc", line.alias("line")).alias("at"), _tokens(F.col("s")).alias("tokens")), "sets").dropDuplicates(["at"])
+    a, b = sets.select(F.col("at").alias("y"), F.col("tokens").alias("a")), sets.select(F.col("at").alias("x"), F.col("tokens").alias("b"))
     common = F.size(F.array_intersect("a", "b"))
-    return both.where((TOP + BOTTOM) * common >= TOP * (F.size("a") + F.size("b"))).select("y").distinct()
+    met = likely.join(a.hint("merge"), "y").join(b.hint("merge"), "x")
+    return met.where((TOP + BOTTOM) * common >= TOP * (F.size("a") + F.size("b"))).select("y.doc", "y.line").distinct()
 
 
-def repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``(doc, copy, line)`` of every line to remove; copy tells rows of one id apart by their text's hash."""
-    lines = _lines(docs, key, text)
+def _repeated(rows: DataFrame) -> DataFrame:
+    """(doc, line) of every line to remove."""
+    lines = _lines(rows)
     rank = _rarity(lines)
-    # one long orders by rarity, then hash: rank above, 56 bits of the token below
-    coded = F.sort_array(F.transform("tokens", lambda t: F.shiftleft(F.get(rank, F.pmod(t, F.lit(SLOTS)).cast("int")).cast("long"), 56).bitwiseOR(t.bitwiseAND(F.lit((1 << 56) - 1)))))
-    sets = lines.select(_at().alias("at"), F.size("tokens").alias("n"), coded.alias("tokens"))
-    sets = stored(sets.withColumn("sig", F.xxhash64("tokens", "n")), "lines")
+    narrow = stored(lines.select("doc", "line", F.size("tokens").alias("n"), F.xxhash64(F.sort_array("tokens")).alias("sig"), _parity(7).alias("b1"), _parity(23).alias("b2")), "narrow")
     # one line per set goes on; the others repeat it
-    first = sets.groupBy("sig", "n").agg(F.min("at").alias("at"))
-    copies = sets.select("at", "sig", "n").join(first.select("sig", "n", F.col("at").alias("first")).hint("merge"), ["sig", "n"]).where("at > first").select(F.col("at").alias("y"))
-    keep = F.col("n") - F.ceil(TOP * F.col("n") / F.lit(BOTTOM)).cast("int") + 1
-    single = sets.join(first.select("at").hint("merge"), "at", "left_semi")
-    prefix = stored(single.select("at", "n", F.posexplode(F.slice("tokens", F.lit(1), keep)).alias("i", "token")), "prefix")
-    groups = prefix.groupBy("token").agg(F.min(F.struct("at", "n", "i")).alias("lead"), F.count("*").alias("g")).where("g > 1")
-    met = prefix.join(groups.hint("merge"), "token")
-    pairs = met.where((F.col("at") > F.col("lead.at")) & _possible(F.col("n"), F.col("i"), F.col("lead.n"), F.col("lead.i"))).select(F.col("at").alias("y"), F.col("lead.at").alias("x")).distinct()
-    done = stored(_verified(pairs, sets), "settled")
-    wide = stored(met.where("g > 2").select("token", "at", "n", "i", F.col("lead.at").alias("lead")), "wide")
-    open_ = wide.join(done.select(F.col("y").alias("at")).hint("merge"), "at", "left_anti")
-    index = wide.where("at > lead").select("token", F.col("at").alias("x"), F.col("n").alias("m"), F.col("i").alias("j"))
-    more = open_.join(index.hint("merge"), "token").where((F.col("x") < F.col("at")) & _possible(F.col("n"), F.col("i"), F.col("m"), F.col("j"))).select(F.col("at").alias("y"), "x").distinct()
-    found = copies.unionByName(done).unionByName(_verified(more, sets))
-    return found.select("y.doc", "y.copy", "y.line")
+    first = narrow.groupBy("sig", "n").agg(F.min(F.struct("doc", "line")).alias("first"))
+    copies = stored(narrow.select("doc", "line", "sig", "n").join(first.hint("merge"), ["sig", "n"]).where("struct(doc, line) > first").select("doc", "line"), "copies")
+    # one long orders tokens by rarity, then hash: rank above, 56 bits of the token below
+    coded = F.sort_array(F.transform("tokens", lambda t: F.shiftleft(F.get(rank, F.pmod(t, F.lit(SLOTS)).cast("int")).cast("long"), 56).bitwiseOR(t.bitwiseAND(F.lit((1 << 56) - 1)))))
+    n = F.size("tokens")
+    keep = n - F.ceil(TOP * n / F.lit(BOTTOM)).cast("int") + 1
+    prefix = lines.select("doc", "line", n.alias("n"), F.posexplode(F.slice(coded, F.lit(1), keep)).alias("i", "token"))
+    prefix = stored(prefix.select("token", "doc", "line", F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("i").cast("long")).alias("ni")), "prefix")
+    parts = lambda c: (F.shiftright(c, 32).cast("int"), _low(c))
+    groups = prefix.groupBy("token").agg(F.min(F.struct("doc", "line", "ni")).alias("lead"), F.count("*").alias("g")).where("g > 1")
+    met = stored(prefix.join(groups.hint("merge"), "token").where("doc > lead.doc OR line > lead.line OR g > 2").join(copies.hint("merge"), ["doc", "line"], "left_anti").select("token", "doc", "line", "ni", F.col("lead.doc").alias("ld"), F.col("lead.line").alias("ll"), F.col("lead.ni").alias("lni"), (F.col("g") > 2).alias("wide")), "met")
+    later = F.struct("doc", "line") > F.struct(F.col("ld").alias("doc"), F.col("ll").alias("line"))
+    pairs = met.where(later & _possible(*parts("ni"), *parts("lni"))).select(F.struct("doc", "line").alias("y"), F.struct(F.col("ld").alias("doc"), F.col("ll").alias("line")).alias("x")).distinct()
+    done = stored(_verified(pairs, narrow, rows), "settled")
+    wide = met.where("wide")
+    open_ = wide.join(done.hint("merge"), ["doc", "line"], "left_anti").select("token", "doc", "line", "ni")
+    index = wide.where(later).select("token", F.col("doc").alias("xd"), F.col("line").alias("xl"), F.col("ni").alias("xni"))
+    earlier = F.struct("doc", "line") > F.struct(F.col("xd").alias("doc"), F.col("xl").alias("line"))
+    more = open_.join(index.hint("merge"), "token").where(earlier & _possible(*parts("ni"), *parts("xni"))).select(F.struct("doc", "line").alias("y"), F.struct(F.col("xd").alias("doc"), F.col("xl").alias("line")).alias("x")).distinct()
+    return copies.unionByName(done).unionByName(_verified(more, narrow, rows))
+
+
+def repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``(key, line)`` of every line to remove, lines numbered from 0."""
+    found = _repeated(_documents(docs, key, text))
+    return found.select(F.nullif("doc", F.lit(LAST)).alias(key), _low("line").alias("line"))
 
 
 def drop_repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with ``text`` less its repeated lines, and ``n_lines`` and ``n_removed``; every row stays."""
-    gone = repeated_lines(docs, key, text).groupBy("doc", "copy").agg(F.collect_set("line").alias("_gone"))
-    at = F.coalesce(F.xxhash64(text), F.lit(0))
-    out = docs.withColumn("_copy", at).join(gone.hint("merge"), F.col(key).eqNullSafe(F.col("doc")) & (F.col("_copy") == F.col("copy")), "left")
+    rows = _documents(docs, key, text)
+    gone = _repeated(rows).groupBy("doc", F.shiftright("line", 32).alias("copy")).agg(F.collect_set(_low("line")).alias("_gone"))
+    out = docs.withColumns({"_doc": F.coalesce(F.col(key).cast("long"), F.lit(LAST)), "_copy": F.coalesce(F.xxhash64(text).bitwiseAND(F.lit(0x7FFFFFFF)), F.lit(0))})
+    out = out.join(gone.hint("merge"), (F.col("_doc") == F.col("doc")) & ((F.col("copy") == 0) | (F.col("copy") == F.col("_copy"))), "left")
     lines = F.split(text, "\n")
     kept = F.array_join(F.filter(F.zip_with(lines, F.sequence(F.lit(0), F.size(lines) - 1), lambda s, i: F.when(~F.array_contains("_gone", i), s)), lambda s: s.isNotNull()), "\n")
-    counts = {"n_lines": F.coalesce(F.size(F.filter(lines, lambda x: x.rlike("[^\\x20\\x09-\\x0D]"))), F.lit(0)).cast("long"), "n_removed": F.greatest(F.size("_gone"), F.lit(0)).cast("long")}
+    counts = {"n_lines": F.coalesce(F.size(F.filter(lines, lambda x: x.rlike("[^\\x20\\x09-\\x0D]"))), F.lit(0)).cast("long"), "n_removed": F.coalesce(F.size("_gone"), F.lit(0)).cast("long")}
     out = out.withColumns(counts).withColumn(text, F.when(F.col("_gone").isNull(), F.col(text)).otherwise(kept))
-    return out.drop("_copy", "doc", "copy", "_gone")
+    return out.drop("_doc", "_copy", "doc", "copy", "_gone")
