@@ -98,6 +98,14 @@ class PieceModel:
         ranks = np.unique(-np.array(score, np.float32), return_inverse=True)[1]
         self.rank = ranks.astype(np.int64)  # by piece; lower merges first, equal scores share a rank
         self.text: dict[int, str] = {i: p.replace(META, " ") for p, i in self.id.items()}
+        self.names = list(map(str, range(len(self.pieces))))
+        # symbol of each code point, and what its character becomes if no merge takes it
+        self.points = np.arange(len(symbols) + self.extra, len(symbols) + self.extra + 0x110000, dtype=np.int64)
+        for c, i in symbols.items():
+            if len(c) == 1:
+                self.points[ord(c)] = i
+        self.base = len(symbols) + self.extra
+        self.named = {i: c for c, i in symbols.items() if i >= self.extra}
 
     def _look(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """The piece that each pair makes, or -1."""
@@ -134,21 +142,8 @@ class PieceModel:
 
     def encode_words(self, words: list[str]) -> list[list[int]]:
         """Piece ids of each word (a word is a run of meta spaces and what follows it)."""
-        syms: list[int] = []
-        chars: list[str] = []
         sizes = np.fromiter(map(len, words), np.int64, len(words))
-        unknown: dict[int, str] = {}
-        get, own = self.symbol.get, {}
-        for c in "".join(words):
-            s = get(c)
-            if s is None:
-                s = own.get(c)
-                if s is None:
-                    s = own[c] = len(self.symbol) + self.extra + len(own)
-                    unknown[s] = c
-            syms.append(s)
-        del chars
-        flat = np.array(syms, np.int64)
+        flat = self.points[np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)]
         word = np.repeat(np.arange(len(words)), sizes)
         out: list[list[int]] = [[] for _ in words]
         long = sizes > LONG
@@ -166,17 +161,16 @@ class PieceModel:
             at = np.flatnonzero(made >= 0)
             if not len(at):
                 break
-            # best pair of each word: lowest (rank, place)
+            # best pair of each word: lowest (rank, place); places rise, so words are segments
             w = word[at]
-            order = np.lexsort((at, self.rank[made[at]], w))
-            first = order[np.r_[True, w[order][1:] != w[order][:-1]]]
-            best = at[first]
+            edge = np.flatnonzero(np.r_[True, w[1:] != w[:-1]])
+            best = np.minimum.reduceat(self.rank[made[at]] << 40 | at, edge) & ((1 << 40) - 1)
             flat[best] = made[best]
             gone = np.zeros(len(flat), bool)
             gone[best + 1] = True
             # words without a pair are finished and leave the array
             alive = np.zeros(len(words), bool)
-            alive[w[first]] = True
+            alive[w[edge]] = True
             rest = alive[word]
             if not rest.all():
                 done.append((word[~rest], flat[~rest]))
@@ -185,17 +179,21 @@ class PieceModel:
         done.append((word, flat))
         word, flat = np.concatenate([d[0] for d in done]), np.concatenate([d[1] for d in done])
         order = np.argsort(word, kind="stable")
-        back: dict[int, list[int]] = {}
-        named = {s: c for c, s in self.symbol.items() if s >= self.extra} | unknown
-        for w, s in zip(word[order].tolist(), flat[order].tolist(), strict=True):
-            if s < self.extra:
-                out[w].append(s)
-            else:
-                if s not in back:
-                    back[s] = [self.byte[b] for b in named[s].encode()]
-                out[w] += back[s]
+        word, flat = word[order], flat[order]
+        ids, ends = flat.tolist(), np.cumsum(np.bincount(word, minlength=len(words))).tolist()
+        begin = 0
+        for w, end in enumerate(ends):
+            out[w] = ids[begin:end]
+            begin = end
+        for w in np.unique(word[flat >= self.extra]).tolist():
+            out[w] = [i for s in out[w] for i in ([s] if s < self.extra else self._bytes(s))]
         return out
 
+    def _bytes(self, symbol: int) -> list[int]:
+        """Byte pieces of a character outside the vocabulary."""
+        c = self.named.get(symbol) or chr(symbol - self.base)
+        return [self.byte[b] for b in c.encode("utf-8", "replace")]
+
     def encode(self, text: str | None) -> list[int]:
         """Ids of a text without an end id."""
         if not text:
@@ -209,6 +207,11 @@ class PieceModel:
         return self._decode(ids).removeprefix(" ")
 
     def _decode(self, ids: Iterable[int]) -> str:
+        text = self.text
+        try:
+            return "".join([text[i] for i in ids])
+        except KeyError:  # byte or control pieces
+            pass
         out, run = [], bytearray()
         for i in ids:
             if self.kind[i] == BYTE:
@@ -235,7 +238,7 @@ def _rows(model: PieceModel, texts: list[str], cache: dict[str, tuple[str, int,
     for at in range(0, len(new), 50_000):
         part = new[at : at + 50_000]
         for w, ids in zip(part, model.encode_words(part), strict=True):
-            cache[w] = (" ".join(map(str, ids)), len(ids), model._decode(ids))
+            cache[w] = (" ".join([model.names[i] for i in ids]), len(ids), model._decode(ids))
     out = []
     for words in split:
         got = [cache[w] for w in words]
