@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -39,8 +40,24 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def stored(df: DataFrame, name: str = "t") -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back: exact sizes and pruned columns for later plans."""
+    """Write ``df`` as Parquet in the shared folder and read it back: exact sizes and pruned columns for later plans.
+
+    What led to the table is then garbage. Spark deletes shuffle files once the driver has collected the objects that
+    stand for them, which an idle driver does late or never, so a collection is asked for here.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_path = path
+    gc.collect()
+    spark._jvm.System.gc()
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Delete the files of tables that ``stored`` made and no later plan reads."""
+    for table in tables:
+        spark = table.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(table.stored_path)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
