@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewire.session import stored
+from tidewire.session import forget, stored
 
 #: Jaccard threshold as a fraction, and buckets of the rarity table.
 TOP, BOTTOM = 4, 5
@@ -86,11 +86,14 @@ def _verified(pairs: DataFrame, narrow: DataFrame, rows: DataFrame) -> DataFrame
     wanted = wanted.groupBy("doc").agg(F.collect_set("line").alias("want"))  # no more than a document has lines
     texts = rows.join(wanted.hint("merge"), "doc").select("doc", "copy", "want", F.posexplode(F.split("t", "\n")).alias("i", "s"))
     line = F.shiftleft("copy", 32).bitwiseOR(F.col("i").cast("long"))
-    sets = stored(texts.where(F.array_contains("want", line)).select(F.struct("doc", line.alias("line")).alias("at"), _tokens(F.col("s")).alias("tokens")), "sets").dropDuplicates(["at"])
+    texts_of = stored(texts.where(F.array_contains("want", line)).select(F.struct("doc", line.alias("line")).alias("at"), _tokens(F.col("s")).alias("tokens")), "sets")
+    sets = texts_of.dropDuplicates(["at"])
     a, b = sets.select(F.col("at").alias("y"), F.col("tokens").alias("a")), sets.select(F.col("at").alias("x"), F.col("tokens").alias("b"))
     common = F.size(F.array_intersect("a", "b"))
     met = likely.join(a.hint("merge"), "y").join(b.hint("merge"), "x")
-    return met.where((TOP + BOTTOM) * common >= TOP * (F.size("a") + F.size("b"))).select("y.doc", "y.line").distinct()
+    out = stored(met.where((TOP + BOTTOM) * common >= TOP * (F.size("a") + F.size("b"))).select("y.doc", "y.line").distinct(), "similar")
+    forget(likely, texts_of)
+    return out
 
 
 def _repeated(rows: DataFrame) -> DataFrame:
@@ -110,15 +113,20 @@ def _repeated(rows: DataFrame) -> DataFrame:
     parts = lambda c: (F.shiftright(c, 32).cast("int"), _low(c))
     groups = prefix.groupBy("token").agg(F.min(F.struct("doc", "line", "ni")).alias("lead"), F.count("*").alias("g")).where("g > 1")
     met = stored(prefix.join(groups.hint("merge"), "token").where("doc > lead.doc OR line > lead.line OR g > 2").join(copies.hint("merge"), ["doc", "line"], "left_anti").select("token", "doc", "line", "ni", F.col("lead.doc").alias("ld"), F.col("lead.line").alias("ll"), F.col("lead.ni").alias("lni"), (F.col("g") > 2).alias("wide")), "met")
+    forget(prefix)
     later = F.struct("doc", "line") > F.struct(F.col("ld").alias("doc"), F.col("ll").alias("line"))
     pairs = met.where(later & _possible(*parts("ni"), *parts("lni"))).select(F.struct("doc", "line").alias("y"), F.struct(F.col("ld").alias("doc"), F.col("ll").alias("line")).alias("x")).distinct()
-    done = stored(_verified(pairs, narrow, rows), "settled")
+    done = _verified(pairs, narrow, rows)
     wide = met.where("wide")
-    open_ = wide.join(done.hint("merge"), ["doc", "line"], "left_anti").select("token", "doc", "line", "ni")
+    open_ = stored(wide.join(done.hint("merge"), ["doc", "line"], "left_anti").select("token", "doc", "line", "ni"), "open")
     index = wide.where(later).select("token", F.col("doc").alias("xd"), F.col("line").alias("xl"), F.col("ni").alias("xni"))
     earlier = F.struct("doc", "line") > F.struct(F.col("xd").alias("doc"), F.col("xl").alias("line"))
     more = open_.join(index.hint("merge"), "token").where(earlier & _possible(*parts("ni"), *parts("xni"))).select(F.struct("doc", "line").alias("y"), F.struct(F.col("xd").alias("doc"), F.col("xl").alias("line")).alias("x")).distinct()
-    return copies.unionByName(done).unionByName(_verified(more, narrow, rows))
+    more = stored(more, "pairs")
+    forget(met, open_)
+    last = _verified(more, narrow, rows)
+    forget(more, narrow)
+    return copies.unionByName(done).unionByName(last)
 
 
 def repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
