@@ -44,8 +44,8 @@ def _documents(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 def _lines(rows: DataFrame) -> DataFrame:
     """(doc, line, tokens) of the lines with a word; line has the copy above its number."""
-    lines = rows.select("doc", "copy", F.posexplode(F.split("t", "\n")).alias("i", "s"))
-    return lines.select("doc", F.shiftleft("copy", 32).bitwiseOR(F.col("i").cast("long")).alias("line"), _tokens(F.col("s")).alias("tokens")).where(F.size("tokens") > 0)
+    lines = rows.select("doc", "copy", F.posexplode(F.split("t", "\n")).alias("i", "s")).where(F.col("s").rlike("[^\\x20\\x09-\\x0D]"))
+    return lines.select("doc", F.shiftleft("copy", 32).bitwiseOR(F.col("i").cast("long")).alias("line"), _tokens(F.col("s")).alias("tokens"))
 
 
 def _rarity(lines: DataFrame) -> Column:

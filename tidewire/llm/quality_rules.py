@@ -109,3 +109,13 @@ def ablation(rows: DataFrame, version: str = CURRENT) -> DataFrame:
 def quality_rules(docs: DataFrame, version: str = CURRENT) -> DataFrame:
     """Measurements, failure bits and the verdict of one policy for every row of ``docs``."""
     return apply_policy(ledger(measure(docs)), version)
+
+
+def kept_rows(docs: DataFrame, version: str = CURRENT) -> DataFrame:
+    """The rows of ``docs`` that a policy keeps, with their own columns.
+
+    The verdict holds a part that is not deterministic (and always true): else the optimizer would push the filter
+    below the measurements and compute each of them many times over inside it.
+    """
+    verdict = F.col("kept") & (F.monotonically_increasing_id() >= 0)
+    return quality_rules(docs, version).withColumn("kept", verdict).where("kept").select(*docs.columns)
