@@ -39,6 +39,12 @@ def relevance_gate(df: DataFrame, high: Sequence[str] = vocab.HIGH_SIGNAL, candi
     return df.withColumn("gate", gate).drop("gate_text")
 
 
+def whole(condition: C) -> Column:
+    """A condition for a column that a filter then reads: it has a part that is not deterministic (and always true), so
+    the optimizer keeps the filter above the columns it stands on instead of computing them again inside it."""
+    return col(condition) & (F.monotonically_increasing_id() >= 0)
+
+
 def summary_text() -> Column:
     return norm_text(F.concat_ws(" ", F.coalesce("summaries.pt", F.lit("")), F.coalesce("summaries.en", F.lit(""))))
 

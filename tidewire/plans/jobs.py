@@ -20,6 +20,6 @@ def consolidate(articles: DataFrame, rules: DataFrame, n: int = 500) -> DataFram
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Gate, score, keep first and average the sentiment of articles by candidate and topic."""
-    rows = G.relevance_gate(T.articles(spark, sf_dir), T.HIGH, T.CANDIDATE, T.CONTEXT, T.OFF, T.FOREIGN).where("gate")
+    rows = G.relevance_gate(T.articles(spark, sf_dir), T.HIGH, T.CANDIDATE, T.CONTEXT, T.OFF, T.FOREIGN).withColumn("gate", G.whole("gate")).where("gate")
     rows = rows.withColumn("relevance_signals", M.relevance_signals()).withColumn("relevance_score", M.relevance_score())
     return A.sentiment_by_topic(L.keep_first(rows)).orderBy("candidate", "topic")
