@@ -26,7 +26,7 @@ from tidewire.session import forget, stored
 
 #: Jaccard threshold as a fraction, and buckets of the rarity table.
 TOP, BOTTOM = 4, 5
-SLOTS = 1 << 16
+SLOTS = 1 << 20
 LAST = (1 << 63) - 1
 
 
@@ -55,8 +55,9 @@ def _rarity(lines: DataFrame) -> Column:
     """
     slots = F.transform("tokens", lambda t: F.pmod(t, F.lit(SLOTS)).cast("int"))
     counts = lines.select(F.explode(slots).alias("slot")).groupBy("slot").agg(F.count("*").alias("n"))
+    found = counts.select("slot", (F.log2("n") * 2).cast("int").alias("r")).toArrow()
     ranks = [0] * SLOTS
-    for slot, rank in counts.select("slot", (F.log2("n") * 2).cast("int")).collect():
+    for slot, rank in zip(*(c.to_pylist() for c in found.columns), strict=True):
         ranks[slot] = rank
     return F.split(F.lit(",".join(map(str, ranks))), ",").cast("array<tinyint>")
 
