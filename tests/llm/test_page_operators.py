@@ -72,6 +72,31 @@ def test_template_is_found_across_pages(spark):
     assert H.extract(spark.createDataFrame([], PAGES)).count() == 0
 
 
+def texts(spark, rows):
+    return {x.page_id: x.text for x in H.extract(spark.createDataFrame(rows, PAGES)).collect()}
+
+
+def test_copies_keep_their_text(spark):
+    page = "<div class='top'>Fixed words</div><div class='text'><h1>Title {0}</h1><p>Body of {0}</p></div>"
+    rows = [(i, f"http://copy.org/{i}", page.format("one" if i < 6 else i)) for i in range(10)]
+    rows += [(20 + i, f"http://small.org/{i}", page.format("same")) for i in range(4)]
+    got = texts(spark, rows)
+    for i in range(10):
+        assert got[i] == "Title {0}\nBody of {0}".format("one" if i < 6 else i)
+    for i in range(4):
+        assert got[20 + i] == "Fixed words\nTitle same\nBody of same"
+
+
+def test_template_of_each_layout(spark):
+    story = "<div class='text'><h1>Story {0}</h1><p>Words of {0}</p></div><div class='box'>Read this every day</div>"
+    listing = "<table class='grid'><tr><td>Price {0}</td></tr></table><div class='terms'><ul><li>Prices without tax</li></ul></div>"
+    deep = "<div>" * 200 + "<p>Deep words</p><p>Told {0}</p>"
+    rows = [(i, f"http://h.org/{i}", x.format(i)) for i, x in enumerate([story] * 9 + [listing] * 5 + [deep] * 5)]
+    got = texts(spark, rows)
+    for i in range(19):
+        assert got[i] == (f"Story {i}\nWords of {i}" if i < 9 else f"Price {i}" if i < 14 else f"Told {i}")
+
+
 def test_given_pages(spark):
     import html
 
