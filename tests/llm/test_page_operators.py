@@ -97,6 +97,22 @@ def test_template_of_each_layout(spark):
         assert got[i] == (f"Story {i}\nWords of {i}" if i < 9 else f"Price {i}" if i < 14 else f"Told {i}")
 
 
+def kept(page):
+    return [text for _, keep, text in H.parse(page)[1] if keep]
+
+
+def test_hint_words_do_not_drop_the_main_text():
+    body = "<h1>Title</h1><p>" + "Many words of the story. " * 8 + "</p>"
+    want = ["Title", ("Many words of the story. " * 8).strip()]
+    for wrapper in ("<div class='content has-sidebar'>", "<div class='ad-free'>", "<div id='widget'>", "<div class='sidebar'><article>", "<article class='post category-legal comments-open'>", "<article class='post'><div class='share-story'>", "<div class='notice'><main>"):
+        assert kept(wrapper + body) == want, wrapper
+    page = "<div class='ad-free layout'>" + body + "{}</div>"
+    for part in ("<div class='sidebar'>Left out</div>", "<p id='cookie-notice'>Left out</p>", "<div class='story ad-slot'>Left out</div>", "<div class='siteFooter'>Left out</div>", "<section class='comments'><article>Left out</article></section>"):
+        assert kept(page.format(part)) == want, part
+    assert kept("<article>" + body + "</article><div class='related'><article>Left out</article></div>") == want
+    assert kept(body + "<div class='legal-matters'>" + "All of this stays. " * 9 + "</div>")[2:] == [("All of this stays. " * 9).strip()]
+
+
 def test_given_pages(spark):
     import html
 
