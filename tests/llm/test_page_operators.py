@@ -59,6 +59,36 @@ def test_plain_records_and_version_lines():
     assert [(r[2] is None) for r in found] == [False, True, False, True]
 
 
+def test_members_of_many_records():
+    import hashlib
+    import random
+
+    r = random.Random(1)
+    blocks = [bytes(r.choices(b"abcdefgh <>/", k=3000)) for _ in range(12)]
+    one = [A.record([("WARC-Record-ID", f"<{i}>"), ("WARC-Block-Digest", A._b32(hashlib.sha1(b).hexdigest()))], b) for i, b in enumerate(blocks)]
+    other = A.member(A.record([("WARC-Record-ID", "<z>")], b"z"))
+
+    def read(data):
+        found = list(A.salvage(data))
+        return [f["warc-record-id"].strip("<>") for *_, f, _ in found if f], [x[:3] for x in found if x[2]]
+
+    names = [str(i) for i in range(12)]
+    whole = A.member(b"".join(one))
+    assert read(whole + other) == ([*names, "z"], [])
+    bad = A.member(b"".join([*one[:4], one[4].replace(blocks[4][:50], b"?" * 50), b"junk", *one[5:]]))
+    got, gaps = read(bad + other)
+    assert got == [*names[:4], *names[5:], "z"] and gaps == [(0, len(bad), "wrong digest")]
+    got, gaps = read(whole[: len(whole) // 2])
+    assert len(got) >= 5 and got == names[: len(got)] and gaps == [(0, len(whole) // 2, "cut off")]
+    half = len(whole) // 2
+    got, gaps = read(whole[:half] + b"\x00" * 400 + whole[half + 400 :] + other)
+    assert got[:5] == names[:5] and got[-1] == "z" and len(gaps) == 1 and gaps[0][:2] == (0, len(whole))
+    got, gaps = read(whole[:-8] + b"\x00" * 8 + other)
+    assert got == [*names, "z"] and gaps[0][:2] == (0, len(whole))
+    single = A.member(one[0])
+    assert read(single[:-8] + b"\x00" * 8 + other)[0] == ["z"]
+
+
 PAGE = '<html><head><title>t</title><style>p{{}}</style></head><body><nav><ul><li><a href="/">Home</a></ul></nav><div class="box">Fixed words here</div><div id="cookie-notice">We use cookies</div><div class="text"><h1>Title {0}</h1><p>Body &amp; soul of {0}<br>goes on <b>and on</b><p>Second {0}</div><form>Ask</form><section class="comments"><p>Nice {0}</section><footer>&copy; {0}</footer>'
 
 

@@ -3,7 +3,9 @@
 ``write_archives`` packs one gzip member per record into archives of about ``ARCHIVE`` bytes, each a row (archive,
 data) that Spark's own writer commits, so a lost executor only repeats its tasks. ``read_archives`` accepts such rows
 or files read with ``spark.read.format("binaryFile")``; after a failed check it searches for the next gzip member or
-version line, goes on there, and reports the bytes between as a gap with the reason.
+version line, goes on there, and reports the bytes between as a gap with the reason. Inside a member it goes on at the next
+version line of the content, also of what was inflated before an error; gaps there bear the offsets of their member. If
+only the checksum of a member fails, a record counts if its own digest holds and it is not the only one.
 
 Defined cases: a null payload is empty; a null url writes no target header; rows with the same id and payload are all
 responses if that id is the kept one; a null id counts below every other; an empty table gives no archives.
@@ -87,16 +89,28 @@ def write_archives(decided: DataFrame) -> DataFrame:
     return decided.select("key", "url", "payload", "digest", "size", "refers_to").mapInArrow(run, "archive string, data binary")
 
 
-def _inflate(data: memoryview, start: int) -> tuple[bytes, int]:
-    """(content, end) of the gzip member at ``start``; raises if it is damaged or cut off."""
+def _inflate(data: memoryview, start: int) -> tuple[bytes, int, str | None]:
+    """(content, end, reason) of the gzip member at ``start``; with a reason, what could be inflated before the error."""
     z, out, at = zlib.decompressobj(31), [], start
     while not z.eof:
         chunk = data[at : at + STEP]
         if not len(chunk):
-            raise ValueError("cut off")
-        out.append(z.decompress(chunk))
+            return b"".join(out), at, "cut off"
+        try:
+            out.append(z.decompress(chunk))
+        except zlib.error as e:
+            # the failing call gives nothing back: repeat it byte by byte
+            z = zlib.decompressobj(31)
+            for k in range(start, at, STEP):
+                z.decompress(data[k : min(k + STEP, at)])
+            try:
+                while True:
+                    out.append(z.decompress(data[at : at + 1]))
+                    at += 1
+            except zlib.error:
+                return b"".join(out), at, str(e)[:80]
         at += len(chunk)
-    return b"".join(out), at - len(z.unused_data)
+    return b"".join(out), at - len(z.unused_data), None
 
 
 def _parse(data: bytes, start: int) -> tuple[dict[str, str], bytes, int]:
@@ -120,30 +134,55 @@ def _parse(data: bytes, start: int) -> tuple[dict[str, str], bytes, int]:
     return fields, block, end + 4
 
 
+def _inside(content: bytes, reason: str | None) -> list[tuple[str | None, dict[str, str] | None, bytes | None]]:
+    """``(reason, fields, block)`` of all records and gaps of a member's content, in order."""
+    found, inner, bad = [], 0, False
+    checked = bool(reason) and "incorrect" in reason and "check" in reason
+    while inner < len(content):
+        try:
+            fields, block, stop = _parse(content, inner)
+            if checked and (inner == 0 and stop == len(content) or not fields.get("warc-block-digest", "").startswith("sha1:")):
+                raise ValueError(reason)
+            found.append((None, fields, block))
+            inner, bad = stop, False
+        except ValueError as e:
+            if not bad:
+                found.append((str(e)[:80], None, None))
+                bad = True
+            at = content.find(b"WARC/1.", inner + 1)
+            inner = at if at >= 0 else len(content)
+    return found
+
+
 def salvage(data: bytes) -> Iterator[tuple[int, int, str | None, dict[str, str] | None, bytes | None]]:
     """``(start, stop, reason, fields, block)`` of all records and gaps of one archive, in order; a gap has a reason."""
     view, at, gap, why = memoryview(data), 0, -1, ""
     while at < len(data):
+        found, broken = [], None
         try:
             if data[at : at + 2] == b"\x1f\x8b":
-                content, stop = _inflate(view, at)
-                found, inner = [], 0
-                while inner < len(content):
-                    fields, block, inner = _parse(content, inner)
-                    found.append((at, stop, None, fields, block))
+                content, stop, broken = _inflate(view, at)
+                inside = _inside(content, broken)
+                if broken and inside and inside[-1][0]:
+                    inside.pop()  # the gap of the member stands for it
+                if (content or broken) and not any(f for _, f, _ in inside):
+                    raise ValueError(broken or inside[0][0])
+                found = [(at, stop, *x) for x in inside]
             else:
                 fields, block, stop = _parse(data, at)
                 found = [(at, stop, None, fields, block)]
-        except (ValueError, zlib.error) as e:
+        except ValueError as e:
+            broken = str(e)[:80]
+        if found and gap >= 0:
+            yield gap, at, why, None, None
+            gap = -1
+        yield from found
+        if broken:
             if gap < 0:
-                gap, why = at, str(e)[:80]
+                gap, why = at, broken
             nexts = [x for x in (data.find(b"\x1f\x8b\x08", at + 1), data.find(b"WARC/1.", at + 1)) if x >= 0]
             at = min(nexts) if nexts else len(data)
             continue
-        if gap >= 0:
-            yield gap, at, why, None, None
-            gap = -1
-        yield from found
         at = stop
     if gap >= 0:
         yield gap, len(data), why, None, None
