@@ -19,6 +19,18 @@ def test_near_duplicates_across_batches(spark, tmp_path):
     assert sorted(r.id for r in spark.read.parquet(out).collect()) == ["a", "b", "d"]
 
 
+def test_near_duplicates_of_rows_without_a_time(spark, tmp_path):
+    t, late = dt.datetime(2026, 1, 1), dt.datetime(2026, 3, 1)
+    first = [("a", 1, "Governo anuncia novo plano de metas", None, None), ("b", 2, "Outro assunto bem diferente hoje", None, late), ("c", 3, "Chuva forte atinge toda a cidade", t, t)]
+    second = [("d", 4, "GOVERNO anuncia novo plano de metas", late, late), ("e", 5, "OUTRO assunto bem diferente hoje", late, late)]
+    third = [("f", 6, "CHUVA forte atinge toda a cidade", None, None)]
+    out, ck = str(tmp_path / "out"), str(tmp_path / "ck")
+    for rows in (first, second, third):
+        spark.createDataFrame(rows, SCHEMA).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        jobs.near_duplicate_batches(jobs.landed(spark, str(tmp_path / "in"), SCHEMA), out, ck).awaitTermination(200)
+    assert sorted(r.id for r in spark.read.parquet(out).collect()) == ["a", "b", "c"]
+
+
 def test_daily_mentions(spark, tmp_path):
     rows = [("x", dt.datetime(2026, 1, d, h)) for d in (1, 2, 5) for h in (1, 20)]
     spark.createDataFrame(rows, "k string, at timestamp").coalesce(1).write.parquet(str(tmp_path / "in"))

@@ -39,15 +39,20 @@ def append_new(stream: DataFrame, target: str, key: str, checkpoint: str) -> Str
 
 
 def near_duplicate_batches(stream: DataFrame, target: str, checkpoint: str, window_hours: int = 48) -> StreamingQuery:
-    """Titles of each batch against the target's last hours: rows that an earlier kept one matches are left out."""
+    """Titles of each batch against the target's last hours: rows that an earlier kept one matches are left out.
+
+    A row without a time matches any time, so stored ones are always read, and for one in the batch all stored rows are.
+    """
     from tidewire.operators.similarity import first_wins, title_pairs
 
     def write(batch: DataFrame, epoch: int) -> None:
         spark, rows = batch.sparkSession, batch
         try:
             old = spark.read.schema(batch.schema).parquet(target)
-            low = batch.agg(F.min("published_at") - F.make_dt_interval(hours=F.lit(window_hours)))
-            old = old.where(F.col("published_at") >= low.first()[0]) if batch.limit(1).count() else old.limit(0)
+            at = F.coalesce("published_at", "collected_at")
+            low, timeless = batch.agg(F.min(at) - F.make_dt_interval(hours=F.lit(window_hours)), F.count_if(at.isNull())).first()
+            if not timeless:  # an empty batch has neither
+                old = old.where(at.isNull() | (at >= low)) if low is not None else old.limit(0)
             rows = old.unionByName(batch.join(old.select("id"), "id", "left_anti"))
         except Exception as e:  # the first batch finds no target
             if "PATH_NOT_FOUND" not in str(e):
