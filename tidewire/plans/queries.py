@@ -20,6 +20,7 @@ from tidewire.operators import checks as V
 from tidewire.operators import lifecycle as L
 from tidewire.operators import quiz as Z
 from tidewire.operators import similarity as K
+from tidewire.plans import jobs
 from tidewire.plans import tables as T
 from tidewire.sources import annotations as N
 from tidewire.sources import feeds as S
@@ -747,6 +748,16 @@ def k02_k05_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return K.clusters(K.cosine_pairs(T.articles(spark, sf_dir)).select("a", "b"))
 
 
+@query()
+def k05_narrative_pass(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jobs.narrative_pass(T.articles(spark, sf_dir)).select("ordinal", "status", "narrative_cluster_id", "duplicate_of")
+
+
+@query()
+def k06_clean_up(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jobs.clean_up(T.articles(spark, sf_dir)).select("ordinal", "was", "status", "relevance_score", "demoted", "narrative_cluster_id", "duplicate_of")
+
+
 TITLES = f"""tt AS (SELECT ordinal, id, coalesce(published_at, collected_at) AS ts, {norm("title")} AS t FROM articles WHERE {norm("title")} <> ''),
 tp AS (SELECT a.ordinal AS pa, b.ordinal AS pb FROM tt a JOIN tt b ON a.ordinal < b.ordinal WHERE {PAIR_TIME} AND (a.t = b.t OR (length(a.t) > 20 AND length(b.t) > 20 AND (contains(a.t, b.t) OR contains(b.t, a.t)))
   OR len(list_intersect(list_distinct(string_split(a.t, ' ')), list_distinct(string_split(b.t, ' ')))) >= 0.8 * len(list_distinct(string_split(a.t, ' ') || string_split(b.t, ' '))) - 1e-9))"""
