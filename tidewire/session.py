@@ -24,9 +24,12 @@ def configure(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder the cluster shares, from ``spark.checkpoint.dir``; a local one only where that is unset."""
+    """The folder the cluster shares, from ``spark.checkpoint.dir``; where that is unset, a local one in local mode only."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(found)
@@ -39,15 +42,17 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def stored(df: DataFrame, name: str = "t") -> DataFrame:
+def stored(df: DataFrame, name: str = "t", **options: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: exact sizes and pruned columns for later plans.
 
+    ``options`` are those of the Parquet writer.
+
     What led to the table is then garbage. Spark deletes shuffle files once the driver has collected the objects that
     stand for them, which an idle driver does late or never, so a collection is asked for here.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.stored_path = path
     gc.collect()
