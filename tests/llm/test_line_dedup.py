@@ -41,3 +41,33 @@ def test_edges_of_the_input(spark):
     got = sorted(((x.doc_id or 99, x.text, x.n_removed) for x in drop_repeated_lines(df).collect()), key=str)
     assert got == sorted([(1, "A b\n\n \nc", 0), (2, "d", 1), (2, "d", 1), (3, None, 0), (4, "", 0), (99, "", 1)], key=str)
     assert repeated_lines(df.limit(0)).count() == 0
+
+
+def test_frequent_tokens_and_long_lines_match_brute_force(spark, monkeypatch):
+    """All tokens frequent: pairs of tokens and classes of lengths are the keys, ids are shuffled, not sent."""
+    import tidewire.llm.line_dedup as L
+
+    monkeypatch.setattr(L, "HOT", 1)
+    monkeypatch.setattr(L, "LONG", 12)
+    monkeypatch.setattr(L, "FEW", 0)
+    r = random.Random(9)
+    words = [f"w{i}" for i in range(90)]
+    base = [[r.choice(words) for _ in range(r.randint(1, 40))] for _ in range(15)]
+    rows = []
+    for doc in range(50):
+        lines = []
+        for _ in range(4):
+            w = list(r.choice(base))
+            for _ in range(r.randint(0, 6)):
+                w[r.randrange(len(w))] = r.choice(words)
+            lines.append(" ".join(w))
+        rows.append((doc, "\n".join(lines)))
+    rows.append((50, " ".join(f"long{i}" for i in range(5000)) + "\n" + " ".join(f"long{i}" for i in range(500, 5000))))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {x.doc_id: x.text for x in drop_repeated_lines(df).collect()} == brute(rows)
+
+
+def test_clashing_columns(spark):
+    df = spark.createDataFrame([(1, "a b\na b", 3, 4, 5, 6)], "doc_id long, text string, copy int, doc int, _gone int, n_removed int")
+    (row,) = drop_repeated_lines(df).collect()
+    assert row.asDict() == {"doc_id": 1, "text": "a b", "copy": 3, "doc": 4, "_gone": 5, "n_lines": 2, "n_removed": 1}

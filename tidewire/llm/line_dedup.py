@@ -1,149 +1,238 @@
 """Line deduplication by an exact set-similarity join, in DataFrame functions only.
 
 A line is the set of its lower-cased words. It is removed if an earlier line (by document id, then line number; lines
-of one document count too) has a Jaccard similarity of at least 0.8 with it. Tokens are ordered by rarity, estimated by
-a count per hash bucket: a constant of ``SLOTS`` numbers, as large for any corpus. Lines that match share a token among
-the first n - ceil(0.8 n) + 1 of each (prefix filter), differ little in size (length filter), and leave enough tokens
-behind the shared one (positional filter).
-
-Within a token's group no all-pairs product is made: first every line meets only the group's earliest line, which
-settles near copies in linear work; then lines still open meet the earlier lines of groups of three or more. Lines that
-repeat another's set are found before by a hash of the set and take no part. Candidates are thinned by parity bitmaps
-of the sets (they differ in no more bits than the sets in tokens, so no match is lost) and verified on the whole sets, which
-are read from the texts again, for lines in candidate pairs only.
+of one document count too) has a Jaccard similarity of at least 0.8 with it. The steps:
+
+1. Equal lines are combined before and after one shuffle by their text; of each text the earliest line goes on, as
+   the sorted 32-bit hashes of its words (matching lines share at least as many hashes as words) and a parity bitmap, in
+   which each token flips one bit.
+2. Every line meets, of those with the same two extreme tokens in one of two orders, one line of the first document and
+   that with the most copies. That settles most near copies in linear work; a settled line is still met by others, but
+   does not look for more matches itself.
+3. Tokens are ordered by rarity, estimated by a count per hash bucket: a table of ``SLOTS`` numbers for any corpus.
+4. Lines that match share a token among the first n - ceil(0.8 n) + 1 of each (prefix filter). A token of a bucket with
+   ``HOT`` or more occurrences is refined: if it is the first that both share, the next one stands among the first
+   n - ceil(0.8 n) + 2 of each, so pairs of tokens are the keys, or for long lines a token and a class of lengths.
+5. Lines of one key that differ little in size (length filter), leave enough tokens behind the shared one (positional
+   filter) and whose bitmaps differ in no more bits than the sets may in tokens are candidates. All three filters are
+   conditions of the join, so that only candidates leave it, and only from the first of a run of shared tokens.
+6. Candidates are verified on their whole sets of words, as 64-bit hashes, which are read from the texts again.
 
 Defined cases: ids must be integers; lines without a word stay and match nothing; null texts have no lines; rows with
 one id are one document after another in the order of their texts' hashes, identical rows are judged as one; rows with
-a null id come last; an empty table gives an empty table.
+a null id come last; an empty table gives an empty table; columns named like the added ones are replaced.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewire.session import forget, stored
 
-#: Jaccard threshold as a fraction, and buckets of the rarity table.
+#: Jaccard threshold as a fraction, buckets of the rarity table, occurrences in a bucket that make its tokens frequent.
 TOP, BOTTOM = 4, 5
-SLOTS = 1 << 20
+SLOTS, HOT = 1 << 18, 512
+#: Tokens of a line up to which frequent tokens are paired.
+LONG = 80
+#: Lines of which places (16 bytes each) are sent to all tasks; more of them are shuffled.
+FEW = 1 << 19
 LAST = (1 << 63) - 1
+WORD = "[^\\x20\\x09-\\x0D]"
 
 
 def _tokens(line: Column) -> Column:
-    """Hashes of the distinct lower-cased words of a line."""
-    return F.array_distinct(F.transform(F.array_remove(F.split(F.lower(line), "[\\x20\\x09-\\x0D]+"), ""), lambda w: F.xxhash64(w)))
+    """Hashes of the distinct lower-cased words of a line; its other white space than spaces is turned into spaces first."""
+    line = F.lower(line)
+    for c in "\t\x0b\x0c\r":
+        line = F.replace(line, F.lit(c), F.lit(" "))
+    return F.array_distinct(F.transform(F.array_remove(F.split(line, " "), ""), lambda w: F.xxhash64(w)))
 
 
 def _documents(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(doc, copy, t): the id, null as the last, and where ids repeat a hash that tells their texts apart."""
-    again = docs.groupBy(key).agg(F.count("*").alias("n")).where("n > 1").limit(1).count()
+    """(row, doc, copy, t): the whole row, the id, null as the last, and where ids repeat a hash that tells their texts apart."""
+    again = docs.groupBy(F.col(key).alias("k")).agg(F.count("*").alias("n")).where("n > 1").limit(1).count()
     copy = F.coalesce(F.xxhash64(text).bitwiseAND(F.lit(0x7FFFFFFF)), F.lit(0)) if again else F.lit(0).cast("long")
-    return docs.select(F.coalesce(F.col(key).cast("long"), F.lit(LAST)).alias("doc"), copy.alias("copy"), F.col(text).alias("t"))
+    return docs.select(F.struct("*").alias("row"), F.coalesce(F.col(key).cast("long"), F.lit(LAST)).alias("doc"), copy.alias("copy"), F.col(text).alias("t"))
 
 
 def _lines(rows: DataFrame) -> DataFrame:
-    """(doc, line, tokens) of the lines with a word; line has the copy above its number."""
-    lines = rows.select("doc", "copy", F.posexplode(F.split("t", "\n")).alias("i", "s")).where(F.col("s").rlike("[^\\x20\\x09-\\x0D]"))
-    return lines.select("doc", F.shiftleft("copy", 32).bitwiseOR(F.col("i").cast("long")).alias("line"), _tokens(F.col("s")).alias("tokens"))
+    """(doc, line, s) of the lines with a word; line has the copy above its number."""
+    lines = rows.select("doc", "copy", F.posexplode(F.split("t", "\n")).alias("i", "s")).where(F.col("s").rlike(WORD))
+    return lines.select("doc", F.shiftleft("copy", 32).bitwiseOR(F.col("i").cast("long")).alias("line"), "s")
+
+
+def _parity(of: Callable[[Column], Column] | None = None) -> Column:
+    """Bitmap in which every token flips one bit, or no bit if ``of`` it is 0 (a shift by a number takes its lowest 6 bits)."""
+    return F.aggregate("w", F.lit(0).cast("long"), lambda a, t: a.bitwiseXOR(F.call_function("shiftleft", of(t) if of else F.lit(1).cast("long"), t)))
+
+
+def _sets(rows: DataFrame) -> DataFrame:
+    """(doc, line, copies, w) of the earliest line of each text with a word; w are its tokens."""
+    lines = _lines(rows).select(F.xxhash64("s").alias("h"), "s", F.struct("doc", "line").alias("place"))
+    first = lines.groupBy("h", "s").agg(F.min("place").alias("place"), F.count("*").alias("copies"))
+    half = F.sort_array(F.transform(_tokens(F.col("s")), lambda t: F.shiftright(t, 32).cast("int")))
+    return stored(first.select("place.doc", "place.line", "copies", half.alias("w")), "sets", **{"parquet.enable.dictionary": "false"})
+
 
+def _slot(t: Column) -> Column:
+    return t.bitwiseAND(F.lit(SLOTS - 1))
 
-def _rarity(lines: DataFrame) -> Column:
-    """About 2 log2 of the number of lines with a token of each bucket: a constant array of ``SLOTS`` small numbers.
+
+def _rarity(sets: DataFrame) -> Column:
+    """2^32 times about 2 log2 of the tokens in each bucket: a constant array of ``SLOTS`` numbers.
 
     This table, of one size for any corpus, is all that reaches the driver; the optimizer folds it into one literal.
     """
-    slots = F.transform("tokens", lambda t: F.pmod(t, F.lit(SLOTS)).cast("int"))
-    counts = lines.select(F.explode(slots).alias("slot")).groupBy("slot").agg(F.count("*").alias("n"))
+    counts = sets.select(F.explode("w").alias("t")).select(_slot(F.col("t")).alias("slot")).groupBy("slot").agg(F.count("*").alias("n"))
     found = counts.select("slot", (F.log2("n") * 2).cast("int").alias("r")).toArrow()
     ranks = [0] * SLOTS
     for slot, rank in zip(*(c.to_pylist() for c in found.columns), strict=True):
-        ranks[slot] = rank
-    return F.split(F.lit(",".join(map(str, ranks))), ",").cast("array<tinyint>")
+        ranks[slot] = rank << 32
+    return F.split(F.lit(",".join(map(str, ranks))), ",").cast("array<bigint>")
+
+
+def _heads(sets: DataFrame) -> DataFrame:
+    """(doc, line, copies, n, b1, b2, ends, keep, p): bitmap, hashes of pairs of extreme tokens, length of the prefix, and
+    the prefix and one token more, as rank times 2^32 plus the token's hash."""
+    rank = _rarity(sets)
+    no = F.lit(0)  # for no null: sorting is faster where the type has none
+    other = F.sort_array(F.transform("w", lambda t: F.coalesce(F.call_function("shiftleft", t, F.lit(11)), no)))  # by another part of the hash
+    ends = F.array(*(F.xxhash64(F.lit(k), F.slice(a, at, 2)) for k, (a, at) in enumerate(((F.col("w"), 1), (F.col("w"), -2), (other, 1), (other, -2)))))
+    rarest = F.sort_array(F.transform("w", lambda t: F.coalesce(F.get(rank, _slot(t)) + t, no.cast("long"))))
+    n = F.size("w")
+    keep = n - F.ceil(TOP * n / F.lit(BOTTOM)).cast("int") + 1
+    half = _parity(lambda t: F.shiftright(t, 6).bitwiseAND(F.lit(1)).cast("long"))
+    heads = sets.select("doc", "line", "copies", n.alias("n"), half.alias("b1"), _parity().alias("b2"), F.when(n > 1, ends).alias("ends"), keep.alias("keep"), F.slice(rarest, F.lit(1), keep + 1).alias("p"))
+    return stored(heads.withColumn("b2", F.col("b1").bitwiseXOR(F.col("b2"))), "heads", **{"parquet.enable.dictionary": "false"})
 
 
-def _parity(bits: int) -> Column:
-    """Bitmap in which every token flips one bit."""
-    return F.aggregate("tokens", F.lit(0).cast("long"), lambda a, t: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(t, bits).bitwiseAND(F.lit(63)).cast("int"))))
+def _lengths(n: Column, m: Column) -> Column:
+    """Whether sets of n and m tokens can be similar."""
+    return (BOTTOM * n >= TOP * m) & (BOTTOM * m >= TOP * n)
 
 
-def _low(c: str) -> Column:
-    return F.col(c).bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")
+def _near(a: Column, b: Column, c: Column, d: Column, n: Column, m: Column) -> Column:
+    """Whether the bitmaps (a, c) and (b, d) differ in no more bits than similar sets of n and m tokens can."""
+    return (TOP + BOTTOM) * (F.bit_count(a.bitwiseXOR(b)) + F.bit_count(c.bitwiseXOR(d))) <= n + m
+
+
+def _sent(ids: DataFrame) -> DataFrame:
+    """A stored table of places as a join's side: sent to all tasks if it has at most ``FEW`` rows, else shuffled."""
+    return F.broadcast(ids) if ids.count() <= FEW else ids.hint("merge")
+
 
+def _verified(pairs: DataFrame, rows: DataFrame) -> DataFrame:
+    """(doc, line) of the lines y of stored pairs (y, x) of places whose sets are similar enough; deletes the pairs.
 
-def _possible(n: Column, i: Column, m: Column, j: Column) -> Column:
-    """Length and positional filters for sets of n and m tokens that share the tokens at i and j (from 0)."""
-    need = TOP * (n + m)  # overlap * (TOP + BOTTOM) >= TOP * (n + m)
-    return (BOTTOM * n >= TOP * m) & (BOTTOM * m >= TOP * n) & ((TOP + BOTTOM) * (1 + F.least(n - i - 1, m - j - 1)) >= need)
-
-
-def _verified(pairs: DataFrame, narrow: DataFrame, rows: DataFrame) -> DataFrame:
-    """(doc, line) of the later lines of pairs (y, x) whose sets are similar enough."""
-    of = lambda p: narrow.select(F.struct("doc", "line").alias(p), F.col("n").alias(f"n_{p}"), F.col("b1").alias(f"b1_{p}"), F.col("b2").alias(f"b2_{p}"))
-    both = pairs.join(of("y").hint("merge"), "y").join(of("x").hint("merge"), "x")
-    apart = F.greatest(F.bit_count(F.col("b1_y").bitwiseXOR(F.col("b1_x"))), F.bit_count(F.col("b2_y").bitwiseXOR(F.col("b2_x"))))
-    likely = stored(both.where((TOP + BOTTOM) * apart <= F.col("n_y") + F.col("n_x")).select("y", "x"), "likely")
-    wanted = likely.select(F.explode(F.array("y", "x")).alias("p")).select("p.doc", "p.line").distinct()
-    wanted = wanted.groupBy("doc").agg(F.collect_set("line").alias("want"))  # no more than a document has lines
-    texts = rows.join(wanted.hint("merge"), "doc").select("doc", "copy", "want", F.posexplode(F.split("t", "\n")).alias("i", "s"))
-    line = F.shiftleft("copy", 32).bitwiseOR(F.col("i").cast("long"))
-    texts_of = stored(texts.where(F.array_contains("want", line)).select(F.struct("doc", line.alias("line")).alias("at"), _tokens(F.col("s")).alias("tokens")), "sets")
-    sets = texts_of.dropDuplicates(["at"])
-    a, b = sets.select(F.col("at").alias("y"), F.col("tokens").alias("a")), sets.select(F.col("at").alias("x"), F.col("tokens").alias("b"))
-    common = F.size(F.array_intersect("a", "b"))
-    met = likely.join(a.hint("merge"), "y").join(b.hint("merge"), "x")
-    out = stored(met.where((TOP + BOTTOM) * common >= TOP * (F.size("a") + F.size("b"))).select("y.doc", "y.line").distinct(), "similar")
-    forget(likely, texts_of)
+    The words of both are read from the texts again, for lines of candidate pairs only.
+    """
+    places = stored(pairs.select(F.explode(F.array("y", "x")).alias("p")).select("p.doc", "p.line").distinct(), "places")
+    found = stored(_lines(rows).join(_sent(places), ["doc", "line"]).select(F.struct("doc", "line").alias("at"), _tokens(F.col("s")).alias("tokens")), "found")
+    side = lambda c: found.dropDuplicates(["at"]).select(F.col("at").alias(c), F.col("tokens").alias(f"t_{c}"))
+    both = pairs.join(side("y").hint("merge"), "y").join(side("x").hint("merge"), "x")
+    common = F.size(F.array_intersect("t_y", "t_x"))
+    both = both.where((TOP + BOTTOM) * common >= TOP * (F.size("t_y") + F.size("t_x")))
+    out = stored(both.select("y.doc", "y.line").distinct(), "similar")
+    forget(pairs, places, found)
     return out
 
 
-def _repeated(rows: DataFrame) -> DataFrame:
-    """(doc, line) of every line to remove."""
-    lines = _lines(rows)
-    rank = _rarity(lines)
-    narrow = stored(lines.select("doc", "line", F.size("tokens").alias("n"), F.xxhash64(F.sort_array("tokens")).alias("sig"), _parity(7).alias("b1"), _parity(23).alias("b2")), "narrow")
-    # one line per set goes on; the others repeat it
-    first = narrow.groupBy("sig", "n").agg(F.min(F.struct("doc", "line")).alias("first"))
-    copies = stored(narrow.select("doc", "line", "sig", "n").join(first.hint("merge"), ["sig", "n"]).where("struct(doc, line) > first").select("doc", "line"), "copies")
-    # one long orders tokens by rarity, then hash: rank above, 56 bits of the token below
-    coded = F.sort_array(F.transform("tokens", lambda t: F.shiftleft(F.get(rank, F.pmod(t, F.lit(SLOTS)).cast("int")).cast("long"), 56).bitwiseOR(t.bitwiseAND(F.lit((1 << 56) - 1)))))
-    n = F.size("tokens")
-    keep = n - F.ceil(TOP * n / F.lit(BOTTOM)).cast("int") + 1
-    prefix = lines.select("doc", "line", n.alias("n"), F.posexplode(F.slice(coded, F.lit(1), keep)).alias("i", "token"))
-    prefix = stored(prefix.select("token", "doc", "line", F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("i").cast("long")).alias("ni")), "prefix")
-    parts = lambda c: (F.shiftright(c, 32).cast("int"), _low(c))
-    groups = prefix.groupBy("token").agg(F.min(F.struct("doc", "line", "ni")).alias("lead"), F.count("*").alias("g")).where("g > 1")
-    met = stored(prefix.join(groups.hint("merge"), "token").where("doc > lead.doc OR line > lead.line OR g > 2").join(copies.hint("merge"), ["doc", "line"], "left_anti").select("token", "doc", "line", "ni", F.col("lead.doc").alias("ld"), F.col("lead.line").alias("ll"), F.col("lead.ni").alias("lni"), (F.col("g") > 2).alias("wide")), "met")
-    forget(prefix)
-    later = F.struct("doc", "line") > F.struct(F.col("ld").alias("doc"), F.col("ll").alias("line"))
-    pairs = met.where(later & _possible(*parts("ni"), *parts("lni"))).select(F.struct("doc", "line").alias("y"), F.struct(F.col("ld").alias("doc"), F.col("ll").alias("line")).alias("x")).distinct()
-    done = _verified(pairs, narrow, rows)
-    wide = met.where("wide")
-    open_ = stored(wide.join(done.hint("merge"), ["doc", "line"], "left_anti").select("token", "doc", "line", "ni"), "open")
-    index = wide.where(later).select("token", F.col("doc").alias("xd"), F.col("line").alias("xl"), F.col("ni").alias("xni"))
-    earlier = F.struct("doc", "line") > F.struct(F.col("xd").alias("doc"), F.col("xl").alias("line"))
-    more = open_.join(index.hint("merge"), "token").where(earlier & _possible(*parts("ni"), *parts("xni"))).select(F.struct("doc", "line").alias("y"), F.struct(F.col("xd").alias("doc"), F.col("xl").alias("line")).alias("x")).distinct()
-    more = stored(more, "pairs")
-    forget(met, open_)
-    last = _verified(more, narrow, rows)
-    forget(more, narrow)
-    return copies.unionByName(done).unionByName(last)
+def _later(doc: Column, line: Column, other: Column, its: Column) -> Column:
+    return (doc > other) | ((doc == other) & (line > its))
+
+
+def _led(heads: DataFrame) -> DataFrame:
+    """Pairs (y, x) of a line and an earlier one with the same two extreme tokens: of the first document, or the text with
+    the most copies, which near copies tend to stem from."""
+    rows = heads.select(F.explode("ends").alias("key"), "doc", "line", "copies", "n", "b1", "b2")
+    of = lambda f, by: F.struct(*(f(c, by).alias(c) for c in ("doc", "line", "n", "b1", "b2")))
+    leads = rows.groupBy("key").agg(F.count("*").alias("g"), F.array(of(F.min_by, "doc"), of(F.max_by, "copies")).alias("leads")).where("g > 1")
+    leads = stored(leads.select("key", F.explode(F.array_distinct("leads")).alias("x")), "leads")
+    n, m = F.col("n"), F.col("x.n")
+    near = _near(F.col("b1"), F.col("x.b1"), F.col("b2"), F.col("x.b2"), n, m)
+    met = rows.join(leads.hint("merge"), "key").where(_later(F.col("doc"), F.col("line"), F.col("x.doc"), F.col("x.line")) & _lengths(n, m) & near)
+    out = stored(met.select(F.struct("doc", "line").alias("y"), F.struct("x.doc", "x.line").alias("x")).distinct(), "led")
+    forget(leads)
+    return out
+
+
+def _rows(heads: DataFrame) -> DataFrame:
+    """(key, doc, line, b1, b2, ni, before) of the prefixes ``p`` of lines; ni packs n, the token's place, whether the key has
+    the lower class, and open; before is the token before this one (of a pair, before the second, if that isn't the first), if any.
+
+    A rare token is a key. A frequent one of a line of at most ``LONG`` tokens makes a key with each that follows it. As
+    the pairs of a long line are too many, a frequent token of a line of at least 0.8 ``LONG`` also makes a key with each
+    of two classes of lengths: lines of similar length are in one class or in neighbours, and so share a key.
+    """
+    code = lambda at: F.get("p", at).bitwiseAND(F.lit(0xFFFFFFFF))
+    place = lambda k, i, before, lower=0: F.struct(k.alias("key"), (2 * i + lower).alias("i"), before.alias("before"))
+    hot = F.lit((2 * (HOT.bit_length() - 1) << 32) - (1 << 31))
+
+    def of(t: Column, i: Column) -> Column:
+        before = code(i - 1)
+        pair = lambda u, k: place(F.xxhash64(t, u), i, F.when(k == 0, before).otherwise(code(i + k)))
+        pairs = F.when(F.col("n") <= LONG, F.transform(F.slice("p", i + 2, F.col("keep") - i), pair))
+        wide = F.when(BOTTOM * F.col("n") >= TOP * LONG, F.transform("classes", lambda c, k: place(F.xxhash64(t, c), i, before, k)))
+        none = F.array().cast("array<struct<key:bigint,i:int,before:bigint>>")
+        return F.when((t < hot) | (F.col("n") == 1), F.array(place(F.xxhash64(t), i, before))).otherwise(F.concat(F.coalesce(pairs, none), F.coalesce(wide, none)))
+
+    c = F.floor(F.log(BOTTOM / TOP, "n")).cast("int")
+    heads = heads.withColumn("classes", F.array(c, c - 1))
+    each = heads.select("doc", "line", "n", "b1", "b2", "open", F.explode(F.flatten(F.transform(F.slice("p", F.lit(1), F.col("keep")), of))).alias("k"))
+    ni = F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.shiftleft("k.i", 1).cast("long")).bitwiseOR(F.col("open").cast("long"))
+    return each.select("k.key", "doc", "line", "b1", "b2", ni.alias("ni"), F.col("k.before"))
+
+
+def _similar(heads: DataFrame, texts: DataFrame) -> DataFrame:
+    """(doc, line) of the lines of ``heads`` that have an earlier similar one."""
+    led = _verified(_led(heads), texts)
+    lines = heads.join(_sent(led.withColumn("done", F.lit(True))), ["doc", "line"], "left")
+    rows = _rows(lines.select("doc", "line", "n", "b1", "b2", F.col("done").isNull().alias("open"), "keep", "p"))
+    y, x = rows.alias("y"), rows.alias("x")
+    n, m = (F.shiftright(f"{s}.ni", 32).cast("int") for s in "yx")
+    i, j = (F.shiftright(F.col(f"{s}.ni").bitwiseAND(F.lit(0xFFFFFFFF)), 2).cast("int") for s in "yx")
+    # one condition of both sides, not a filter of one: so both read one exchange
+    wanted = F.when(_later(F.col("y.doc"), F.col("y.line"), F.col("x.doc"), F.col("x.line")), F.col("y.ni") % 2 == 1)
+    enough = (TOP + BOTTOM) * (1 + F.least(n - i - 1, m - j - 1)) >= TOP * (n + m)
+    near = _near(F.col("y.b1"), F.col("x.b1"), F.col("y.b2"), F.col("x.b2"), n, m)
+    # two lines that share the token before this one too meet there: equal tokens have equal ranks, and so equal keys;
+    # two lines of one class meet there, not in the class below
+    first = ~F.coalesce(F.col("y.before") == F.col("x.before"), F.lit(False)) & (F.col("y.ni").bitwiseAND(F.col("x.ni")).bitwiseAND(F.lit(2)) == 0)
+    pairs = y.join(x.hint("merge"), (F.col("y.key") == F.col("x.key")) & wanted & first & _lengths(n, m) & enough & near)
+    pairs = stored(pairs.select(F.struct("y.doc", "y.line").alias("y"), F.struct("x.doc", "x.line").alias("x")).distinct(), "pairs")
+    return led.unionByName(_verified(pairs, texts)).distinct()
+
+
+def _kept(rows: DataFrame) -> DataFrame:
+    """(doc, line) of every line with a word that stays."""
+    sets = _sets(rows)
+    heads = _heads(sets)
+    forget(sets)
+    return heads.select("doc", "line").join(_similar(heads, rows).hint("merge"), ["doc", "line"], "left_anti")
+
+
+def _low(c: str) -> Column:
+    return F.col(c).bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")
 
 
 def repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``(key, line)`` of every line to remove, lines numbered from 0."""
-    found = _repeated(_documents(docs, key, text))
-    return found.select(F.nullif("doc", F.lit(LAST)).alias(key), _low("line").alias("line"))
+    rows = _documents(docs, key, text)
+    lines = _lines(rows).select("doc", "line").distinct()
+    gone = lines.join(_kept(rows).hint("merge"), ["doc", "line"], "left_anti")
+    return gone.select(F.nullif("doc", F.lit(LAST)).alias(key), _low("line").alias("line"))
 
 
 def drop_repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with ``text`` less its repeated lines, and ``n_lines`` and ``n_removed``; every row stays."""
     rows = _documents(docs, key, text)
-    gone = _repeated(rows).groupBy("doc", F.shiftright("line", 32).alias("copy")).agg(F.collect_set(_low("line")).alias("_gone"))
-    out = docs.withColumns({"_doc": F.coalesce(F.col(key).cast("long"), F.lit(LAST)), "_copy": F.coalesce(F.xxhash64(text).bitwiseAND(F.lit(0x7FFFFFFF)), F.lit(0))})
-    out = out.join(gone.hint("merge"), (F.col("_doc") == F.col("doc")) & ((F.col("copy") == 0) | (F.col("copy") == F.col("_copy"))), "left")
-    lines = F.split(text, "\n")
-    kept = F.array_join(F.filter(F.zip_with(lines, F.sequence(F.lit(0), F.size(lines) - 1), lambda s, i: F.when(~F.array_contains("_gone", i), s)), lambda s: s.isNotNull()), "\n")
-    counts = {"n_lines": F.coalesce(F.size(F.filter(lines, lambda x: x.rlike("[^\\x20\\x09-\\x0D]"))), F.lit(0)).cast("long"), "n_removed": F.coalesce(F.size("_gone"), F.lit(0)).cast("long")}
-    out = out.withColumns(counts).withColumn(text, F.when(F.col("_gone").isNull(), F.col(text)).otherwise(kept))
-    return out.drop("_doc", "_copy", "doc", "copy", "_gone")
+    stay = _kept(rows).groupBy("doc", F.shiftright("line", 32).alias("copy")).agg(F.collect_list(_low("line")).alias("stay"))  # no more than a document has lines
+    out = rows.join(stay.hint("merge"), ["doc", "copy"], "left").select("row", F.split("t", "\n").alias("lines"), F.coalesce("stay", F.array().cast("array<int>")).alias("stay"))
+    left = F.filter("lines", lambda s, i: ~s.rlike(WORD) | F.array_contains("stay", i))
+    n_lines = F.coalesce(F.size(F.filter("lines", lambda s: s.rlike(WORD))), F.lit(0)).cast("long")
+    out = out.select("row", F.array_join(left, "\n").alias("left"), n_lines.alias("n"), (n_lines - F.size("stay")).alias("gone"))
+    columns = [F.when(F.col("gone") == 0, F.col("row")[c]).otherwise(F.col("left")).alias(c) if c == text else F.col("row")[c].alias(c) for c in docs.columns if c not in ("n_lines", "n_removed")]
+    return out.select(*columns, F.col("n").alias("n_lines"), F.col("gone").alias("n_removed"))
