@@ -42,21 +42,27 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def _collect(spark: SparkSession) -> None:
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def stored(df: DataFrame, name: str = "t", **options: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: exact sizes and pruned columns for later plans.
 
     ``options`` are those of the Parquet writer.
 
     What led to the table is then garbage. Spark deletes shuffle files once the driver has collected the objects that
-    stand for them, which an idle driver does late or never, so a collection is asked for here.
+    stand for them, which an idle driver does late or never, so a
+    collection is asked for here, before and after.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _collect(spark)
     df.write.options(**options).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.stored_path = path
-    gc.collect()
-    spark._jvm.System.gc()
+    _collect(spark)
     return out
 
 
