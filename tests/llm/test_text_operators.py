@@ -132,3 +132,26 @@ def test_pipeline_stages(spark):
     assert out.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
     got = [x.doc_id for x in out.collect()]
     assert len(got) == len(set(got)) and set(got) <= kept and len(got) > 20
+
+
+def test_sentence_pieces_of_long_words_match_the_library():
+    """Words over the limit of symbols, runs, mixed scripts and characters outside the vocabulary, through the same rounds."""
+    import random
+
+    import public_tokenizers
+    import sentencepiece
+
+    from tidewire.llm.sentence_pieces import PieceModel
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    library = sentencepiece.SentencePieceProcessor(model_file=path)
+    with open(path, "rb") as f:
+        model = PieceModel(f.read())
+    r = random.Random(3)
+    texts = ["the" * 3000, "a" * 5001, " " * 700, "x" + " " * 333 + "y"]
+    for alphabet in ("ab", "aA1_-", "éüß漢字日本語 ", "abcdefghijklmnopqrstuvwxyz", "\n\t  x", "😀a"):
+        texts += ["".join(r.choice(alphabet) for _ in range(n)) for n in (1, 2, 60, 257, 3000)]
+    for text in texts:
+        ids = library.encode(text)
+        assert model.encode(text) == ids
+        assert model.decode(ids) == library.decode(ids)

@@ -2,17 +2,21 @@
 
 The model file is read as plain protobuf; encoding is numpy work over flat symbol arrays. In a text every piece starts
 at a run of meta spaces or lies inside one word, so words are independent: the distinct words of a batch are laid out
-in one flat array, each round finds the best-scored adjacent pair of every word (leftmost on ties), merges it in all
-words at once and compacts, until no word has a pair left. Symbols outside the vocabulary become byte pieces.
+in one flat array, each round finds the best-scored adjacent pair of every word, merges its leftmost non-overlapping
+places in all words at once and compacts, until no word has a pair left. Merging all places at once gives what one merge
+at a time gives, where no pair with the merged piece scores better than that piece; for other pieces only the leftmost
+place is merged. Only pairs beside a merge are looked up again. Symbols outside the vocabulary become byte pieces.
+
+Words of over ``LONG`` symbols are first cut between characters that stand side by side in no piece of the vocabulary,
+which no merge can cross.
 
 Defined cases: a null text is an empty text, which encodes to the end id alone and decodes to ''; repeated rows give
-repeated results; texts are never cut; words of over ``LONG`` symbols use a heap over the same pair table.
+repeated results; texts are never cut.
 """
 
 from __future__ import annotations
 
 import hashlib
-import heapq
 import re
 from collections.abc import Iterable, Iterator
 
@@ -25,6 +29,7 @@ from pyspark.sql import types as T
 META = "▁"
 WORD = re.compile(f"{META}+[^{META}]*")
 LONG, CACHE, CHUNK = 256, 150_000, 1 << 22
+MIX = np.uint64(0x9E3779B97F4A7C15)
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
 
 
@@ -93,11 +98,19 @@ class PieceModel:
                     right.append(symbols[b])
                     made.append(i)
         keys = np.array(left, np.int64) << 32 | np.array(right, np.int64)
-        order = np.argsort(keys)
-        self.keys, self.made = keys[order], np.array(made, np.int64)[order]
+        self._index(keys, np.array(made, np.int64))
         ranks = np.unique(-np.array(score, np.float32), return_inverse=True)[1]
         self.rank = ranks.astype(np.int64)  # by piece; lower merges first, equal scores share a rank
+        # pieces that make a better-scored one with some neighbour
+        self.first_only = np.zeros(len(self.pieces), bool)
+        for part in (np.array(left, np.int64), np.array(right, np.int64)):
+            whole = part < self.extra
+            better = self.rank[np.array(made, np.int64)[whole]] <= self.rank[part[whole]]
+            self.first_only[part[whole][better]] = True
+        sides = {ord(a) << 21 | ord(b) for p in self.id for a, b in zip(p, p[1:], strict=False)}
+        self.sides = np.array(sorted(sides), np.int64)  # characters side by side in a piece
         self.text: dict[int, str] = {i: p.replace(META, " ") for p, i in self.id.items()}
+        self.texts = [self.text.get(i) for i in range(len(self.pieces))]  # None: a byte or control piece
         self.names = list(map(str, range(len(self.pieces))))
         # symbol of each code point, and what its character becomes if no merge takes it
         self.points = np.arange(len(symbols) + self.extra, len(symbols) + self.extra + 0x110000, dtype=np.int64)
@@ -107,83 +120,93 @@ class PieceModel:
         self.base = len(symbols) + self.extra
         self.named = {i: c for c, i in symbols.items() if i >= self.extra}
 
+    def _index(self, keys: np.ndarray, made: np.ndarray) -> None:
+        """Open-addressing table of pairs: at its hash or the next free places stands each key."""
+        self.shift = np.uint64(64 - max(4, int(len(keys) * 4).bit_length()))
+        self.keys = np.full(1 << int(64 - self.shift), -1, np.int64)
+        self.made = np.full(len(self.keys), -1, np.int64)
+        place = self._hash(keys)
+        while len(keys):
+            free = np.flatnonzero(self.keys[place] == -1)
+            _, first = np.unique(place[free], return_index=True)
+            put = free[first]
+            self.keys[place[put]], self.made[place[put]] = keys[put], made[put]
+            rest = self.keys[place] != keys
+            keys, made, place = keys[rest], made[rest], (place[rest] + 1) & (len(self.keys) - 1)
+
+    def _hash(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.view(np.uint64) * MIX) >> self.shift).astype(np.int64)
+
     def _look(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """The piece that each pair makes, or -1."""
         key = left << 32 | right
-        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        return np.where(self.keys[at] == key, self.made[at], -1)
-
-    def _heap(self, syms: list[int]) -> list[int]:
-        """One long word, best pair first; the same order as the rounds."""
-        table = dict(zip(self.keys.tolist(), self.made.tolist(), strict=True)) if not hasattr(self, "_table") else self._table
-        self._table = table
-        n = len(syms)
-        nxt, prv, live = [*range(1, n), -1], [-1, *range(n - 1)], [True] * n
-        heap: list[tuple[int, int, int, int, int]] = []
-
-        def push(i: int) -> None:
-            j = nxt[i] if i >= 0 else -1
-            if i >= 0 and j >= 0 and (m := table.get(syms[i] << 32 | syms[j], -1)) >= 0:
-                heapq.heappush(heap, (int(self.rank[m]), i, syms[i], syms[j], m))
-
-        for i in range(n - 1):
-            push(i)
-        while heap:
-            _, i, a, b, m = heapq.heappop(heap)
-            j = nxt[i]
-            if not live[i] or j < 0 or syms[i] != a or syms[j] != b:
-                continue
-            syms[i], live[j], nxt[i] = m, False, nxt[j]
-            if nxt[j] >= 0:
-                prv[nxt[j]] = i
-            push(prv[i])
-            push(i)
-        return [s for s, ok in zip(syms, live, strict=True) if ok]
+        place = self._hash(key)
+        found = self.keys[place]
+        out = np.where(found == key, self.made[place], -1)
+        open_ = np.flatnonzero((found != key) & (found != -1))
+        while len(open_):
+            place[open_] = (place[open_] + 1) & (len(self.keys) - 1)
+            found = self.keys[place[open_]]
+            hit = found == key[open_]
+            out[open_[hit]] = self.made[place[open_[hit]]]
+            open_ = open_[~hit & (found != -1)]
+        return out
+
+    def _merges(self, made: np.ndarray, word: np.ndarray) -> np.ndarray:
+        """Places of the pairs to merge in this round: those of the best rank of each word, without overlaps."""
+        at = np.flatnonzero(made >= 0)
+        if not len(at):
+            return at
+        w, rank = word[at], self.rank[made[at]]
+        edge = np.flatnonzero(np.r_[True, w[1:] != w[:-1]])
+        sizes = np.diff(np.r_[edge, len(at)])
+        best = at[rank == np.repeat(np.minimum.reduceat(rank, edge), sizes)]
+        first = np.r_[True, word[best[1:]] != word[best[:-1]]]
+        best = best[first | ~self.first_only[made[best]]]
+        # of places in a row every second one, from the left
+        start = np.r_[True, best[1:] != best[:-1] + 1]
+        run = np.flatnonzero(start)
+        return best[(np.arange(len(best)) - np.repeat(run, np.diff(np.r_[run, len(best)]))) % 2 == 0]
 
     def encode_words(self, words: list[str]) -> list[list[int]]:
         """Piece ids of each word (a word is a run of meta spaces and what follows it)."""
         sizes = np.fromiter(map(len, words), np.int64, len(words))
-        flat = self.points[np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)]
-        word = np.repeat(np.arange(len(words)), sizes)
-        out: list[list[int]] = [[] for _ in words]
-        long = sizes > LONG
-        ends = np.cumsum(sizes)
+        points = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)
+        flat, owner = self.points[points], np.repeat(np.arange(len(words)), sizes)
+        cut = np.r_[True, owner[1:] != owner[:-1]] if len(flat) else np.zeros(0, bool)
+        if (sizes > LONG).any():
+            beside = points[:-1].astype(np.int64) << 21 | points[1:]
+            near = self.sides[np.minimum(np.searchsorted(self.sides, beside), len(self.sides) - 1)] == beside
+            cut[1:] |= ~near & (sizes > LONG)[owner[1:]]
+        word = np.cumsum(cut) - 1  # parts of words, each merged on its own
+        owner = owner[cut]
         done: list[tuple[np.ndarray, np.ndarray]] = []
-        for w in np.flatnonzero(long):
-            ids = np.array(self._heap(flat[ends[w] - sizes[w] : ends[w]].tolist()), np.int64)
-            done.append((np.full(len(ids), w), ids))
-        if long.any():
-            keep = ~long[word]
-            flat, word = flat[keep], word[keep]
-        while len(flat) > 1:
-            made = self._look(flat[:-1], flat[1:])
-            made[word[:-1] != word[1:]] = -1
-            at = np.flatnonzero(made >= 0)
-            if not len(at):
-                break
-            # best pair of each word: lowest (rank, place); places rise, so words are segments
-            w = word[at]
-            edge = np.flatnonzero(np.r_[True, w[1:] != w[:-1]])
-            best = np.minimum.reduceat(self.rank[made[at]] << 40 | at, edge) & ((1 << 40) - 1)
-            flat[best] = made[best]
-            gone = np.zeros(len(flat), bool)
-            gone[best + 1] = True
+        made = np.full(len(flat), -1, np.int64)  # what each symbol makes with the next of its word
+        if len(flat) > 1:
+            made[:-1] = np.where(cut[1:], -1, self._look(flat[:-1], flat[1:]))
+        while len(merge := self._merges(made, word)):
+            flat[merge] = made[merge]
+            keep = np.ones(len(flat), bool)
+            keep[merge + 1] = False
             # words without a pair are finished and leave the array
-            alive = np.zeros(len(words), bool)
-            alive[w[edge]] = True
+            alive = np.zeros(len(owner), bool)
+            alive[word[merge]] = True
             rest = alive[word]
-            if not rest.all():
-                done.append((word[~rest], flat[~rest]))
-            keep = rest & ~gone
-            flat, word = flat[keep], word[keep]
+            done.append((word[~rest], flat[~rest]))
+            keep &= rest
+            place = np.cumsum(keep) - 1
+            flat, word, made, merge = flat[keep], word[keep], made[keep], place[merge]
+            for left in (merge, merge[merge > 0] - 1):
+                right = np.minimum(left + 1, len(flat) - 1)
+                made[left] = np.where((right > left) & (word[left] == word[right]), self._look(flat[left], flat[right]), -1)
         done.append((word, flat))
         word, flat = np.concatenate([d[0] for d in done]), np.concatenate([d[1] for d in done])
         order = np.argsort(word, kind="stable")
-        word, flat = word[order], flat[order]
-        ids, ends = flat.tolist(), np.cumsum(np.bincount(word, minlength=len(words))).tolist()
-        begin = 0
-        for w, end in enumerate(ends):
-            out[w] = ids[begin:end]
+        word, flat = owner[word[order]], flat[order]
+        out: list[list[int]] = []
+        ids, begin = flat.tolist(), 0
+        for end in np.cumsum(np.bincount(word, minlength=len(words))).tolist():
+            out.append(ids[begin:end])
             begin = end
         for w in np.unique(word[flat >= self.extra]).tolist():
             out[w] = [i for s in out[w] for i in ([s] if s < self.extra else self._bytes(s))]
@@ -207,10 +230,9 @@ class PieceModel:
         return self._decode(ids).removeprefix(" ")
 
     def _decode(self, ids: Iterable[int]) -> str:
-        text = self.text
         try:
-            return "".join([text[i] for i in ids])
-        except KeyError:  # byte or control pieces
+            return "".join(map(self.texts.__getitem__, ids))
+        except TypeError:  # byte or control pieces
             pass
         out, run = [], bytearray()
         for i in ids:
@@ -226,25 +248,46 @@ class PieceModel:
         return "".join(out)
 
 
-_MODEL: dict[int, PieceModel] = {}
+#: The model of this worker, by the digest of its file.
+_MODEL: dict[bytes, PieceModel] = {}
+Word = tuple[str, int, str]
+
+
+class _Words:
+    """Results by word, of the words met lately: two generations of at most ``CACHE`` entries, the older one goes."""
+
+    def __init__(self) -> None:
+        self.new: dict[str, Word] = {}
+        self.old: dict[str, Word] = {}
+
+    def of(self, model: PieceModel, words: set[str]) -> dict[str, Word]:
+        """Ids joined by a space, their number and the decoded text of each word."""
+        new, old = self.new, self.old
+        if len(new) > CACHE:
+            new, old = {}, new
+        missing, names = [], model.names.__getitem__
+        for w in words:
+            if w not in new:
+                if w in old:
+                    new[w] = old[w]
+                else:
+                    missing.append(w)
+        for at in range(0, len(missing), 50_000):
+            part = missing[at : at + 50_000]
+            for w, ids in zip(part, model.encode_words(part), strict=True):
+                new[w] = (" ".join(map(names, ids)), len(ids), model._decode(ids))
+        self.new, self.old = new, old
+        return new
 
 
-def _rows(model: PieceModel, texts: list[str], cache: dict[str, tuple[str, int, str]], with_ids: bool) -> list[tuple]:
+def _rows(model: PieceModel, texts: list[str], words: _Words, with_ids: bool) -> list[tuple]:
     split = [WORD.findall((META + t).replace(" ", META)) if t else [] for t in texts]
-    new = [w for w in set().union(*split) if w not in cache] if split else []
-    if len(cache) + len(new) > CACHE:
-        cache.clear()
-        new = list(set().union(*split))
-    for at in range(0, len(new), 50_000):
-        part = new[at : at + 50_000]
-        for w, ids in zip(part, model.encode_words(part), strict=True):
-            cache[w] = (" ".join([model.names[i] for i in ids]), len(ids), model._decode(ids))
+    known = words.of(model, set().union(*split))
     out = []
-    for words in split:
-        got = [cache[w] for w in words]
-        ids = " ".join([*(g[0] for g in got), str(model.eos)])
-        back = "".join([g[2] for g in got]).removeprefix(" ")
-        row = (sum([g[1] for g in got]) + 1, hashlib.sha256(ids.encode()).hexdigest(), back)
+    for found in split:
+        parts, counts, back = zip(*[known[w] for w in found], strict=True) if found else ((), (), ())
+        ids = " ".join([*parts, str(model.eos)])
+        row = (sum(counts) + 1, hashlib.sha256(ids.encode()).hexdigest(), "".join(back).removeprefix(" "))
         out.append(row + (list(map(int, ids.split())),) if with_ids else row)
     return out
 
@@ -253,24 +296,25 @@ def encode_decode(docs: DataFrame, model_path: str, key: str = "doc_id", text: s
     """``(key, n_tokens, ids_sha256, decoded[, ids])`` for each row: whole texts, an end id, no sampling.
 
     The model (a file of fixed size) is read once and broadcast as bytes. Tasks hold one chunk of texts and a word
-    cache of ``CACHE`` entries; nothing is shuffled.
+    cache of two times ``CACHE`` entries and the words of a chunk; nothing is shuffled.
     """
     spark = docs.sparkSession
     with open(model_path, "rb") as f:
-        shared = spark.sparkContext.broadcast(f.read())
+        data = f.read()
+    digest, shared = hashlib.sha256(data).digest(), spark.sparkContext.broadcast(data)
     kind = docs.schema[key].dataType
     fields = [T.StructField(key, kind), T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded", T.StringType())]
     schema = T.StructType(fields + [T.StructField("ids", T.ArrayType(T.IntegerType()))] * with_ids)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = _MODEL.get(len(shared.value)) or _MODEL.setdefault(len(shared.value), PieceModel(shared.value))
-        cache: dict[str, tuple[str, int, str]] = {}
+        model = _MODEL.get(digest) or _MODEL.setdefault(digest, PieceModel(shared.value))
+        words = _Words()
         for batch in batches:
             texts, begin, size = batch.column(1), 0, 0
             for i in range(batch.num_rows + 1):
                 if i == batch.num_rows or size > CHUNK:
                     if i > begin:
-                        rows = _rows(model, [x or "" for x in texts.slice(begin, i - begin).to_pylist()], cache, with_ids)
+                        rows = _rows(model, [x or "" for x in texts.slice(begin, i - begin).to_pylist()], words, with_ids)
                         cols = list(zip(*rows, strict=True))
                         types = [pa.int64(), pa.string(), pa.string(), pa.list_(pa.int32())]
                         yield pa.RecordBatch.from_arrays([batch.column(0).slice(begin, i - begin), *(pa.array(c, t) for c, t in zip(cols, types, strict=False))], names=schema.names)
