@@ -49,16 +49,20 @@ def summary_text() -> Column:
     return norm_text(F.concat_ws(" ", F.coalesce("summaries.pt", F.lit("")), F.coalesce("summaries.en", F.lit(""))))
 
 
-def relevant_after(score: C = "relevance_score", context: Sequence[str] = vocab.CONTEXT, least: float = vocab.RELEVANT) -> Column:
-    """Decision from annotated fields: any candidate, else the election topic with context, else the score."""
+def relevant_after(score: C = "relevance_score", context: Sequence[str] = vocab.CONTEXT, least: float = vocab.RELEVANT, text: C | None = None) -> Column:
+    """Decision from annotated fields: any candidate, else the election topic with context, else the score.
+
+    ``text`` is a column that holds ``summary_text()``: else it is normalised again for each keyword.
+    """
+    text = summary_text() if text is None else text
     election = F.array_contains(clean_list("topics", lower=True), "eleicoes")
-    return F.when(F.size(clean_list("candidates_mentioned")) > 0, True).when(election, keyword_hits(summary_text(), context) > 0).otherwise(col(score) >= least)
+    return F.when(F.size(clean_list("candidates_mentioned")) > 0, True).when(election, keyword_hits(text, context) > 0).otherwise(col(score) >= least)
 
 
-def demoted(score: C = "relevance_score", least: float = vocab.RELEVANT) -> Column:
+def demoted(score: C = "relevance_score", least: float = vocab.RELEVANT, text: C | None = None) -> Column:
     """Rows that a batch clean-up makes irrelevant."""
     election = F.array_contains(clean_list("topics", lower=True), "eleicoes")
-    return (F.col("status") != "curated") & ~relevant_after(score, least=least) & (F.size(clean_list("candidates_mentioned")) < 2) & ~election
+    return (F.col("status") != "curated") & ~relevant_after(score, least=least, text=text) & (F.size(clean_list("candidates_mentioned")) < 2) & ~election
 
 
 def is_paywall(content: C, phrases: Sequence[str] = vocab.PAYWALL) -> Column:
@@ -118,9 +122,10 @@ def eligible() -> Column:
 
 
 def search(df: DataFrame, query: str, fields: Sequence[str], order: Sequence[Column], most: int = 20) -> DataFrame:
-    """Rows in which every term of the query is in one of the fields, newest first."""
-    keep = F.lit(True)
-    for term in query.lower().split():
+    """Rows in which every term of the query is in one of the fields, newest first; none for a query without a term."""
+    terms = query.lower().split()
+    keep = F.lit(bool(terms))
+    for term in terms:
         found = F.lit(False)
         for f in fields:
             found = found | F.lower(F.coalesce(F.col(f).cast("string"), F.lit(""))).contains(term)

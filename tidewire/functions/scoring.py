@@ -7,13 +7,16 @@ from pyspark.sql import functions as F
 
 from tidewire import vocab
 from tidewire.functions.gates import eligible, keyword_hits, summary_text
-from tidewire.functions.text import article_ts, clean_list, col, mapping, places, words
+from tidewire.functions.text import C, article_ts, clean_list, col, mapping, places, words
 
 
-def relevance_signals() -> Column:
-    """Struct of the four signals of an article row."""
+def relevance_signals(text: C | None = None) -> Column:
+    """Struct of the four signals of an article row.
+
+    ``text`` is a column that holds ``summary_text()``: else it is normalised again for each keyword.
+    """
     cands, topics = clean_list("candidates_mentioned", lower=True), clean_list("topics", lower=True)
-    text = summary_text()
+    text = summary_text() if text is None else text
     category = F.lower(F.trim("source_category"))
     candidate = F.when(F.size(cands) > 0, 0.4 + F.least(F.lit(0.2), F.size(cands) * 0.1)).otherwise(0.0)
     topic = F.when(F.array_contains(topics, "eleicoes"), 0.25).otherwise(0.0) + F.least(F.lit(0.15), F.size(F.array_intersect(topics, words(vocab.POLITICAL_TOPICS))) * 0.05)

@@ -99,13 +99,12 @@ def compare(options: DataFrame, a: str, b: str) -> DataFrame:
     return options.select("topic").distinct().join(one(a, "weight_a"), "topic", "left").join(one(b, "weight_b"), "topic", "left")
 
 
-INTROS = ("Defendo que", "Acredito que", "Entendo que", "Na minha visão,")
 PHRASES = {"strongly_favor": "o governo deve ampliar com prioridade", "favor": "o governo deve apoiar", "neutral": "o governo deve avaliar com cautela", "against": "o governo deve limitar", "strongly_against": "o governo deve interromper"}
 
 
 def position_text(topic: str = "topic", candidate: str = "candidate", stance: str = "stance") -> Column:
     """Sentence for a position without usable text; its opening is a deterministic variant."""
-    intro = F.element_at(F.array(*map(F.lit, INTROS)), variant(topic, candidate, stance, 0, len(INTROS)) + 1)
+    intro = F.element_at(F.array(*map(F.lit, vocab.INTROS)), variant(topic, candidate, stance, 0, len(vocab.INTROS)) + 1)
     phrase = F.coalesce(*(F.when(F.col(stance) == s, p) for s, p in PHRASES.items()), F.lit(PHRASES["neutral"]))
     return F.concat(intro, F.lit(" "), phrase, F.lit(" "), F.lower(F.replace(F.col(topic), F.lit("_"), F.lit(" "))), F.lit(", com metas públicas, prazos claros e prestação de contas à sociedade."))
 

@@ -42,8 +42,8 @@ def narrative_pass(articles: DataFrame) -> DataFrame:
 def clean_up(articles: DataFrame) -> DataFrame:
     """Score all rows anew, demote what is not relevant (G4), then cluster what is left (K6). ``was`` is the status before,
     ``demoted`` whether relevance demotes the row; writing the result, or not, is up to the caller."""
-    rows = articles.withColumn("was", F.col("status")).withColumn("relevance_signals", M.relevance_signals()).withColumn("relevance_score", M.relevance_score())
-    rows = rows.withColumn("demoted", F.coalesce(G.demoted("relevance_score"), F.lit(False)))
+    rows = articles.withColumn("was", F.col("status")).withColumn("summary_text", G.summary_text()).withColumn("relevance_signals", M.relevance_signals("summary_text")).withColumn("relevance_score", M.relevance_score())
+    rows = rows.withColumn("demoted", F.coalesce(G.demoted("relevance_score", text="summary_text"), F.lit(False))).drop("summary_text")
     rows = rows.withColumn("status", F.when(F.col("demoted"), "irrelevant").otherwise(F.col("status")))
     return _clustered(rows, F.coalesce("status", F.lit("")) != "irrelevant", False)
 
@@ -51,5 +51,5 @@ def clean_up(articles: DataFrame) -> DataFrame:
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Gate, score, keep first and average the sentiment of articles by candidate and topic."""
     rows = G.relevance_gate(T.articles(spark, sf_dir), T.HIGH, T.CANDIDATE, T.CONTEXT, T.OFF, T.FOREIGN).withColumn("gate", G.whole("gate")).where("gate")
-    rows = rows.withColumn("relevance_signals", M.relevance_signals()).withColumn("relevance_score", M.relevance_score())
+    rows = rows.withColumn("summary_text", G.summary_text()).withColumn("relevance_signals", M.relevance_signals("summary_text")).withColumn("relevance_score", M.relevance_score())
     return A.sentiment_by_topic(L.keep_first(rows)).orderBy("candidate", "topic")

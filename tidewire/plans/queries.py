@@ -233,7 +233,7 @@ scored AS (SELECT *, greatest(0.0, least(1.0, {places("candidate_signal + topic_
 
 
 def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return T.articles(spark, sf_dir).withColumn("relevance_signals", M.relevance_signals()).withColumn("score", M.relevance_score())
+    return T.articles(spark, sf_dir).withColumn("summary_text", G.summary_text()).withColumn("relevance_signals", M.relevance_signals("summary_text")).withColumn("score", M.relevance_score())
 
 
 @query("SELECT ordinal, candidate_signal, topic_signal, keyword_signal, source_signal, score FROM scored", T.ARTICLES, SIGNALS)
@@ -246,7 +246,7 @@ RELEVANT = f"CASE WHEN len(candidates_mentioned) > 0 THEN true WHEN list_contain
 
 @query(f"""SELECT ordinal, {RELEVANT} AS relevant, status <> 'curated' AND NOT {RELEVANT} AND len(candidates_mentioned) < 2 AND NOT list_contains(topics, 'eleicoes') AS demoted FROM scored""", T.ARTICLES, SIGNALS)
 def g03_g04_relevance_after(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _scored(spark, sf_dir).select("ordinal", G.relevant_after("score").alias("relevant"), G.demoted("score").alias("demoted"))
+    return _scored(spark, sf_dir).select("ordinal", G.relevant_after("score", text="summary_text").alias("relevant"), G.demoted("score", text="summary_text").alias("demoted"))
 
 
 WALL = ("that", "there", "avec", "eine", "para")

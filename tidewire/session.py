@@ -54,7 +54,7 @@ def stored(df: DataFrame, name: str = "t", **options: str) -> DataFrame:
 
     What led to the table is then garbage. Spark deletes shuffle files once the driver has collected the objects that
     stand for them, which an idle driver does late or never, so a
-    collection is asked for here, before and after.
+    collection of what earlier plans left is asked for here.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -62,7 +62,6 @@ def stored(df: DataFrame, name: str = "t", **options: str) -> DataFrame:
     df.write.options(**options).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.stored_path = path
-    _collect(spark)
     return out
 
 

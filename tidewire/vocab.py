@@ -26,6 +26,19 @@ INSTITUTE_ALIASES = (("data folha", "Datafolha"), ("datafolha", "Datafolha"), ("
 #: In the order of precedence when an article names several.
 INSTITUTE_PATTERNS = (("Datafolha", r"\bdatafolha\b"), ("Quaest", r"\bquaest\b"), ("AtlasIntel", r"\batlas\s*intel\b"), ("Parana Pesquisas", r"\bparana\s*pesquisas?\b"), ("PoderData", r"\bpoder\s*data\b"), ("Real Time Big Data", r"\breal\s*time\s*(?:big\s*)?data\b"), ("Futura Inteligencia", r"\bfutura\s*intelig[eê]ncia\b"), ("Ipsos", r"\bipsos\b"), ("MDA", r"\b(?:cnt/?mda|mda)\b"), ("Ideia", r"\b(?:meio/?ideia|ideia)\b"))
 
+# ---- Fixed values: patterns of poll facts in text, which decide what is read ----
+YEAR_FIRST = r"\b(20\d{2})[-/](\d{1,2})[-/](\d{1,2})\b"
+DAY_FIRST = r"\b(\d{1,2})[-/](\d{1,2})[-/](20\d{2})\b"
+#: In the order in which they are tried.
+SAMPLE_PATTERNS = (r"(?i)amostra[^0-9]{0,20}([\d., ]{3,})", r"(?i)(\d[\d., ]{2,})\s*(?:entrevistas|respondentes|eleitores)")
+MARGIN_PATTERN = r"(?i)(?:margem de erro|erro)[^0-9]{0,20}(\d{1,2}(?:[,.]\d+)?)"
+PERCENT_PATTERN = r"(\d{1,2}(?:[,.]\d+)?)"
+CONFIDENCE_PATTERN = r"(?i)(?:confianca|confidence)[^0-9]{0,12}(\d{2,3})\s*%"
+REGISTRATION_PATTERN = r"([A-Z]{2,4}-\d{1,5}/\d{4})"
+
+# ---- Fixed values: openings of position texts ----
+INTROS = ("Defendo que", "Acredito que", "Entendo que", "Na minha visão,")
+
 # ---- Fixed values: source categories, statuses, sentiment, stances ----
 CATEGORIES = ("mainstream", "politics", "magazine", "party", "institutional", "international", "social")
 CATEGORY_ORDER = {"politics": 1, "mainstream": 2, "magazine": 3, "institutional": 4, "international": 5, "party": 6, "social": 7}
