@@ -155,3 +155,13 @@ def test_sentence_pieces_of_long_words_match_the_library():
         ids = library.encode(text)
         assert model.encode(text) == ids
         assert model.decode(ids) == library.decode(ids)
+
+
+def test_quality_rules_keep_clashing_columns(spark):
+    from tidewire.llm.quality_rules import kept_rows, quality_rules
+
+    text = " ".join(f"word{i}" for i in range(40))
+    df = spark.createDataFrame([(1, text, 7, "w", "l", 3), (1, text, 7, "w", "l", 3), (2, None, 8, "x", "l", 3)], "doc_id long, text string, n_words long, _words string, _lines string, kept int")
+    rows = kept_rows(df).collect()
+    assert [(r.doc_id, r.text, r.n_words, r._words, r._lines, r.kept) for r in rows] == [(1, text, 7, "w", "l", 3)] * 2
+    assert sorted((r.doc_id, r.n_words, r._words) for r in quality_rules(df).collect()) == [(1, 40, "w"), (1, 40, "w"), (2, 0, "x")]

@@ -50,6 +50,9 @@ def _pairs(hashes: str, step: int) -> Column:
     return F.zip_with(F.slice(h, F.lit(1), rest), F.slice(h, F.lit(step + 1), rest), lambda x, y: F.xxhash64(x, y))
 
 
+MEASURES = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words")
+
+
 def measure(docs: DataFrame, text: str = "text") -> DataFrame:
     """Add the measurements of ``text`` to each row.
 
@@ -57,7 +60,10 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
     window. Only a text whose window hashes are not all distinct sorts them to find what its repeats cover.
     """
     t = F.coalesce(F.col(text), F.lit(""))
-    out = docs.withColumn("_words", F.array_remove(F.split(t, "[\\x20\\x09-\\x0D]+"), ""))
+    # the row goes along as one column, so that no name of its own clashes; a measurement replaces a column of its name
+    out = docs.select(F.struct("*").alias("row"), t.alias("_text"))
+    t, own = F.col("_text"), [c for c in docs.columns if c not in MEASURES]
+    out = out.withColumn("_words", F.array_remove(F.split(t, "[\\x20\\x09-\\x0D]+"), ""))
     out = out.withColumns({
         "n_words": F.size("_words").cast("long"),
         "word_chars": F.length(F.array_join("_words", "")).cast("long"),
@@ -77,7 +83,8 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
     m = F.size("_at")
     gaps = F.zip_with(F.slice("_at", F.lit(1), m - 1), F.slice("_at", F.lit(2), m - 1), lambda x, y: F.least(y - x, F.lit(WINDOW)))
     covered = F.aggregate(gaps, F.lit(WINDOW), lambda s, x: s + x)
-    return out.withColumn("n_repeat_words", F.when(m > 0, covered).otherwise(0).cast("long")).drop("_at", "_n")
+    out = out.withColumn("n_repeat_words", F.when(m > 0, covered).otherwise(0).cast("long"))
+    return out.select(*(F.col("row")[c].alias(c) for c in own), *MEASURES)
 
 
 def ledger(measured: DataFrame) -> DataFrame:
@@ -111,11 +118,12 @@ def quality_rules(docs: DataFrame, version: str = CURRENT) -> DataFrame:
     return apply_policy(ledger(measure(docs)), version)
 
 
-def kept_rows(docs: DataFrame, version: str = CURRENT) -> DataFrame:
-    """The rows of ``docs`` that a policy keeps, with their own columns.
+def kept_rows(docs: DataFrame, version: str = CURRENT, text: str = "text") -> DataFrame:
+    """The rows of ``docs`` that a policy keeps, with their own columns, whatever their names.
 
     The verdict holds a part that is not deterministic (and always true): else the optimizer would push the filter
     below the measurements and compute each of them many times over inside it.
     """
     verdict = F.col("kept") & (F.monotonically_increasing_id() >= 0)
-    return quality_rules(docs, version).withColumn("kept", verdict).where("kept").select(*docs.columns)
+    rows = quality_rules(docs.select(F.struct("*").alias("its"), F.col(text).alias("text")), version)
+    return rows.withColumn("kept", verdict).where("kept").select(*(F.col("its")[c].alias(c) for c in docs.columns))
