@@ -69,9 +69,9 @@ def is_paywall(content: C, phrases: Sequence[str] = vocab.PAYWALL) -> Column:
     return keyword_hits(F.lower(F.substring(F.coalesce(col(content), F.lit("")), 1, 800)), phrases) >= 2
 
 
-def clear_paywall(df: DataFrame, content: str = "content") -> DataFrame:
+def clear_paywall(df: DataFrame, content: str = "content", phrases: Sequence[str] = vocab.PAYWALL) -> DataFrame:
     """Blank the content of paywalled rows; ``cleared`` tells which."""
-    return df.withColumn("cleared", is_paywall(content)).withColumn(content, F.when(F.col("cleared"), F.lit("")).otherwise(F.col(content)))
+    return df.withColumn("cleared", is_paywall(content, phrases)).withColumn(content, F.when(F.col("cleared"), F.lit("")).otherwise(F.col(content)))
 
 
 def integrity(content: C, title: C, blocked: Sequence[str] = vocab.BLOCKED_PAGE) -> Column:

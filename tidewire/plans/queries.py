@@ -254,8 +254,8 @@ WALL = ("that", "there", "avec", "eine", "para")
 
 @query(f"""SELECT ordinal, paywalled, CASE WHEN paywalled THEN 0 ELSE length(content) END::INTEGER AS n_left FROM (SELECT ordinal, content, {hits("lower(substr(content, 1, 800))", WALL)} >= 2 AS paywalled FROM articles)""", T.ARTICLES)
 def g05_g06_paywall(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = T.articles(spark, sf_dir).withColumn("paywalled", G.is_paywall("content", WALL))
-    return rows.select("ordinal", "paywalled", F.length(F.when(F.col("paywalled"), "").otherwise(F.col("content"))).alias("n_left"))
+    rows = G.clear_paywall(T.articles(spark, sf_dir), phrases=WALL)
+    return rows.select("ordinal", F.col("cleared").alias("paywalled"), F.length("content").alias("n_left"))
 
 
 INTEGRITY = f"""integrity AS (SELECT *, CASE WHEN s = '' THEN 'empty' WHEN s = trim(title) THEN 'equals_title' WHEN length(s) < 120 AND len({WORDS.format("s")}) < 15 THEN 'too_short' WHEN NOT regexp_matches(s, '\\p{{L}}') THEN 'no_letters'
@@ -717,7 +717,12 @@ def j13_snippet_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Z.union_snippets([(first, 4), (second, 9)]).select("key", "ordinal", "text", "source", "rank")
 
 
-@query()
+@query(f"""@t AS (SELECT topic, candidate, weight, CASE position_type WHEN 'confirmed' THEN 'high' ELSE 'medium' END AS confidence, coalesce(nullif(trim(summary_pt), ''),
+    {lst(vocab.INTROS)}[('0x' || substr(sha256(topic || ':' || candidate || ':' || stance || ':0'), 1, 8))::BIGINT % {len(vocab.INTROS)} + 1] || ' ' || CASE stance {" ".join(f"WHEN '{k}' THEN '{v}'" for k, v in Z.PHRASES.items())} END
+    || ' ' || lower(replace(topic, '_', ' ')) || ', com metas públicas, prazos claros e prestação de contas à sociedade.') AS text_pt FROM weighted WHERE known),
+u AS (SELECT * FROM t QUALIFY row_number() OVER (PARTITION BY topic, regexp_replace(trim(regexp_replace(lower(text_pt), '\\s+', ' ', 'g')), '[^\\p{{L}}\\p{{N}}_\\s]', '', 'g') ORDER BY candidate) = 1),
+c AS (SELECT *, count(*) OVER (PARTITION BY topic) AS n, row_number() OVER (PARTITION BY topic ORDER BY candidate) AS k FROM u)
+SELECT topic, candidate, {lst(vocab.OPTION_IDS)}[k] AS option_id, weight::INTEGER AS weight, confidence, text_pt, CASE WHEN n > 6 THEN 'options' ELSE '' END AS violations FROM c WHERE n >= 3 AND k <= 6""", T.POSITIONS)
 def m06_m07_quiz_options(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = Z.assemble_options(T.positions(spark, sf_dir))
     return V.checked(out, V.quiz_rules()).select("topic", "candidate", "option_id", "weight", "confidence", "text_pt", F.array_join("violations", ",").alias("violations"))
@@ -768,7 +773,11 @@ def j05_title_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return K.title_pairs(T.articles(spark, sf_dir)).select("pa", "pb").distinct()
 
 
-@query()
+@query("""WITH_RECURSIVE @n AS (SELECT node, row_number() OVER (ORDER BY node) AS k FROM (SELECT pa AS node FROM tp UNION SELECT pb FROM tp)),
+e AS (SELECT k, node, (SELECT list(pa) FROM tp WHERE pb = node) AS before FROM n),
+r(k, kept) AS (SELECT 0::BIGINT, []::BIGINT[] UNION ALL SELECT e.k, CASE WHEN before IS NOT NULL AND list_has_any(kept, before) THEN kept ELSE list_append(kept, node) END FROM r JOIN e ON e.k = r.k + 1),
+f AS (SELECT unnest(kept) AS node FROM (SELECT kept FROM r ORDER BY k DESC LIMIT 1))
+SELECT pb AS node, min(pa) AS kept_by FROM tp WHERE pa IN (SELECT node FROM f) AND pb NOT IN (SELECT node FROM f) GROUP BY pb""", T.ARTICLES, TITLES)
 def k04_t02_first_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
     return K.first_wins(K.title_pairs(T.articles(spark, sf_dir)))
 
@@ -791,19 +800,39 @@ def s03_active_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.active_sources(sources, "party").select("name", "url", F.size("candidate_slugs").alias("n"))
 
 
-@query()
+@query("SELECT id, url, title, status FROM articles", T.ARTICLES)
 def s01_s02_s14_envelopes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Articles written as one JSON envelope per source and read back."""
-    from tidewire.session import shared_dir
+    """Articles landed as JSON envelopes, one for each source and 10 000 ordinals, read, written as a table and read back."""
     import uuid
 
+    from tidewire.session import shared_dir
+
     path = f"{shared_dir(spark).rstrip('/')}/envelope-{uuid.uuid4().hex}"
-    item = F.struct("id", "url", "title", "status")
-    rows = T.articles(spark, sf_dir).groupBy("source").agg(F.to_json(F.struct(F.lit("v1").alias("schema"), F.collect_list(item).alias("articles"))).alias("value"))
-    rows.repartition("source").select("value").write.text(path)
-    lines = spark.read.text(path)
-    kind = "struct<id:string,url:string,title:string,status:string>"
-    return lines.select(F.inline(F.from_json(F.get_json_object("value", "$.articles"), f"array<{kind}>"))).select("id", "url", "title", "status")
+    block = F.floor(F.col("ordinal") / 10000).alias("block")
+    landed = T.articles(spark, sf_dir).groupBy("source", block).agg(F.to_json(F.struct(F.lit("v1").alias("schema"), F.collect_list(F.struct("id", "url", "title", "status")).alias("articles"))).alias("value"))
+    landed.write.partitionBy("source", "block").text(f"{path}/landed")
+    rows = S.read_envelope(spark, f"{path}/landed/*/*", "articles", "struct<id:string,url:string,title:string,status:string>")
+    S.write_envelope(rows, f"{path}/out")
+    return spark.read.schema(rows.schema).json(f"{path}/out/rows")
+
+
+ARCHIVED = "2024-02-03 00:00:00"
+
+
+@query(f"""SELECT ordinal, id, strftime(ts, '%Y-%m') AS archive_month FROM articles WHERE NOT (ts >= TIMESTAMP '{ARCHIVED}' - INTERVAL 30 DAY)""", T.ARTICLES)
+def s16_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cold rows appended to month partitions: a part of them first, then all, of which only those not there yet are added."""
+    import uuid
+
+    from tidewire.session import shared_dir
+
+    path = f"{shared_dir(spark).rstrip('/')}/archive-{uuid.uuid4().hex}"
+    _, cold = L.apply_retention(T.articles(spark, sf_dir), F.lit(ARCHIVED).cast("timestamp"))
+    cold = cold.select("ordinal", "id", "archive_month")
+    S.write_archive(cold.where("ordinal % 3 = 0"), path)
+    held = lambda: spark.read.schema(cold.schema).parquet(path)
+    S.write_archive(cold, path, held())
+    return held()
 
 
 @query("""SELECT page_id, length(title)::INTEGER AS n_title, n::INTEGER AS n FROM (SELECT page_id, substr(trim(regexp_replace(html, '\\s+', ' ', 'g')), 1, 120) AS title, 1 + CASE WHEN contains(lower(html), 'ther') THEN 1 ELSE 0 END AS n FROM pages)""")
@@ -816,7 +845,8 @@ def s11_social_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def s07_s08_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = H.extract_main_text(T.table(spark, sf_dir, "pages"))
-    return rows.select("page_id", F.length("text").alias("n"), ((F.length("text") > 50) & ~G.is_paywall("text")).alias("accepted"))
+    rows = rows.withColumns({"status": F.lit("raw"), "content": F.lit(None).cast("string")})
+    return rows.select("page_id", F.length("text").alias("n"), S.acceptable_scrape(rows, "text", G.is_paywall("text")).alias("accepted"))
 
 
 @query()
@@ -828,19 +858,37 @@ def s09_s10_party_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return H.party_articles(H.extract_links(pages), pages, sources, known).select("id", "url", "title")
 
 
-@query()
+PAGE_INSTITUTES = ("Datafolha", "Quaest", "AtlasIntel", "PoderData")
+
+
+@query(f"""@p AS (SELECT poll, published_at, min(ordinal) AS page_id, count(DISTINCT candidate) AS n FROM polls GROUP BY ALL)
+SELECT page_id, {lst(PAGE_INSTITUTES)}[page_id % 4 + 1] AS institute, published_at::DATE AS day, CASE WHEN page_id % 3 = 0 THEN 'espontanea' ELSE 'estimulada' END AS type, (1000 + page_id % 900)::INTEGER AS sample_size,
+  (1 + page_id % 4 + 0.5)::DOUBLE AS margin, 'BR-' || lpad((page_id % 10000)::VARCHAR, 4, '0') || '/2026' AS registration, n::INTEGER AS n FROM p""", T.POLLS)
 def s12_poll_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages that state the polls of the events table."""
-    p = T.poll_results(spark, sf_dir).groupBy("poll", "published_at").agg(F.min("ordinal").alias("page_id"), F.concat_ws(", ", F.slice(F.array_sort(F.collect_set(F.concat(F.replace("candidate", F.lit("-"), F.lit(" ")), F.lit(" "), F.floor("pct").cast("string"), F.lit("%")))), 1, 6)).alias("r"))
-    html = F.concat(F.lit("<article><p>Datafolha "), F.date_format("published_at", "dd/MM/yyyy"), F.lit(": "), "r", F.lit(". Amostra de 2.000 eleitores, margem de erro 2,5 p.p. Registro BR-0001/2026. Pesquisa estimulada em todo o pais, com entrevistas presenciais.</p></article>"))
+    """Pages that state the polls of the events table: results as a sentence or as rows of a table, dates in both orders."""
+    p = T.poll_results(spark, sf_dir).groupBy("poll", "published_at", "candidate").agg(F.min("ordinal").alias("ordinal"), F.avg("pct").alias("pct"))
+    cell = F.struct(F.replace("candidate", F.lit("-"), F.lit(" ")).alias("c"), F.floor("pct").cast("string").alias("v"))
+    p = p.groupBy("poll", "published_at").agg(F.min("ordinal").alias("page_id"), F.array_sort(F.collect_list(cell)).alias("r"))
+    odd = F.col("page_id") % 2 == 1
+    day = F.when(odd, F.date_format("published_at", "dd/MM/yyyy")).otherwise(F.date_format("published_at", "yyyy-MM-dd"))
+    table = F.concat(F.lit("<table>"), F.array_join(F.transform("r", lambda x: F.concat(F.lit("<tr><td>"), x.c, F.lit("</td><td>"), x.v, F.lit("%</td></tr>"))), ""), F.lit("</table>"))
+    said = F.concat(F.lit("<p>"), F.array_join(F.transform("r", lambda x: F.concat(x.c, F.lit(" tem "), x.v, F.lit("%"))), ", "), F.lit("</p>"))
+    size = (1000 + F.col("page_id") % 900).cast("string")
+    size = F.when(odd, size).otherwise(F.concat(F.substring(size, 1, 1), F.lit("."), F.substring(size, 2, 3)))
+    kind = F.when(F.col("page_id") % 3 == 0, "espontânea").otherwise("estimulada")
+    facts = (F.lit(". Amostra de "), size, F.lit(" eleitores, margem de erro "), (1 + F.col("page_id") % 4).cast("string"), F.lit(",5 p.p. Registro BR-"), F.lpad((F.col("page_id") % 10000).cast("string"), 4, "0"), F.lit("/2026. Pesquisa "), kind)
+    html = F.concat(F.lit("<article><p>"), T.pick(PAGE_INSTITUTES, "page_id % 4"), F.lit(", "), day, *facts, F.lit(" em todo o pais, com entrevistas presenciais.</p>"), F.when(odd, table).otherwise(said), F.lit("</article>"))
     out = H.extract_polls(p.select("page_id", html.alias("html")), "lula|zema|caiado|tarcisio|aldo rebelo|renan santos|eduardo leite|flavio bolsonaro|ratinho jr")
     return out.select("page_id", "institute", "day", "type", "sample_size", "margin", "registration", F.size("results").alias("n"))
 
 
-@query()
+@query(f"""@a AS (SELECT ordinal, {lst(PAGE_INSTITUTES)}[ordinal % 4 + 1] AS institute, published_at, 1 + (ordinal % 50 > 0)::INTEGER + (ordinal % 3 = 0)::INTEGER AS n FROM articles)
+SELECT ordinal, institute, n::INTEGER AS n FROM a WHERE n >= 2 QUALIFY row_number() OVER (PARTITION BY institute, published_at::DATE ORDER BY ordinal) = 1""", T.ARTICLES)
 def s13_polls_from_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = T.articles(spark, sf_dir).withColumn("content", F.concat(F.lit("Datafolha: 30% lula, 12,5% zema, 9% caiado. "), "content"))
-    return P.polls_from_articles(a).select("id", "ordinal", "institute", F.size("results").alias("n"))
+    a = T.articles(spark, sf_dir)
+    third = F.when(F.col("ordinal") % 3 == 0, " e 9% caiado").otherwise("")
+    said = F.concat(T.pick(PAGE_INSTITUTES, "ordinal % 4"), F.lit(": "), (F.col("ordinal") % 50).cast("string"), F.lit("% lula, 12,5% zema"), third, F.lit(". "))
+    return P.polls_from_articles(a.withColumn("content", F.concat(said, F.coalesce("content", F.lit(""))))).select("ordinal", "institute", F.size("results").alias("n"))
 
 
 @query("""SELECT id, trim(concat_ws(' ', nullif(trim(title), ''), nullif(trim(summary_pt), ''), nullif(trim(summary_en), ''))) AS raw_text, source FROM articles""", T.ARTICLES)
