@@ -48,3 +48,26 @@ def test_unique_ids(spark, tmp_path):
     q = stream.select("id", F.lit(1).alias("n")).writeStream.format("memory").queryName("ids").outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination(200)
     assert sorted(r.id for r in spark.table("ids").collect()) == ["a", "b"]
+
+
+def test_rolling_feed_over_batches(spark, tmp_path):
+    src, out, ck = (str(tmp_path / n) for n in ("in", "out", "ck"))
+    kind = "id string, score int"
+    for rows in ([("a", 5), ("b", 1), ("c", 3)], [("d", 4), ("b", 9)], [("e", 0)]):
+        spark.createDataFrame(rows, kind).coalesce(1).write.mode("append").parquet(src)
+        jobs.rolling_feed(jobs.landed(spark, src, kind), out, ck, [F.desc("score")], n=3).awaitTermination(200)
+    feeds = [[(r.id, r.score) for r in spark.read.parquet(f"{out}/{k}").orderBy(F.desc("score")).collect()] for k in range(3)]
+    assert feeds == [[("a", 5), ("c", 3), ("b", 1)], [("b", 9), ("a", 5), ("d", 4)], [("b", 9), ("a", 5), ("d", 4)]]
+
+
+def test_late_rows_are_left_out_once_their_day_is_final(spark, tmp_path):
+    src, out, ck = (str(tmp_path / n) for n in ("in", "out", "ck"))
+    kind = "k string, at timestamp"
+    day = lambda d, h=1: dt.datetime(2026, 1, d, h)
+    for rows in ([("x", day(1)), ("x", day(2)), ("x", day(9))], [("x", day(1, 5)), ("x", day(8, 20)), ("x", day(15))], [("x", day(20))]):
+        spark.createDataFrame(rows, kind).coalesce(1).write.mode("append").parquet(src)
+        q = jobs.daily_mentions(jobs.landed(spark, src, kind), "k", "at").writeStream.format("parquet").option("path", out).option("checkpointLocation", ck).outputMode("append").trigger(availableNow=True).start()
+        q.awaitTermination(200)
+    got = sorted((r.day.day, r.n) for r in spark.read.parquet(out).collect())
+    # the second row of day 1 came after the watermark had passed its day, that of day 8 in time
+    assert got == [(1, 1), (2, 1), (8, 1), (9, 1), (15, 1)]

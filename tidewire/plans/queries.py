@@ -753,12 +753,24 @@ def k02_k05_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return K.clusters(K.cosine_pairs(T.articles(spark, sf_dir)).select("a", "b"))
 
 
-@query()
+NARRATIVE = f"""{TFIDF.replace("FROM articles", "FROM mine")},
+e AS (SELECT a, b FROM pairs UNION SELECT b, a FROM pairs), r(x, y) AS (SELECT a, a FROM e UNION SELECT r.x, e.b FROM r JOIN e ON e.a = r.y),
+roots AS (SELECT x AS id, min(y) AS root FROM r GROUP BY x), named AS (SELECT root, 'cluster_' || substr(sha256(string_agg(id, '' ORDER BY id)), 1, 8) AS cluster FROM roots GROUP BY root),
+grouped AS (SELECT mine.*, cluster FROM mine LEFT JOIN (SELECT id, cluster FROM roots JOIN named USING (root)) USING (id)),
+{CANON.replace("narrative_cluster_id", "cluster").replace("FROM articles", "FROM grouped")}"""
+
+
+@query(f"""WITH_RECURSIVE @mine AS (SELECT * FROM articles WHERE {ELIGIBLE}), {NARRATIVE}
+SELECT ordinal, new_status AS status, cluster AS narrative_cluster_id, CASE WHEN new_status <> 'curated' THEN duplicate_of END AS duplicate_of FROM decided
+UNION ALL SELECT ordinal, status, narrative_cluster_id, NULL FROM articles WHERE NOT ({ELIGIBLE})""", T.ARTICLES)
 def k05_narrative_pass(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jobs.narrative_pass(T.articles(spark, sf_dir)).select("ordinal", "status", "narrative_cluster_id", "duplicate_of")
 
 
-@query()
+@query(f"""WITH_RECURSIVE @judged AS (SELECT *, coalesce(status <> 'curated' AND NOT {RELEVANT} AND len(candidates_mentioned) < 2 AND NOT list_contains(topics, 'eleicoes'), false) AS demoted FROM scored),
+mine AS (SELECT * FROM judged WHERE NOT demoted AND status <> 'irrelevant'), {NARRATIVE}
+SELECT ordinal, status AS was, new_status AS status, score AS relevance_score, demoted, coalesce(cluster, narrative_cluster_id) AS narrative_cluster_id, CASE WHEN new_status <> 'curated' THEN duplicate_of END AS duplicate_of FROM decided
+UNION ALL SELECT ordinal, status, 'irrelevant', score, demoted, narrative_cluster_id, NULL FROM judged WHERE demoted OR status = 'irrelevant'""", T.ARTICLES, SIGNALS)
 def k06_clean_up(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jobs.clean_up(T.articles(spark, sf_dir)).select("ordinal", "was", "status", "relevance_score", "demoted", "narrative_cluster_id", "duplicate_of")
 
@@ -842,14 +854,21 @@ def s11_social_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.social_articles(posts, inferred).select(F.col("ordinal").alias("page_id"), F.length("title").alias("n_title"), F.size("candidates_mentioned").alias("n"))
 
 
-@query()
+PLAIN = """trim(regexp_replace(replace(replace(replace(replace(replace(regexp_replace({0}, '<[^>]*>', ' ', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#x27;', ''''), '&amp;', '&'), '\\s+', ' ', 'g'))"""
+
+
+@query(f"""WITH a AS (SELECT page_id, {PLAIN.format("regexp_extract(html, '(?s)<article>(.*?)(</article>|$)', 1)")} AS a,
+  {PLAIN.format("regexp_replace(regexp_replace(html, '(?s)<!--.*?-->', ' ', 'g'), '(?s)<(script|style|nav|footer)>.*?(</(script|style|nav|footer)>|$)', ' ', 'g')")} AS b FROM pages),
+t AS (SELECT page_id, CASE WHEN length(a) > 100 THEN a ELSE b END AS t FROM a)
+SELECT page_id, length(t)::INTEGER AS n, length(t) > 50 AND {hits("lower(substr(t, 1, 800))", vocab.PAYWALL)} < 2 AS accepted FROM t""")
 def s07_s08_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = H.extract_main_text(T.table(spark, sf_dir, "pages"))
     rows = rows.withColumns({"status": F.lit("raw"), "content": F.lit(None).cast("string")})
     return rows.select("page_id", F.length("text").alias("n"), S.acceptable_scrape(rows, "text", G.is_paywall("text")).alias("accepted"))
 
 
-@query()
+@query(f"""WITH l AS (SELECT page_id, url, {PLAIN.format("regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1)")} AS title FROM pages WHERE url IS NOT NULL)
+SELECT substr(sha256(url), 1, 16) AS id, url, title FROM l WHERE title <> '' AND url NOT IN (SELECT url FROM pages WHERE page_id % 10 = 0 AND url IS NOT NULL) QUALIFY row_number() OVER (PARTITION BY url ORDER BY page_id) = 1""")
 def s09_s10_party_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = T.table(spark, sf_dir, "pages")
     host = F.lower(F.regexp_extract("url", r"^[a-zA-Z]+://([^/?#]*)", 1))

@@ -152,21 +152,50 @@ def extract_links(pages: DataFrame) -> DataFrame:
 
 
 def party_articles(links: DataFrame, pages: DataFrame, sources: DataFrame, existing: DataFrame) -> DataFrame:
-    """Links of pages as raw articles with their source's candidates (host, candidate_slugs), without known ids."""
+    """Links of pages as raw articles with their source's candidates (host, candidate_slugs), without known ids; of
+    several links to one place that of the first page counts."""
     host = F.lower(F.regexp_extract("url", r"^[a-zA-Z]+://([^/?#]*)", 1))
-    rows = links.join(pages.select("page_id", host.alias("host")), "page_id").join(sources, "host")
-    rows = rows.select(F.substring(F.sha2("link", 256), 1, 16).alias("id"), F.col("link").alias("url"), "title", F.lit("party").alias("source_category"), F.col("candidate_slugs").alias("candidates_mentioned"), F.lit("raw").alias("status"))
-    return rows.dropDuplicates(["id"]).join(existing.select("id"), "id", "left_anti")
+    rows = links.join(pages.select("page_id", host.alias("host")).hint("merge"), "page_id").join(sources.hint("merge"), "host")
+    first = rows.groupBy(F.substring(F.sha2("link", 256), 1, 16).alias("id")).agg(F.min_by(F.struct("link", "title", "candidate_slugs"), F.struct("page_id", "host", "title")).alias("x"))
+    rows = first.select("id", F.col("x.link").alias("url"), "x.title", F.lit("party").alias("source_category"), F.col("x.candidate_slugs").alias("candidates_mentioned"), F.lit("raw").alias("status"))
+    return rows.join(existing.select("id").hint("merge"), "id", "left_anti")
+
+
+def stated_results(html: str | None) -> list[tuple[str, str]]:
+    """(name, percentage) pairs that the JSON-LD of a page states, in any node, as texts."""
+    found = []
+    for text in _read(html).ld:
+        try:
+            nodes = list(_nodes(json.loads(text)))
+        except ValueError:
+            continue
+        for n in nodes:
+            name = next((n[k] for k in ("candidate", "name", "candidate_name") if n.get(k)), None)
+            share = next((n[k] for k in ("percentage", "percent", "value", "votos") if n.get(k)), None)
+            if isinstance(name, str) and isinstance(share, (str, int, float)):
+                found.append((name, str(share)))
+    return found
 
 
 def extract_polls(pages: DataFrame, names: str) -> DataFrame:
     """(page_id, institute, day, type, sample_size, margin, confidence, registration, results, snippet) of pages that
-    name an institute and give percentages after or before known names (``names`` is an alternation)."""
+    name an institute and give candidates a percentage: in JSON-LD, of which the last for each candidate counts, else in
+    the text, tables included, within 20 characters after a known name (``names`` is an alternation)."""
     from tidewire.functions import polls as P
 
-    rows = extract_main_text(pages).withColumn("institute", P.institute_of("text")).where("institute IS NOT NULL")
+    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            stated = [[{"w": w, "p": p} for w, p in stated_results(x)] for x in b.html]
+            yield pd.DataFrame({"page_id": b.page_id, "text": b.html.map(main_text), "stated": stated})
+
+    rows = pages.select("page_id", "html").mapInPandas(run, "page_id long, text string, stated array<struct<w:string,p:string>>")
+    rows = rows.withColumn("institute", P.institute_of("text")).where("institute IS NOT NULL")
     pattern = rf"(?i)({names})\D{{0,20}}(\d{{1,3}}(?:[.,]\d+)?)\s*%"
     who, pct = F.regexp_extract_all("text", F.lit(pattern), 1), F.regexp_extract_all("text", F.lit(pattern), 2)
-    results = F.filter(F.transform(F.arrays_zip(who.alias("w"), pct.alias("p")), lambda x: F.struct(P.poll_candidate(x.w).alias("candidate"), P.coerce_pct(x.p).alias("pct"))), lambda r: r.candidate.isNotNull() & r.pct.isNotNull())
+    read = lambda x: F.struct(P.poll_candidate(x.w).alias("candidate"), P.coerce_pct(x.p).alias("pct"))
+    known = lambda pairs: F.filter(F.transform(pairs, read), lambda r: r.candidate.isNotNull() & r.pct.isNotNull())
+    rows = rows.withColumns({"stated": known("stated"), "said": known(F.arrays_zip(who.alias("w"), pct.alias("p")))})
+    last = F.filter("stated", lambda r, i: ~F.exists(F.slice("stated", i + 2, F.size("stated")), lambda o: o.candidate == r.candidate))
+    results = F.when(F.size("stated") > 0, last).otherwise(F.col("said"))
     out = rows.select("page_id", "institute", P.poll_date("text").alias("day"), P.poll_type("text").alias("type"), P.sample_size("text").alias("sample_size"), P.margin_of_error("text").alias("margin"), P.confidence_level("text").alias("confidence"), P.registration("text").alias("registration"), results.alias("results"), F.substring("text", 1, 500).alias("snippet"))
     return out.where(F.size("results") > 0)

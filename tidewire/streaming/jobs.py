@@ -63,10 +63,21 @@ def near_duplicate_batches(stream: DataFrame, target: str, checkpoint: str, wind
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def rolling_feed(stream: DataFrame, target: str, checkpoint: str, order: list, n: int = 80) -> StreamingQuery:
-    """Each batch rewrites the first rows of the feed."""
+def rolling_feed(stream: DataFrame, target: str, checkpoint: str, order: list, key: str = "id", n: int = 80) -> StreamingQuery:
+    """The first ``n`` rows so far: each batch writes a feed ``target``/epoch of its rows and the feed before it.
+
+    A row of the batch replaces a row of the same key. A repeated batch rewrites its own feed from the one before it, so
+    reruns are safe; readers take the highest epoch.
+    """
 
     def write(batch: DataFrame, epoch: int) -> None:
-        batch.orderBy(*order).limit(n).write.mode("overwrite").parquet(f"{target}/{epoch}")
+        rows = batch.dropDuplicates([key])
+        try:
+            old = batch.sparkSession.read.schema(batch.schema).parquet(f"{target}/{epoch - 1}")
+            rows = rows.unionByName(old.join(rows.select(key), key, "left_anti"))
+        except Exception as e:  # the first batch finds no feed
+            if "PATH_NOT_FOUND" not in str(e):
+                raise
+        rows.orderBy(*order).limit(n).write.mode("overwrite").parquet(f"{target}/{epoch}")
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
