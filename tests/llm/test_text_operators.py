@@ -165,3 +165,39 @@ def test_quality_rules_keep_clashing_columns(spark):
     rows = kept_rows(df).collect()
     assert [(r.doc_id, r.text, r.n_words, r._words, r._lines, r.kept) for r in rows] == [(1, text, 7, "w", "l", 3)] * 2
     assert sorted((r.doc_id, r.n_words, r._words) for r in quality_rules(df).collect()) == [(1, 40, "w"), (1, 40, "w"), (2, 0, "x")]
+
+
+def test_contained_items_of_every_size(spark):
+    """Short items inside one very long text at the edge of 0.8, items of each size partition, repeats and clashing columns."""
+    from tidewire.llm import decontaminate as D
+
+    r = random.Random(11)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(6))
+    items, parts = [], []
+    for n in (1, 4, 5, 6, 8, 9, 14, 19, 20, 36, 67, 131, 260, 600):
+        w = [word() for _ in range(n)]
+        items.append((n, " ".join(w)))
+        windows = max(n - 4, 1)
+        # cut off the end, so that exactly the fewest shingles that count are left, and one fewer
+        for lost in (windows - -(-4 * windows // 5), windows - -(-4 * windows // 5) + 1):
+            parts.append(" ".join(w[: n - lost]))
+    items += [(n, t) for n, t in items[:6]] + [(7000 + k, items[7][1]) for k in range(50)]
+    filler = [" ".join(word() for _ in range(2000)) for _ in parts]
+    docs = [(k, p) for k, p in enumerate(parts)] + [(500, " ".join(f"{f} {p}" for f, p in zip(filler, parts))), (501, None), (502, "")]
+    df = spark.createDataFrame([(d, t, "i", "d", 3) for d, t in docs], "doc_id long, text string, item_id string, digest string, n_found int")
+    bm = spark.createDataFrame([(i, t, 9) for i, t in items], "item_id long, text string, doc_id int")
+    want = Counter((d, i, n, g) for i, t in items for d, _, n, g in brute_contained(docs, [(0, t)]))
+    assert Counter(tuple(x) for x in D.contained_items(df, bm).collect()) == want and len(want) > 60
+    assert D.drop_contaminated(df, bm).columns == df.columns
+    assert {x.doc_id for x in D.drop_contaminated(df, bm).collect()} == {d for d, _ in docs} - {w[0] for w in want}
+
+
+def test_contained_items_meet_a_sketch_of_their_partition():
+    from tidewire.llm import decontaminate as D
+
+    texts = [" ".join(f"w{k}x{i}" for i in range(n)) for k, n in enumerate((3, 5, 7, 11, 12, 19, 40, 300))]
+    index = D._Index([("", t) for t in texts])
+    assert len(index.parts) == len({(w, len(g).bit_length()) for w, g in index.grams.values()}) > 4
+    for part in index.parts:
+        sizes = [len(index.grams[p][1]) for p in set(part.places.tolist())]
+        assert max(sizes) < 2 * min(sizes) and all((part.places == p).sum() >= min(n, D._need(n)) for p, n in zip(sorted(set(part.places.tolist())), [len(index.grams[q][1]) for q in sorted(set(part.places.tolist()))]))

@@ -1,31 +1,36 @@
 """Benchmark decontamination: size-partitioned MinHash search for test items contained in documents.
 
-Items are partitioned by their number n of distinct five-word shingles. An item that keeps at least 0.8 of its shingles
-in a document loses at most n - ceil(0.8 n) of them, so among its n - ceil(0.8 n) + 1 smallest MinHash values at least
-one is in the document: these bottom values, as many as the size partition needs, are the item's index entries, and
-the search loses no match. Documents are scanned once per block of items: the hashes of all word windows of a batch of
-whole texts are one numpy array, index hits name candidate (document, item) pairs, and a candidate is verified by
-counting the item's shingles, as strings, in the document.
+Distinct item texts are partitioned by their number n of distinct five-word shingles: partition p holds n from 2^p to
+2^(p+1) - 1, and texts of fewer than five words have a partition for each number of words. An item that keeps at least
+0.8 of its shingles in a document loses at most n - ceil(0.8 n) of them, so among its n - ceil(0.8 n) + 1 smallest
+MinHash values at least one is in the document. The bottom sketch of a partition is as long as its largest n needs, so
+each partition's own index loses no match, however long the document. Documents are scanned once per block of items:
+the hashes of all word windows of a batch of whole texts are one numpy array, a partition whose smallest item needs
+more shingles than a document has is passed over for it, index hits name candidate (document, item) pairs, and a
+candidate is verified by counting the item's shingles, as strings, in the document.
 
 Words are lower-cased runs of characters other than ASCII punctuation, controls and space. An item of fewer than five
 words is one shingle of all its words. Defined cases: null or wordless items and texts match nothing; repeated rows
-match each; a null id is reported as null; extra columns are ignored; empty tables give an empty table.
+match each; a null id is reported as null; extra columns are ignored, and may be named like the result's; texts of any
+length are searched whole; empty tables give an empty table.
 """
 
 from __future__ import annotations
 
 import string
+import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewire.session import stored
+from tidewire.session import forget, stored
 
 SHINGLE, LEAST = 5, (4, 5)  # containment of at least 4 / 5
-#: Shingles of one broadcast block of items; a larger benchmark is searched block by block.
+#: Words of one broadcast block of item texts; a larger benchmark is searched block by block.
 BLOCK = 1 << 19
 CHUNK = 1 << 22
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
@@ -86,29 +91,42 @@ def _grams(words: list[bytes], width: int) -> set[bytes]:
     return {b" ".join(words[i : i + width]) for i in range(len(words) - width + 1)}
 
 
+def _need(n: int) -> int:
+    """Length of the bottom sketch that cannot miss an item of n shingles."""
+    return n - -(-LEAST[0] * n // LEAST[1]) + 1
+
+
+class _Partition:
+    """Index of the items of one width and one range of sizes: MinHash values and, beside each, its item's place."""
+
+    def __init__(self, width: int, items: list[tuple[int, int, np.ndarray]]) -> None:
+        self.width = width
+        sizes = [n for _, n, _ in items]
+        self.least = -(-LEAST[0] * min(sizes) // LEAST[1])  # shingles that a document needs for the smallest item
+        length = _need(max(sizes))
+        keys = np.concatenate([mins[:length] for _, _, mins in items])
+        places = np.repeat(np.array([p for p, _, _ in items], np.int64), [min(len(mins), length) for _, _, mins in items])
+        order = np.argsort(keys, kind="stable")
+        self.keys, self.places = keys[order], places[order]
+
+
 class _Index:
-    """Sketch entries and shingle sets of one block of items."""
+    """Size partitions and shingle sets of one block of distinct item texts, given with their digests."""
 
-    def __init__(self, items: list[tuple[object, str]]) -> None:
-        self.items, self.grams, by_width = [], [], {}
-        for item, text in items:
+    def __init__(self, items: list[tuple[str, str]]) -> None:
+        self.grams: dict[int, tuple[int, frozenset[bytes]]] = {}
+        parts: dict[tuple[int, int], list[tuple[int, int, np.ndarray]]] = {}
+        for place, (_, text) in enumerate(items):
             words = words_of(text)
             if not words:
                 continue
             width = min(SHINGLE, len(words))
-            grams = sorted(_grams(words, width))
-            n = len(grams)
+            grams = frozenset(_grams(words, width))
+            self.grams[place] = width, grams
             hashes, _ = word_hashes(np.frombuffer(b" ".join(words), np.uint8))
             mins = np.unique(window_hashes(hashes, width))
-            need = n - -(-LEAST[0] * n // LEAST[1]) + 1  # of this size partition
-            place = len(self.items)
-            self.items.append(item)
-            self.grams.append((width, frozenset(grams)))
-            by_width.setdefault(width, []).extend((int(h), place) for h in mins[:need])
-        self.tables = {}
-        for width, entries in by_width.items():
-            entries.sort()
-            self.tables[width] = (np.array([h for h, _ in entries], np.uint64), np.array([p for _, p in entries], np.int64))
+            parts.setdefault((width, len(grams).bit_length()), []).append((place, len(grams), mins))
+        self.parts = [_Partition(width, own) for (width, _), own in sorted(parts.items())]
 
 
 def _search(index: _Index, texts: list[str]) -> Iterator[tuple[int, int, int, int]]:
@@ -116,97 +134,119 @@ def _search(index: _Index, texts: list[str]) -> Iterator[tuple[int, int, int, in
     split = [words_of(t) for t in texts]
     data = b" ".join(b" ".join(w) for w in split)
     hashes, _ = word_hashes(np.frombuffer(data, np.uint8))
-    owner = np.repeat(np.arange(len(texts)), np.fromiter(map(len, split), np.int64, len(split)))
+    words = np.fromiter(map(len, split), np.int64, len(split))
+    owner = np.repeat(np.arange(len(texts)), words)
     candidates: set[tuple[int, int]] = set()
-    for width, (keys, places) in index.tables.items():
-        h = window_hashes(hashes, width)
-        inside = owner[: len(h)] == owner[width - 1 :] if len(h) else np.empty(0, bool)
-        at = np.searchsorted(keys, h)
-        hit = np.flatnonzero(inside & (keys[np.minimum(at, len(keys) - 1)] == h))
-        stop = np.searchsorted(keys, h[hit], "right")
-        for doc, a, b in zip(owner[hit].tolist(), at[hit].tolist(), stop.tolist(), strict=True):
-            candidates.update((doc, int(p)) for p in places[a:b])
-    made: dict[tuple[int, int], set[bytes]] = {}
+    width = 0
+    for part in index.parts:
+        if part.width != width:
+            width = part.width
+            h = window_hashes(hashes, width)
+            inside = np.flatnonzero(owner[: len(h)] == owner[width - 1 :]) if len(h) else np.empty(0, np.int64)
+            h, whose = h[inside], owner[inside]
+            room = words[whose] - width + 1
+        at = np.searchsorted(part.keys, h)
+        hit = np.flatnonzero((part.keys[np.minimum(at, len(part.keys) - 1)] == h) & (room >= part.least))
+        stop = np.searchsorted(part.keys, h[hit], "right")
+        for doc, a, b in zip(whose[hit].tolist(), at[hit].tolist(), stop.tolist(), strict=True):
+            candidates.update((doc, p) for p in part.places[a:b].tolist())
+    made: dict[int, set[bytes]] = {}
     last = -1
     for doc, place in sorted(candidates):
         if doc != last:
             made, last = {}, doc
         width, grams = index.grams[place]
-        if (doc, width) not in made:
-            made[doc, width] = _grams(split[doc], width)
-        found = len(grams & made[doc, width])
+        if width not in made:
+            made[width] = _grams(split[doc], width)
+        found = len(grams & made[width])
         if found * LEAST[1] >= len(grams) * LEAST[0]:
             yield doc, place, found, len(grams)
 
 
-def _scan(docs: DataFrame, shared, item_type: str) -> DataFrame:  # noqa: ANN001
-    kinds = [docs.schema["key"].dataType.simpleString(), item_type]
-    cache: dict[str, _Index] = {}
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = cache.get("index") or cache.setdefault("index", _Index(shared.value))
-        for batch in batches:
-            texts, begin, size = batch.column(1), 0, 0
-            for i in range(batch.num_rows + 1):
-                if i == batch.num_rows or size > CHUNK:
-                    rows = list(_search(index, texts.slice(begin, i - begin).to_pylist()))
-                    if rows:
-                        doc, place, found, n = zip(*rows, strict=True)
-                        yield pa.RecordBatch.from_arrays([batch.column(0).slice(begin, i - begin).take(pa.array(doc)), pa.array([index.items[p] for p in place]), pa.array(found, pa.int64()), pa.array(n, pa.int64())], names=["key", "item", "n_found", "n_shingles"])
-                    begin, size = i, 0
-                if i < batch.num_rows and texts[i].is_valid:
-                    size += len(texts[i].as_buffer())
-
-    return docs.mapInArrow(run, f"key {kinds[0]}, item {kinds[1]}, n_found bigint, n_shingles bigint")
-
-
-def _blocks(benchmark: DataFrame, text: str, item: str) -> Iterator[list[tuple]]:
-    """(item, text) rows in blocks of at most about ``BLOCK`` shingles: the words are counted first, and one block at a
-    time is collected."""
-    items = stored(benchmark.where(F.col(text).isNotNull()).select(F.col(item).alias("item"), F.col(text).cast("string").alias("text")), "benchmark")
-    total = items.agg(F.sum(F.size(F.split("text", "\\s+")))).first()[0] or 0
-    blocks = -(-int(total) // BLOCK) or 1
+def _index_of(shared) -> _Index:  # noqa: ANN001
+    """Index of a broadcast block, built once in each Python worker that reads the block."""
+    block = shared.value
+    if _BUILT.get("id") != block["id"]:
+        _BUILT.clear()
+        _BUILT.update(id=block["id"], index=_Index(block["items"]))
+    return _BUILT["index"]
+
+
+_BUILT: dict[str, object] = {}
+
+
+def _found(batch: pa.RecordBatch, column: int, index: _Index) -> Iterator[tuple[int, int, int, int]]:
+    """Matches of a batch by row, the whole texts in slices of about ``CHUNK`` bytes."""
+    texts, begin, size = batch.column(column), 0, 0
+    for i in range(batch.num_rows + 1):
+        if i == batch.num_rows or size > CHUNK:
+            for doc, *rest in _search(index, texts.slice(begin, i - begin).to_pylist()):
+                yield begin + doc, *rest
+            begin, size = i, 0
+        if i < batch.num_rows and texts[i].is_valid:
+            size += len(texts[i].as_buffer())
+
+
+def _blocks(benchmark: DataFrame, text: str) -> Iterator[Broadcast]:
+    """Distinct item texts as broadcast blocks of at most about ``BLOCK`` words, but for one longer text alone.
+
+    Numbers of words are summed over ranges of texts' hashes first, and one block at a time reaches the driver, as the
+    next scan needs it. A text that many items share counts once.
+    """
+    spark = benchmark.sparkSession
+    items = benchmark.select(F.col(text).cast("string").alias("text")).where("text IS NOT NULL").distinct()
+    items = stored(items.withColumns({"n": F.size(F.split("text", "\\s+")), "digest": F.sha2("text", 256)}), "benchmark")
+    blocks = -(-int(items.agg(F.sum("n")).first()[0] or 0) // BLOCK) or 1
     for k in range(blocks):
-        yield [(r[0], r[1]) for r in items.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == k).collect()]
+        rows = items.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == k).select("digest", "text").collect()
+        yield spark.sparkContext.broadcast({"id": uuid.uuid4().hex, "items": [tuple(r) for r in rows]})
+    forget(items)
 
 
 def contained_items(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id") -> DataFrame:
     """``(key, item, n_found, n_shingles)`` for each document row and item row it contains to 0.8 or more.
 
-    Each block of items is broadcast and costs one scan of the documents without a shuffle.
+    Each block of item texts is broadcast and costs one scan of the documents without a shuffle; what is found meets the
+    items' ids by a join on the text's digest.
     """
     rows = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
-    kind = benchmark.schema[item].dataType.simpleString()
-    scans = [_scan(rows, docs.sparkSession.sparkContext.broadcast(part), kind) for part in _blocks(benchmark, text, item)]
-    found = scans[0]
-    for scan in scans[1:]:
-        found = found.unionByName(scan)
+    kind = docs.schema[key].dataType.simpleString()
+
+    def scan(shared):  # noqa: ANN001, ANN202
+        def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                hits = list(_found(batch, 1, _index_of(shared)))
+                if hits:
+                    doc, place, found, n = zip(*hits, strict=True)
+                    items = shared.value["items"]
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(doc)), pa.array([items[p][0] for p in place]), pa.array(found, pa.int64()), pa.array(n, pa.int64())], names=["key", "digest", "n_found", "n_shingles"])
+
+        return run
+
+    found = None
+    for shared in _blocks(benchmark, text):
+        one = rows.mapInArrow(scan(shared), f"key {kind}, digest string, n_found bigint, n_shingles bigint")
+        found = one if found is None else found.unionByName(one)
+    items = benchmark.select(F.col(item).alias("item"), F.sha2(F.col(text).cast("string"), 256).alias("digest"))
+    found = found.join(items.hint("merge"), "digest")
     return found.select(F.col("key").alias(key), F.col("item").alias(item), "n_found", "n_shingles")
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id") -> DataFrame:
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
     """Rows of ``docs`` that contain no benchmark item; every row is judged by itself, nothing is shuffled."""
     place = docs.columns.index(text)
 
     def clean(shared):  # noqa: ANN001, ANN202
-        cache: dict[str, _Index] = {}
-
         def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            index = cache.get("index") or cache.setdefault("index", _Index(shared.value))
             for batch in batches:
-                texts, keep, begin, size = batch.column(place), np.ones(batch.num_rows, bool), 0, 0
-                for i in range(batch.num_rows + 1):
-                    if i == batch.num_rows or size > CHUNK:
-                        for doc, *_ in _search(index, texts.slice(begin, i - begin).to_pylist()):
-                            keep[begin + doc] = False
-                        begin, size = i, 0
-                    if i < batch.num_rows and texts[i].is_valid:
-                        size += len(texts[i].as_buffer())
+                keep = np.ones(batch.num_rows, bool)
+                for doc, *_ in _found(batch, place, _index_of(shared)):
+                    keep[doc] = False
                 yield batch.filter(pa.array(keep))
 
         return run
 
     out = docs
-    for part in _blocks(benchmark, text, item):
-        out = out.mapInArrow(clean(docs.sparkSession.sparkContext.broadcast(part)), docs.schema)
+    for shared in _blocks(benchmark, text):
+        out = out.mapInArrow(clean(shared), docs.schema)
     return out
