@@ -55,3 +55,30 @@ def test_anchors_cover_every_window():
     for data in (b"a" * 200, bytes(random.Random(1).choices(range(97, 101), k=500)), b"x" * 50):
         at, _ = repeated_text._anchors(np.frombuffer(data, np.uint8))
         assert all(any(i <= p <= i + 30 for p in at.tolist()) for i in range(len(data) - 49))
+
+
+def test_contents_of_one_hash_are_told_apart(monkeypatch):
+    import numpy as np
+
+    r = random.Random(4)
+    made = [bytes(r.choices(b"ab", k=80)) for _ in range(12)]
+    rows = np.zeros(60, repeated_text.AROUND)
+    for i in range(60):
+        rows[i] = i, 0, 30, 30, 30, np.frombuffer(made[r.randrange(12)], np.uint8)
+    rows["left"][::7], rows["right"][::5] = 12, 9
+    group = np.zeros(60, np.int64)
+    want = repeated_text._windows(rows, group)
+    assert 0 < len(want) < 60
+    # a hash that is one value for all contents
+    monkeypatch.setattr(repeated_text, "_powers", lambda n, base: np.zeros(n, np.uint64))
+    monkeypatch.setattr(repeated_text, "BASE", 0)
+    got = repeated_text._windows(rows, group)
+    assert got.tolist() == want.tolist()
+
+
+def test_very_long_text_repeats_and_clashing_columns(spark):
+    r = random.Random(6)
+    long = "".join(r.choice("abcdefgh ") for _ in range(60000))
+    rows = [(1, long), (2, long[1000:59000] + "é" * 300), (3, "x" * 40 + long[-70:]), (3, "x" * 40 + long[-70:]), (4, " " * 3000), (5, " " * 200), (6, None)]
+    df = spark.createDataFrame([(d, t, 1, "s", b"k", 2) for d, t in rows], "doc_id long, text string, n_bytes int, spans string, kept binary, bucket int")
+    assert ours(df) == brute(rows)

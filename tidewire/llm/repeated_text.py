@@ -197,6 +197,16 @@ def _groups(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.cumsum(new) - 1, np.flatnonzero(new)
 
 
+def _numbered(key: np.ndarray, data: np.ndarray, order: np.ndarray, group: np.ndarray) -> np.ndarray | None:
+    """None if rows of a group, in order, hold equal bytes; else, two contents having met in one hash, numbers of the
+    contents to use as the key instead."""
+    same = np.flatnonzero(group[1:] == group[:-1])
+    if (data[order[same]] == data[order[same + 1]]).all():
+        return None
+    whole = np.ascontiguousarray(data).view(np.dtype((np.void, data.shape[1]))).ravel()
+    return np.unique(whole, return_inverse=True)[1].astype(key.dtype)
+
+
 def _several(keys: np.ndarray, docs: np.ndarray) -> np.ndarray:
     """For rows sorted by key: whether the row's key is in two documents or more."""
     if not len(keys):
@@ -282,6 +292,10 @@ def _surroundings(buckets: int):  # noqa: ANN202
             whole = _mix(whole ^ (rows["left"].astype(np.uint64) << np.uint64(8) | rows["right"]))
         order = np.lexsort((rows["doc"], whole))
         group, first = _groups(whole[order])
+        exact = _numbered(whole, np.column_stack([rows["text"], rows["left"], rows["right"]]), order, group)
+        if exact is not None:
+            order = np.lexsort((rows["doc"], exact))
+            group, first = _groups(exact[order])
         covered = np.zeros(len(rows), bool)
         covered[order] = rows["doc"][order][first][group] < rows["doc"][order]
         sent, own = rows[~covered], rows[covered]
@@ -321,7 +335,8 @@ def _surroundings(buckets: int):  # noqa: ANN202
 def _windows(rows: np.ndarray, group: np.ndarray) -> np.ndarray:
     """Pass 2 on whole groups of one digit each: the spans that a smaller document repeats.
 
-    The windows of one offset at a time are sorted by group and content hash, so memory is a few numbers per anchor.
+    The windows of one offset at a time are sorted by group and content hash, and neighbours of one hash are compared
+    byte by byte, so memory is a few numbers per anchor and two contents of one hash are never taken for one.
     """
     low = np.full(len(rows), SIDE + 1, np.int64)
     high = np.full(len(rows), -1, np.int64)
@@ -337,8 +352,14 @@ def _windows(rows: np.ndarray, group: np.ndarray) -> np.ndarray:
             fits = np.flatnonzero((rows["left"] >= SIDE - k) & (rows["right"] >= k))
             if not len(fits):
                 continue
-            order = fits[np.lexsort((_mix(h[fits]), group[fits]))]
-            new = np.r_[True, (h[order][1:] != h[order][:-1]) | (group[order][1:] != group[order][:-1])]
+            key, window = h.copy(), rows["text"][:, k : k + DEPTH]
+            for _ in range(2):
+                order = fits[np.lexsort((_mix(key[fits]), group[fits]))]
+                new = np.r_[True, (key[order][1:] != key[order][:-1]) | (group[order][1:] != group[order][:-1])]
+                exact = _numbered(key, window, order, np.cumsum(new))
+                if exact is None:
+                    break
+                key = exact
             least = np.minimum.reduceat(rows["doc"][order], np.flatnonzero(new))[np.cumsum(new) - 1]
             hit = order[least < rows["doc"][order]]
             low[hit] = np.minimum(low[hit], k)
