@@ -4,8 +4,9 @@ from pyspark.sql import functions as F
 
 from tidewire.operators import lifecycle as L
 from tidewire.operators import quiz as Z
-from tidewire.operators.graph import connected_components
+from tidewire.operators.graph import _least, connected_components
 from tidewire.operators.similarity import first_wins, title_pairs
+from tidewire.session import stored
 from tidewire.sources.annotations import parse_annotations
 from tidewire.sources.feeds import annotation_batches, read_envelope
 from tidewire.sources.pages import link_ladder, main_text
@@ -23,6 +24,26 @@ def test_components_of_a_long_chain_and_a_hub(spark):
     assert set(got.values()) == {0, 1000} and len(got) == 361 + 1
 
 
+def test_a_hub_is_split_over_tasks(spark):
+    """A star of 100 000 leaves: the join of its edges with the least neighbours is split by adaptive execution."""
+    small = {"skewJoin.skewedPartitionThresholdInBytes": "50KB", "skewJoin.skewedPartitionFactor": "1.5", "advisoryPartitionSizeInBytes": "50KB"}
+    small = {f"spark.sql.adaptive.{k}": v for k, v in small.items()}
+    before = {k: spark.conf.get(k) for k in small}
+    star = stored(spark.range(1, 100001, 1, 8).select(F.lit(0).cast("long").alias("u"), F.col("id").alias("v")), "star")
+    try:
+        for k, v in small.items():
+            spark.conf.set(k, v)
+        joined = star.join(_least(star).hint("merge"), "u")
+        assert joined.where("m <> 1").count() == 0
+        rows = joined.where("v > m")
+        assert len(rows.collect()) == 99999
+        assert "skew=true" in rows._jdf.queryExecution().executedPlan().toString()
+        assert {r.component for r in connected_components(star, "u", "v").select("component").distinct().collect()} == {0}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def test_no_edges(spark):
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 

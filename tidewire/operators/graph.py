@@ -13,13 +13,17 @@ def _state(edges: DataFrame) -> tuple:
     return tuple(row)
 
 
+def _least(edges: DataFrame) -> DataFrame:
+    """(u, m): the least v of each u, grouped by a struct of u, so that a join on u shuffles it again."""
+    return edges.groupBy(F.struct("u").alias("k")).agg(F.min("v").alias("m")).select("k.u", "m")
+
+
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """``(node, component)`` for every node of an undirected edge table; component is the smallest node reachable.
 
     Null ends and self-loops are ignored. Each round shuffles the edge list on one end; the minimum is combined
-    before its shuffle. In the join back to the edges a hub's edges are sorted in one task, as one side holds an aggregate,
-    which adaptive execution does not split (storing the minima first splits it, and doubled the time at sf0.1). Only two
-    numbers per round reach the driver.
+    before its shuffle and dealt anew for the join back to the edges, so that both sides of the join are plain shuffles, of
+    which adaptive execution splits a hub's edges. Only two numbers per round reach the driver.
     """
     u, v = F.col(a), F.col(b)
     edges = edges.where(u.isNotNull() & v.isNotNull() & (u != v)).select(F.greatest(u, v).alias("u"), F.least(u, v).alias("v"))
@@ -27,10 +31,9 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     before = _state(edges)
     while before[0]:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        low = _least(both).select("u", F.least("u", "m").alias("m"))
         large = both.join(low.hint("merge"), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low.hint("merge"), "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e"))
+        small = large.join(_least(large).hint("merge"), "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e"))
         edges = cut(small.select("e.*").where("u > v").distinct())
         after = _state(edges)
         if after == before:
