@@ -203,8 +203,14 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(docs, fit(docs, _table(spark, sf_dir, "labels")))
 
 
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidewire.llm.conversation_repair import audit, damage
+
+    return audit(damage(_table(spark, sf_dir, "conversations")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash, op2_url_filter, op3_repeated_text, op4_quality_rules, op5_html_text, op6_sentence_pieces, op7_warc, op8_line_dedup, op9_decontamination, op10_quality_classifier)}
+    return {f.__name__: f for f in (op1_simhash, op2_url_filter, op3_repeated_text, op4_quality_rules, op5_html_text, op6_sentence_pieces, op7_warc, op8_line_dedup, op9_decontamination, op10_quality_classifier, op13_conversation_repair)}
 
 
 def oracle_sql() -> dict[str, str]:
