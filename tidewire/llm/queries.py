@@ -203,6 +203,45 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(docs, fit(docs, _table(spark, sf_dir, "labels")))
 
 
+def op11_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidewire.llm.private_data import report
+
+    return report(_table(spark, sf_dir, "documents"))
+
+
+def op12_source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidewire.llm.source_audit import audit
+
+    return audit(_table(spark, sf_dir, "documents"))
+
+
+OP12_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS i, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS words
+  FROM documents),
+w AS (SELECT i, lang, source, unnest(words) AS w FROM d),
+kept AS (SELECT lang, w FROM w GROUP BY lang, w HAVING count(DISTINCT i) >= 30),
+v AS (SELECT lang, count(kept.w) AS v FROM (SELECT DISTINCT lang FROM d) LEFT JOIN kept USING (lang) GROUP BY lang),
+g AS (SELECT DISTINCT lang, source FROM d),
+c AS (SELECT lang, source, w, count(*) AS n FROM w GROUP BY ALL),
+full_grid AS (SELECT g.lang, g.source, kept.w, coalesce(c.n, 0) AS n FROM g JOIN kept USING (lang) LEFT JOIN c USING (lang, source, w)),
+p AS (SELECT lang, source, w, n, 1 + 1000000000::HUGEINT * (n + 5) // (sum(n) OVER (PARTITION BY lang, source) + 5 * v) AS p FROM full_grid JOIN v USING (lang)),
+q AS (
+  SELECT lang, w, 1 + 1000000000::HUGEINT * (n + 5) // (sum(n) OVER (PARTITION BY lang) + 5 * v) AS q
+  FROM (SELECT lang, w, sum(n) AS n FROM full_grid GROUP BY lang, w) JOIN v USING (lang)),
+pairs AS (
+  SELECT a.lang, a.source, b.source AS item, coalesce(s.value, 0) AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN (SELECT x.lang, x.source AS a, y.source AS b, sum(abs(x.p - y.p)) AS value FROM p x JOIN p y ON x.lang = y.lang AND x.w = y.w AND x.source <> y.source GROUP BY ALL) s
+    ON s.lang = a.lang AND s.a = a.source AND s.b = b.source),
+terms AS (SELECT lang, source, w AS item, p - q AS value FROM p JOIN q USING (lang, w) WHERE n > 0 AND p > q),
+ranked AS (
+  SELECT lang, source, 'pair' AS part, item, value, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) AS rank FROM pairs
+  UNION ALL SELECT lang, source, 'term', item, value, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) FROM terms)
+SELECT lang, source, part, item, value::BIGINT AS value, rank::INTEGER AS rank FROM ranked WHERE part = 'pair' OR rank <= 50"""
+
+
 def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidewire.llm.conversation_repair import audit, damage
 
@@ -210,8 +249,8 @@ def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash, op2_url_filter, op3_repeated_text, op4_quality_rules, op5_html_text, op6_sentence_pieces, op7_warc, op8_line_dedup, op9_decontamination, op10_quality_classifier, op13_conversation_repair)}
+    return {f.__name__: f for f in (op1_simhash, op2_url_filter, op3_repeated_text, op4_quality_rules, op5_html_text, op6_sentence_pieces, op7_warc, op8_line_dedup, op9_decontamination, op10_quality_classifier, op11_private_data, op12_source_audit, op13_conversation_repair)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_url_filter": OP2_SQL, "op4_quality_rules": OP4_SQL, "op5_html_text": OP5_SQL, "op7_warc": OP7_SQL, "op8_line_dedup": OP8_SQL, "op9_decontamination": OP9_SQL}
+    return {"op2_url_filter": OP2_SQL, "op4_quality_rules": OP4_SQL, "op5_html_text": OP5_SQL, "op7_warc": OP7_SQL, "op8_line_dedup": OP8_SQL, "op9_decontamination": OP9_SQL, "op12_source_audit": OP12_SQL}
