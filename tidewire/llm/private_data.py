@@ -4,8 +4,8 @@
 else would disclose it is estimated from the whole corpus: a term that stands within ``NEAR`` characters of entity e in
 ``n_te`` of the ``n_t`` documents that hold it discloses the share PMI(t; e) / IC(e) = 1 + log(n_te / n_t) / log(N / n_e) of what there is
 to know about e, with N documents of which ``n_e`` hold e. From ``DISCLOSED`` on, the term is generalised in the documents where it
-stands near e, from ``REMOVED`` on it is removed. Copies are no evidence: a pair counts only if it stands in two different
-surroundings at least.
+stands near e, from ``REMOVED`` on it is removed. Copies are no evidence: a pair counts only if it stands in different
+surroundings in two documents at least. What stands in every document has no content to disclose.
 
 A document gives at most one row for each of its pairs; counts are combined before their shuffle, so an entity or a
 term in a third of all documents is a count like any other. Pairs that disclose meet the pairs of the documents in a
@@ -182,12 +182,13 @@ def document_counts(docs: DataFrame, text: str = "text") -> DataFrame:
 
 def _disclosing(found: DataFrame, docs: DataFrame, text: str, least: float) -> DataFrame:
     each = found.where("term IS NOT NULL").groupBy("row", "entity", "term").agg(F.min("place").alias("low"), F.max("place").alias("high"))
-    met = each.groupBy("entity", "term").agg(F.count("*").alias("n_te"), F.min("low").alias("low"), F.max("high").alias("high")).where("low <> high").drop("low", "high")
+    ends = [f(c).alias(f"{c}_{n}") for c in ("low", "high") for n, f in (("least", F.min), ("most", F.max))]
+    met = each.groupBy("entity", "term").agg(F.count("*").alias("n_te"), *ends).where("low_least <> low_most OR high_least <> high_most").select("entity", "term", "n_te")
     holds = found.where("entity IS NOT NULL AND term IS NULL").groupBy("entity").agg(F.count("*").alias("n_e"))
     n = found.where("entity IS NULL").count()
     met = stored(met, "met").join(holds.hint("merge"), "entity").join(document_counts(docs, text).hint("merge"), "term")
     share = 1 + F.log(F.col("n_te") / F.col("n_t")) / F.log(F.lit(float(n)) / F.col("n_e"))
-    share = F.when(F.col("n_e") < n, share).otherwise(F.when(F.col("n_te") == F.col("n_t"), 1.0).otherwise(0.0))
+    share = F.when(F.col("n_e") < n, share).otherwise(0.0)
     return met.withColumn("disclosure", share).where(F.col("disclosure") >= least)
 
 
@@ -241,5 +242,6 @@ def written(spans: Column) -> Column:
 def report(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Counts of the base spans by kind, digest of the base spans, and all spans, for each document."""
     out = sanitised(docs, key, text)
-    counts = [F.size(F.filter("base", lambda s, i=i: s.kind == i)).cast("long").alias(f"n_{KINDS[i]}") for i in range(4)]
+    number = lambda i: F.size(F.filter("base", lambda s: s.kind == i)).cast("long").alias(f"n_{KINDS[i]}")
+    counts = [number(i) for i in range(4)]
     return out.select(key, *counts, F.sha2(written(F.col("base")), 256).alias("base_sha256"), written(F.col("spans")).alias("spans"))

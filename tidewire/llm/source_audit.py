@@ -49,6 +49,10 @@ def _models(rows: DataFrame, most: int) -> int:
     return max(1, -(-found // most))
 
 
+def _share_of(rows: DataFrame, models: int, k: int) -> DataFrame:
+    return rows.withColumn("terms", F.filter("terms", lambda t: F.pmod(F.xxhash64(t), F.lit(models)) == k))
+
+
 def group_counts(rows: DataFrame, least: int = LEAST, most: int = MODEL_TERMS) -> tuple[DataFrame, DataFrame]:
     """Counts above 0 ``(lang, source, term, n)`` of the terms in at least ``least`` documents of their language, and those
     terms ``(lang, term)``, from rows ``(lang, source, terms)``."""
@@ -58,7 +62,7 @@ def group_counts(rows: DataFrame, least: int = LEAST, most: int = MODEL_TERMS) -
     dummy = spark.range(least).select(F.lit(None).cast("string").alias("lang"), F.lit(None).cast("string").alias("source"), F.array(F.lit("")).alias("terms"))
     counts, kept = [], []
     for k in range(models):
-        mine = rows if models == 1 else rows.withColumn("terms", F.filter("terms", lambda t, k=k: F.pmod(F.xxhash64(t), F.lit(models)) == k))
+        mine = rows if models == 1 else _share_of(rows, models, k)
         model = CountVectorizer(inputCol="terms", outputCol="vector", minDF=float(least), vocabSize=ALL_TERMS).fit(mine.unionByName(dummy))
         model.save(f"{base}/{k}")
         terms = spark.read.parquet(f"{base}/{k}/data").select(F.posexplode("vocabulary").alias("i", "term")).where("term <> ''")
