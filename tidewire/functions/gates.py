@@ -93,17 +93,29 @@ def integrity(content: C, title: C, blocked: Sequence[str] = vocab.BLOCKED_PAGE)
 def block_reasons(df: DataFrame, rules: DataFrame) -> DataFrame:
     """Add ``block_reason``: the first editorial rule (rule_kind, value) that fits a row, or null.
 
-    Ids and sources are equi-joins; the substring rules, a list kept by editors, are one row of two arrays.
+    Ids and sources are equi-joins. The substring rules are two arrays in every task while their table is small, which is
+    counted first; beyond that the different urls and titles that contain one are found by an index of the rules.
     """
+    from tidewire.operators.matching import containing, fits
+
     def of(kind: str) -> DataFrame:
         return rules.where(F.col("rule_kind") == kind).select("value").distinct()
 
     ids, sources = of("irrelevant_article_ids").select(F.col("value").alias("id"), F.lit(True).alias("_id")), of("blocked_sources").select(norm_text("value").alias("_src"), F.lit(True).alias("_source")).distinct()
-    parts = rules.groupBy().agg(F.collect_set(F.when(F.col("rule_kind") == "blocked_url_substrings", F.lower("value"))).alias("_urls"), F.collect_set(F.when(F.col("rule_kind") == "blocked_title_keywords", norm_text("value"))).alias("_titles"))
-    out = df.join(ids, "id", "left").join(sources, norm_text(F.col("source")) == F.col("_src"), "left").crossJoin(F.broadcast(parts))
+    out = df.join(ids, "id", "left").join(sources, norm_text(F.col("source")) == F.col("_src"), "left")
     url, title = F.lower(F.coalesce("url", F.lit(""))), norm_text(F.coalesce("title", F.lit("")))
-    reason = F.when(F.col("_id"), "id").when(F.col("_source"), "source").when(F.exists("_urls", lambda u: F.contains(url, u)), "url").when(F.exists("_titles", lambda t: F.contains(title, t)), "title")
-    return out.withColumn("block_reason", reason).drop("_id", "_source", "_src", "_urls", "_titles")
+    urls, titles = of("blocked_url_substrings").select(F.lower("value").alias("value")).where("value <> ''"), of("blocked_title_keywords").select(norm_text("value").alias("value")).where("value <> ''")
+    if fits(urls.unionByName(titles)):
+        parts = urls.agg(F.collect_set("value").alias("_urls")).crossJoin(titles.agg(F.collect_set("value").alias("_titles")))
+        out = out.crossJoin(F.broadcast(parts))
+        in_url, in_title = F.exists("_urls", lambda u: F.contains(url, u)), F.exists("_titles", lambda t: F.contains(title, t))
+    else:
+        out = out.withColumns({"_url": url, "_title": title})
+        hit = lambda name, found: found.select(F.col("text").alias(name), F.lit(True).alias(f"{name}_hit"))
+        out = out.join(hit("_url", containing(out, urls, "_url")).hint("merge"), "_url", "left").join(hit("_title", containing(out, titles, "_title")).hint("merge"), "_title", "left")
+        in_url, in_title = F.col("_url_hit"), F.col("_title_hit")
+    reason = F.when(F.col("_id"), "id").when(F.col("_source"), "source").when(in_url, "url").when(in_title, "title")
+    return out.withColumn("block_reason", reason).select(*df.columns, "block_reason")
 
 
 def norm_rules(rules: DataFrame) -> DataFrame:
@@ -134,24 +146,29 @@ def search(df: DataFrame, query: str, fields: Sequence[str], order: Sequence[Col
 
 
 def party_reference(text: C) -> Column:
-    """Whole-word party names; ambiguous words count only beside a party marker."""
-    t = F.lower(col(text))
-    marker = t.rlike(r"\b(partido|legenda|sigla|filiad[oa])\b")
-    return t.rlike(r"\b(" + "|".join(vocab.PARTY_TERMS) + r")\b") | (marker & t.rlike(r"\b(" + "|".join(vocab.AMBIGUOUS_PARTY_TERMS) + r")\b"))
+    """Whole party names, or phrases of membership; ambiguous words count only beside a party marker."""
+    t = F.trim(F.regexp_replace(F.lower(F.coalesce(col(text), F.lit(""))), r"\s+", " "))
+    names = lambda terms: r"(?U)\b(?:" + "|".join(terms) + r")\b"
+    plain = [p for p in vocab.PARTY_TERMS if p not in vocab.AMBIGUOUS_PARTY_TERMS]
+    said = t.rlike("(?U)" + "|".join(f"(?:{p})" for p in vocab.AFFILIATIONS))
+    return said | t.rlike(names(plain)) | (t.rlike("(?U)" + vocab.PARTY_MARKER) & t.rlike(names(vocab.AMBIGUOUS_PARTY_TERMS)))
 
 
 def option_failures(pt: C, en: C) -> Column:
     """Names of the quality checks that an option text fails."""
-    p, e = F.trim(F.regexp_replace(F.lower(col(pt)), r"\s+", " ")), F.lower(col(en))
+    flat = lambda c: F.trim(F.regexp_replace(F.lower(F.coalesce(col(c), F.lit(""))), r"\s+", " "))
+    p, e = flat(pt), flat(en)
     n = F.size(split_words(pt))
-    starts = F.exists(words(vocab.OPENINGS), lambda o: F.startswith(p, o))
+    begins = lambda t, openings: F.exists(words(openings), lambda o: F.startswith(t, o))
+    broken = "(?U)" + "|".join(f"(?:{x})" for x in vocab.BROKEN)
     return F.array_compact(F.array(
         F.when((n < 15) | (n > 80), "length"),
-        F.when(~starts, "first_person"),
+        F.when(~begins(p, vocab.OPENINGS), "first_person"),
         F.when((keyword_hits(p, vocab.NAME_TERMS) > 0) | (keyword_hits(e, vocab.NAME_TERMS) > 0), "candidate_reference"),
         F.when(party_reference(pt) | party_reference(en), "party_reference"),
         F.when(keyword_hits(p, vocab.EVENT_TERMS) > 0, "news_event"),
-        F.when(p.rlike(r",\s*,"), "broken_continuation"),
+        F.when(begins(p, vocab.BOILERPLATE_PT) | begins(e, vocab.BOILERPLATE_EN), "boilerplate"),
+        F.when(p.rlike(broken) | e.rlike(broken), "broken_continuation"),
     ))
 
 

@@ -61,9 +61,13 @@ def candidate_highlights(df: DataFrame, now: Column) -> DataFrame:
     """Seven-day counts per candidate, and the trend of the last day against the six before."""
     rows = df.where(eligible() & _since(now, 7)).select(F.explode("candidates_mentioned").alias("candidate"), "prominence_score", "sentiment_score", _since(now, 1).alias("recent"))
     out = rows.groupBy("candidate").agg(F.count("*").alias("n"), places(F.avg("prominence_score")).alias("avg_prominence"), places(F.avg("sentiment_score")).alias("avg_sentiment"), F.count_if("recent").alias("n_recent"))
-    before = (F.col("n") - F.col("n_recent")) / F.lit(6.0)
-    trend = F.when((F.col("n_recent") > 0) & (F.col("n_recent") > 1.25 * before), "rising").when((before > 0) & (F.col("n_recent") < 0.75 * before), "falling").otherwise("stable")
-    return out.withColumn("trend", trend)
+    return out.withColumn("trend", trend("n", "n_recent"))
+
+
+def trend(n: str, n_recent: str, days: int = 7) -> Column:
+    """Whether the last day has clearly more or fewer rows than the days before it have on average."""
+    recent, before = F.col(n_recent), (F.col(n) - F.col(n_recent)) / F.lit(days - 1.0)
+    return F.when((recent > 0) & (recent > 1.25 * before), "rising").when((before > 0) & (recent < 0.75 * before), "falling").otherwise("stable")
 
 
 def weekly_briefing(df: DataFrame, now: Column) -> DataFrame:

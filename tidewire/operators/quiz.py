@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tidewire import vocab
 from tidewire.functions.gates import known_position
 from tidewire.functions.scoring import stance_weight
-from tidewire.functions.text import fingerprint, places, variant
+from tidewire.functions.text import places
 from tidewire.operators.lifecycle import top_per_group
 
 
@@ -97,24 +97,3 @@ def compare(options: DataFrame, a: str, b: str) -> DataFrame:
     """Both candidates' stances per topic, missing sides null."""
     one = lambda c, n: options.where(F.col("candidate") == c).groupBy("topic").agg(F.min_by("weight", "option_id").alias(n))
     return options.select("topic").distinct().join(one(a, "weight_a"), "topic", "left").join(one(b, "weight_b"), "topic", "left")
-
-
-PHRASES = {"strongly_favor": "o governo deve ampliar com prioridade", "favor": "o governo deve apoiar", "neutral": "o governo deve avaliar com cautela", "against": "o governo deve limitar", "strongly_against": "o governo deve interromper"}
-
-
-def position_text(topic: str = "topic", candidate: str = "candidate", stance: str = "stance") -> Column:
-    """Sentence for a position without usable text; its opening is a deterministic variant."""
-    intro = F.element_at(F.array(*map(F.lit, vocab.INTROS)), variant(topic, candidate, stance, 0, len(vocab.INTROS)) + 1)
-    phrase = F.coalesce(*(F.when(F.col(stance) == s, p) for s, p in PHRASES.items()), F.lit(PHRASES["neutral"]))
-    return F.concat(intro, F.lit(" "), phrase, F.lit(" "), F.lower(F.replace(F.col(topic), F.lit("_"), F.lit(" "))), F.lit(", com metas públicas, prazos claros e prestação de contas à sociedade."))
-
-
-def assemble_options(positions: DataFrame, least: int = 3, n: int = 6) -> DataFrame:
-    """Options of each topic: known positions in candidate order, one per text fingerprint, texts filled in where blank,
-    weights from stances; topics with fewer than ``least`` options go. A topic holds at most the candidates, so its
-    window is small."""
-    rows = positions.where(known_position()).withColumn("text_pt", F.coalesce(F.nullif(F.trim("summary_pt"), F.lit("")), position_text()))
-    rows = rows.withColumns({"weight": stance_weight("stance"), "fp": fingerprint("text_pt"), "confidence": F.when(F.col("position_type") == "confirmed", "high").otherwise("medium")})
-    first = top_per_group(rows, ["topic", "fp"], [F.col("candidate")], 1).drop("rank")
-    first = first.withColumn("n_options", F.count("*").over(W.partitionBy("topic"))).where(F.col("n_options") >= least)
-    return number_options(first, F.lit(True), n)

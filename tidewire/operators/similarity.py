@@ -6,6 +6,10 @@ together with a 48-hour time bucket and its neighbour.
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -71,21 +75,44 @@ def cosine_pairs(df: DataFrame, least: float = vocab.SIMILAR, most: int = 10_000
 
 def clusters(pairs: DataFrame) -> DataFrame:
     """(id, narrative_cluster_id) of the connected components of pairs (a, b). The id hashes the sorted members."""
-    found = connected_components(pairs, "a", "b")
-    named = found.groupBy("component").agg(F.array_sort(F.collect_list("node")).alias("m")).select("component", F.concat(F.lit("cluster_"), F.substring(F.sha2(F.array_join("m", ""), 256), 1, 8)).alias("narrative_cluster_id"))
-    return found.join(named, "component").select(F.col("node").alias("id"), "narrative_cluster_id")
+    found = stored(connected_components(pairs, "a", "b"), "members")
+    return found.join(cluster_names(found).hint("merge"), "component").select(F.col("node").alias("id"), "narrative_cluster_id")
 
 
-def title_pairs(df: DataFrame, jaccard: float = vocab.JACCARD, long: int = 20) -> DataFrame:
-    """(a, b, pa, pb): earlier row a and later row b (by ordinal) whose titles are equal, one within the other with both
-    over ``long`` characters, or of similar words, within 48 hours.
+def cluster_names(members: DataFrame) -> DataFrame:
+    """(component, narrative_cluster_id) from (node, component): the digest of the members in order.
 
-    Equality is a hash join of distinct titles; containment looks for the first long + 1 characters of a title among
-    all grams of that length of the others; similar words use a prefix filter. Matches are found between distinct
-    titles and expanded to rows at the end.
+    The members of a component pass one hash in order of their ids and are never held together.
+    """
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, state = None, None
+        for b in batches:
+            done = []
+            for component, node in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                if component != now:
+                    if state is not None:
+                        done.append((now, state.hexdigest()))
+                    now, state = component, hashlib.sha256()
+                state.update(node.encode())
+            yield _names(done)
+        if state is not None:
+            yield _names([(now, state.hexdigest())])
+
+    def _names(done: list[tuple[str, str]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([c for c, _ in done], pa.string()), pa.array([f"cluster_{d[:8]}" for _, d in done], pa.string())], names=["component", "narrative_cluster_id"])
+
+    rows = members.select(F.col("component").cast("string"), F.col("node").cast("string")).repartition("component").sortWithinPartitions("component", "node")
+    return rows.mapInArrow(run, "component string, narrative_cluster_id string")
+
+
+def title_matches(titles: DataFrame, jaccard: float = vocab.JACCARD, long: int = 20) -> DataFrame:
+    """(x, y) and (y, x) of different titles ``t`` of which one lies within the other, both over ``long`` characters, or whose words
+    are similar.
+
+    Containment looks for the first long + 1 characters of a title among all grams of that length of the others; similar
+    words use a prefix filter.
     """
-    rows = stored(df.select("id", "ordinal", F.coalesce("published_at", "collected_at").alias("ts"), norm_text("title").alias("t")).where("t <> ''"), "titles")
-    titles = rows.select("t").distinct()
     size = long + 1
     grams = titles.where(F.length("t") > long).select(F.col("t").alias("big"), F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("t") - long), lambda i: F.substring(F.col("t"), i, F.lit(size))))).alias("g"))
     inside = titles.where(F.length("t") > long).select(F.col("t").alias("small"), F.substring("t", 1, size).alias("g")).join(grams.hint("merge"), "g").where((F.col("small") != F.col("big")) & F.contains("big", "small")).select(F.col("small").alias("x"), F.col("big").alias("y"))
@@ -98,7 +125,17 @@ def title_pairs(df: DataFrame, jaccard: float = vocab.JACCARD, long: int = 20) -
     wx, wy = F.array_distinct(F.split("x", " ")), F.array_distinct(F.split("y", " "))
     near = near.where(F.size(F.array_intersect(wx, wy)) >= jaccard * F.size(F.array_union(wx, wy)) - 1e-9)
     both = inside.unionByName(near)
-    match = both.unionByName(both.select(F.col("y").alias("x"), F.col("x").alias("y"))).unionByName(titles.select(F.col("t").alias("x"), F.col("t").alias("y"))).distinct()
+    return both.unionByName(both.select(F.col("y").alias("x"), F.col("x").alias("y"))).distinct()
+
+
+def title_pairs(df: DataFrame, jaccard: float = vocab.JACCARD, long: int = 20) -> DataFrame:
+    """(a, b, pa, pb): earlier row a and later row b (by ordinal) whose titles are equal, one within the other with both
+    over ``long`` characters, or of similar words, within 48 hours. Matches are found between distinct titles and expanded to
+    rows at the end; ``first_wins`` needs no such pairs.
+    """
+    rows = stored(df.select("id", "ordinal", F.coalesce("published_at", "collected_at").alias("ts"), norm_text("title").alias("t")).where("t <> ''"), "titles")
+    titles = rows.select("t").distinct()
+    match = title_matches(titles, jaccard, long).unionByName(titles.select(F.col("t").alias("x"), F.col("t").alias("y")))
     bucket = F.floor(F.col("ts").cast("long") / (HOURS * 3600))
     a = rows.select(F.col("id").alias("a"), F.col("ordinal").alias("pa"), F.col("ts").alias("ta"), F.col("t").alias("x"), bucket.alias("ka"))
     b = rows.select(F.col("id").alias("b"), F.col("ordinal").alias("pb"), F.col("ts").alias("tb"), F.col("t").alias("y"), bucket.alias("kb"))
@@ -109,23 +146,3 @@ def title_pairs(df: DataFrame, jaccard: float = vocab.JACCARD, long: int = 20) -
     free_a = met.where("tb IS NOT NULL").join(a.where("ta IS NULL").drop("ka").hint("merge"), "x")
     cols = ["a", "b", "pa", "pb"]
     return timed.where("pa < pb").select(cols).unionByName(free_b.where("pa < pb").select(cols)).unionByName(free_a.where("pa < pb").select(cols))
-
-
-def first_wins(pairs: DataFrame) -> DataFrame:
-    """(node, kept_by): rows that an earlier kept row matches, in ingest order, with the earliest such row.
-
-    Rounds: a row whose earlier neighbours are all decided decides; each round is two joins on the row, and only the
-    number of open rows reaches the driver.
-    """
-    edges = cut(pairs.select("pa", "pb").distinct())
-    nodes = cut(edges.select(F.explode(F.array("pa", "pb")).alias("node")).distinct().select("node", F.lit(None).cast("boolean").alias("kept")))
-    while True:
-        state = edges.join(nodes.select(F.col("node").alias("pa"), F.col("kept").alias("ka")).hint("merge"), "pa").groupBy("pb").agg(F.bool_or("ka").alias("hit"), F.count_if(F.col("ka").isNull()).alias("open"))
-        met = nodes.join(state.select(F.col("pb").alias("node"), "hit", "open").hint("merge"), "node", "left")
-        new = F.when(F.col("kept").isNotNull(), F.col("kept")).when(F.col("hit"), False).when(F.coalesce("open", F.lit(0)) == 0, True)
-        nodes = cut(met.select("node", new.alias("kept")))
-        if not nodes.where("kept IS NULL").limit(1).count():
-            break
-    kept = nodes.where("kept").select(F.col("node").alias("pa"))
-    gone = nodes.where("NOT kept").select(F.col("node").alias("pb"))
-    return edges.join(kept.hint("merge"), "pa").join(gone.hint("merge"), "pb").groupBy("pb").agg(F.min("pa").alias("kept_by")).withColumnRenamed("pb", "node")

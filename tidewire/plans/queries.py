@@ -5,6 +5,7 @@ A name begins with the ids of the operators of the survey that it exercises.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,8 +19,10 @@ from tidewire.functions import text as X
 from tidewire.operators import aggregates as A
 from tidewire.operators import checks as V
 from tidewire.operators import lifecycle as L
+from tidewire.operators import options as O
 from tidewire.operators import quiz as Z
 from tidewire.operators import similarity as K
+from tidewire.operators.first_wins import first_wins
 from tidewire.plans import jobs
 from tidewire.plans import tables as T
 from tidewire.sources import annotations as N
@@ -310,13 +313,28 @@ def g13_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _rx(words) -> str:  # noqa: ANN001
-    return "\\b(" + "|".join(words) + ")\\b"
+    return r"(^|[^\p{L}\p{N}_])(" + "|".join(words) + r")($|[^\p{L}\p{N}_])"
+
+
+def _edges(pattern: str) -> str:
+    """A pattern with word edges for an engine that knows them for ASCII only."""
+    wide = pattern.replace(r"\b(\b[a-zéêãõ]{1,3}\b\s){3,}", r"(^|[^\p{L}\p{N}_])([a-zéêãõ]{1,3}\s){3,}")
+    wide = re.sub(r"^\\b", lambda m: r"(^|[^\p{L}\p{N}_])", wide)
+    wide = re.sub(r"\\b$", lambda m: r"($|[^\p{L}\p{N}_])", wide)
+    return wide.replace(r"\b.*\b", r"($|[^\p{L}\p{N}_])(.*[^\p{L}\p{N}_])?").replace("'", "''")
+
+
+def _party(e: str) -> str:
+    plain = [p for p in vocab.PARTY_TERMS if p not in vocab.AMBIGUOUS_PARTY_TERMS]
+    said = " OR ".join(f"regexp_matches({e}, '{_edges(p)}')" for p in vocab.AFFILIATIONS)
+    return f"({said} OR regexp_matches({e}, '{_rx(plain)}') OR (regexp_matches({e}, '{_edges(vocab.PARTY_MARKER)}') AND regexp_matches({e}, '{_rx(vocab.AMBIGUOUS_PARTY_TERMS)}')))"
 
 
 @query(f"""@t AS (SELECT ordinal, 'Defendo que ' || title AS t FROM articles),
-p AS (SELECT ordinal, t, trim(regexp_replace(lower(t), '\\s+', ' ', 'g')) AS p, len({WORDS.format("t")}) AS n, regexp_matches(lower(t), '{_rx(vocab.PARTY_TERMS)}') OR (regexp_matches(lower(t), '\\b(partido|legenda|sigla|filiad[oa])\\b') AND regexp_matches(lower(t), '{_rx(vocab.AMBIGUOUS_PARTY_TERMS)}')) AS party FROM t)
+p AS (SELECT ordinal, t, trim(regexp_replace(lower(t), '\\s+', ' ', 'g')) AS p, len({WORDS.format("t")}) AS n FROM t),
+q AS (SELECT *, {_party("p")} AS party FROM p)
 SELECT ordinal, array_to_string(list_filter([CASE WHEN n < 15 OR n > 80 THEN 'length' END, CASE WHEN {hits("p", vocab.NAME_TERMS)} > 0 THEN 'candidate_reference' END, CASE WHEN party THEN 'party_reference' END,
-  CASE WHEN {hits("p", vocab.EVENT_TERMS)} > 0 THEN 'news_event' END, CASE WHEN regexp_matches(p, ',\\s*,') THEN 'broken_continuation' END], lambda x: x IS NOT NULL), ',') AS failures, party, n >= 8 AND n <= 80 AS position_ok FROM p""", T.ARTICLES)
+  CASE WHEN {hits("p", vocab.EVENT_TERMS)} > 0 THEN 'news_event' END, CASE WHEN {" OR ".join(f"regexp_matches(p, '{_edges(x)}')" for x in vocab.BROKEN)} THEN 'broken_continuation' END], lambda x: x IS NOT NULL), ',') AS failures, party, n >= 8 AND n <= 80 AS position_ok FROM q""", T.ARTICLES)
 def g17_g18_g19_option_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = T.articles(spark, sf_dir).select("ordinal", F.concat(F.lit("Defendo que "), "title").alias("t"))
     return rows.select("ordinal", F.array_join(G.option_failures("t", "t"), ",").alias("failures"), G.party_reference("t").alias("party"), G.position_ok("t", "t").alias("position_ok"))
@@ -717,15 +735,47 @@ def j13_snippet_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Z.union_snippets([(first, 4), (second, 9)]).select("key", "ordinal", "text", "source", "rank")
 
 
-@query(f"""@t AS (SELECT topic, candidate, weight, CASE position_type WHEN 'confirmed' THEN 'high' ELSE 'medium' END AS confidence, coalesce(nullif(trim(summary_pt), ''),
-    {lst(vocab.INTROS)}[('0x' || substr(sha256(topic || ':' || candidate || ':' || stance || ':0'), 1, 8))::BIGINT % {len(vocab.INTROS)} + 1] || ' ' || CASE stance {" ".join(f"WHEN '{k}' THEN '{v}'" for k, v in Z.PHRASES.items())} END
-    || ' ' || lower(replace(topic, '_', ' ')) || ', com metas públicas, prazos claros e prestação de contas à sociedade.') AS text_pt FROM weighted WHERE known),
-u AS (SELECT * FROM t QUALIFY row_number() OVER (PARTITION BY topic, regexp_replace(trim(regexp_replace(lower(text_pt), '\\s+', ' ', 'g')), '[^\\p{{L}}\\p{{N}}_\\s]', '', 'g') ORDER BY candidate) = 1),
-c AS (SELECT *, count(*) OVER (PARTITION BY topic) AS n, row_number() OVER (PARTITION BY topic ORDER BY candidate) AS k FROM u)
-SELECT topic, candidate, {lst(vocab.OPTION_IDS)}[k] AS option_id, weight::INTEGER AS weight, confidence, text_pt, CASE WHEN n > 6 THEN 'options' ELSE '' END AS violations FROM c WHERE n >= 3 AND k <= 6""", T.POSITIONS)
+def _said(table, lead: str) -> str:  # noqa: ANN001
+    return "CASE stance " + " ".join(f"WHEN '{k}' THEN '{lead}{v}'" for k, v in table.items()) + " END"
+
+
+@query(f"""WITH_RECURSIVE @k AS (SELECT topic, candidate, weight, stance, position_type, row_number() OVER (PARTITION BY topic ORDER BY candidate) AS k, lower(replace(topic, '_', ' ')) AS label FROM weighted WHERE known),
+t AS (
+  SELECT topic, k, o, {lst(vocab.INTROS)}[i] || {_said(vocab.STANCE_PT, " o governo ")} || ' em ' || replace(topic, '_', ' ') || ', {vocab.ENDING_PT}' AS pt, {lst(vocab.INTROS_EN)}[i] || {_said(vocab.STANCE_EN, " ")} || ' on ' || replace(topic, '_', ' ') || ', {vocab.ENDING_EN}' AS en
+  FROM (SELECT *, unnest(range(16, 40)) AS o FROM k) x, LATERAL (SELECT ('0x' || substr(sha256(topic || ':' || candidate || ':' || stance || ':' || o), 1, 8))::BIGINT % 4 + 1 AS i)),
+c AS (SELECT topic, k, list(struct_pack(pt := pt, en := en) ORDER BY o) AS texts FROM t GROUP BY topic, k),
+r(topic, k, used, picked) AS (
+  SELECT DISTINCT topic, 0::BIGINT, []::VARCHAR[], NULL::STRUCT(pt VARCHAR, en VARCHAR) FROM k
+  UNION ALL
+  SELECT topic, k, CASE WHEN p IS NULL THEN used ELSE list_append(used, p.pt) END, p
+  FROM (SELECT r.topic, c.k, r.used, CASE WHEN len(r.used) < 6 THEN list_filter(c.texts, lambda x: NOT list_contains(r.used, x.pt))[1] END AS p FROM r JOIN c ON c.topic = r.topic AND c.k = r.k + 1)),
+o AS (SELECT r.topic, r.k, len(used) AS place, picked, max(len(used)) OVER (PARTITION BY r.topic) AS n FROM r WHERE picked IS NOT NULL)
+SELECT o.topic, k.candidate, {lst(vocab.OPTION_IDS)}[place] AS option_id, weight::INTEGER AS weight, CASE position_type WHEN 'confirmed' THEN 'high' ELSE 'medium' END AS confidence, picked.pt AS text_pt, picked.en AS text_en, '' AS violations
+FROM o JOIN k ON k.topic = o.topic AND k.k = o.k WHERE n >= 3""", T.POSITIONS)
 def m06_m07_quiz_options(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = Z.assemble_options(T.positions(spark, sf_dir))
-    return V.checked(out, V.quiz_rules()).select("topic", "candidate", "option_id", "weight", "confidence", "text_pt", F.array_join("violations", ",").alias("violations"))
+    positions = T.positions(spark, sf_dir).withColumn("topic_label_pt", F.replace("topic", F.lit("_"), F.lit(" ")))
+    out = O.assemble(positions.drop("summary_pt"))
+    return V.checked(out, V.quiz_rules()).select("topic", "candidate", "option_id", "weight", "confidence", "text_pt", "text_en", F.array_join("violations", ",").alias("violations"))
+
+
+def _generated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A text for each part, from the document of its number, on the topic of its brand; some map to no position, or have no
+    stance or weight of their own."""
+    p = T.table(spark, sf_dir, "part").where("p_partkey % 5 = 0")
+    w = X.split_words("text")
+    d = T.table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("Defendo que "), F.array_join(F.slice(w, 1, 24), " ")).alias("text_pt"), F.array_join(F.slice(w, 2, 24), " ").alias("text_en"))
+    rows = p.join(d, F.col("p_partkey") == F.col("doc_id")).select(F.col("p_brand").alias("topic"), F.col("p_partkey").cast("int").alias("place"), F.when(F.col("p_size") % 3 > 0, F.col("p_size") % 11).alias("mapped_position"), "text_pt", "text_en", T.pick(T.STANCES, "p_size % 6").alias("stance"), (F.col("p_size") % 5 - 2).alias("weight"))
+    # the first dozen of each topic: what one request for options returns at most
+    return L.top_per_group(rows, ["topic"], [F.col("place")], 12).drop("rank")
+
+
+@query()
+def m06_generated_options(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Options from generated texts and, where they fail, templates with hints; tested against one option after the other."""
+    entry = F.struct(F.col("p_name").alias("description_pt"), F.lit("").alias("description_en"), F.concat(F.lit("https://example.org/"), "p_partkey").alias("url"), F.lit(None).cast("string").alias("date"))
+    parts = T.table(spark, sf_dir, "part").select("p_partkey", "p_name")
+    positions = T.positions(spark, sf_dir).join(parts, "p_partkey").withColumn("sources", F.when(F.col("p_partkey") % 3 > 0, F.array(entry)))
+    return O.assemble(positions, _generated(spark, sf_dir)).drop("n_options")
 
 
 # ---- similarity ----
@@ -785,13 +835,21 @@ def j05_title_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return K.title_pairs(T.articles(spark, sf_dir)).select("pa", "pb").distinct()
 
 
-@query("""WITH_RECURSIVE @n AS (SELECT node, row_number() OVER (ORDER BY node) AS k FROM (SELECT pa AS node FROM tp UNION SELECT pb FROM tp)),
-e AS (SELECT k, node, (SELECT list(pa) FROM tp WHERE pb = node) AS before FROM n),
+#: Rows in ingest order, each against the earlier ones that stay; the first of those decides.
+FIRST_WINS = f"""live AS (SELECT ordinal, id, narrative_cluster_id AS cluster, coalesce(published_at, collected_at) AS ts, {norm("title")} AS t FROM articles WHERE status <> 'irrelevant' AND {norm("title")} <> ''),
+lp AS (SELECT a.ordinal AS pa, b.ordinal AS pb FROM live a JOIN live b ON a.ordinal < b.ordinal WHERE {PAIR_TIME} AND (a.t = b.t OR (length(a.t) > 20 AND length(b.t) > 20 AND (contains(a.t, b.t) OR contains(b.t, a.t)))
+  OR len(list_intersect(list_distinct(string_split(a.t, ' ')), list_distinct(string_split(b.t, ' ')))) >= 0.8 * len(list_distinct(string_split(a.t, ' ') || string_split(b.t, ' '))) - 1e-9)),
+n AS (SELECT node, row_number() OVER (ORDER BY node) AS k FROM (SELECT pa AS node FROM lp UNION SELECT pb FROM lp)),
+e AS (SELECT k, node, (SELECT list(pa) FROM lp WHERE pb = node) AS before FROM n),
 r(k, kept) AS (SELECT 0::BIGINT, []::BIGINT[] UNION ALL SELECT e.k, CASE WHEN before IS NOT NULL AND list_has_any(kept, before) THEN kept ELSE list_append(kept, node) END FROM r JOIN e ON e.k = r.k + 1),
-f AS (SELECT unnest(kept) AS node FROM (SELECT kept FROM r ORDER BY k DESC LIMIT 1))
-SELECT pb AS node, min(pa) AS kept_by FROM tp WHERE pa IN (SELECT node FROM f) AND pb NOT IN (SELECT node FROM f) GROUP BY pb""", T.ARTICLES, TITLES)
+f AS (SELECT unnest(kept) AS node FROM (SELECT kept FROM r ORDER BY k DESC LIMIT 1)),
+won AS (SELECT pb AS ordinal, min(pa) AS kept_by FROM lp WHERE pa IN (SELECT node FROM f) AND pb NOT IN (SELECT node FROM f) GROUP BY pb),
+duplicates AS (SELECT won.ordinal, kept_by, coalesce(nullif(trim(o.cluster), ''), 'cluster_' || substr(sha256(least(o.id, x.id) || greatest(o.id, x.id)), 1, 8)) AS narrative_cluster_id FROM won JOIN live o ON o.ordinal = kept_by JOIN live x ON x.ordinal = won.ordinal)"""
+
+
+@query("WITH_RECURSIVE SELECT ordinal, kept_by, narrative_cluster_id, true AS duplicate FROM duplicates", T.ARTICLES, FIRST_WINS)
 def k04_t02_first_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return K.first_wins(K.title_pairs(T.articles(spark, sf_dir)))
+    return first_wins(T.articles(spark, sf_dir)).select("ordinal", "kept_by", "narrative_cluster_id", "duplicate")
 
 
 # ---- sources, checks, health ----
@@ -858,7 +916,7 @@ PLAIN = """trim(regexp_replace(replace(replace(replace(replace(replace(regexp_re
 
 
 @query(f"""WITH a AS (SELECT page_id, {PLAIN.format("regexp_extract(html, '(?s)<article>(.*?)(</article>|$)', 1)")} AS a,
-  {PLAIN.format("regexp_replace(regexp_replace(html, '(?s)<!--.*?-->', ' ', 'g'), '(?s)<(script|style|nav|footer)>.*?(</(script|style|nav|footer)>|$)', ' ', 'g')")} AS b FROM pages),
+  {PLAIN.format("regexp_replace(regexp_replace(html, '(?s)<!--.*?-->|<head>.*?</head>', ' ', 'g'), '(?s)<(script|style|nav|footer)>.*?(</(script|style|nav|footer)>|$)', ' ', 'g')")} AS b FROM pages),
 t AS (SELECT page_id, CASE WHEN length(a) > 100 THEN a ELSE b END AS t FROM a)
 SELECT page_id, length(t)::INTEGER AS n, length(t) > 50 AND {hits("lower(substr(t, 1, 800))", vocab.PAYWALL)} < 2 AS accepted FROM t""")
 def s07_s08_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -962,7 +1020,7 @@ SELECT topic, candidate, concat_ws(',', CASE WHEN k > 6 THEN 'option_id' END, CA
 def v04_quiz_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = Z.number_options(T.positions(spark, sf_dir), G.known_position(), 9)
     sizes = rows.groupBy("topic").agg(F.count("*").alias("n_options"))
-    rows = rows.join(sizes, "topic").withColumns({"weight": M.stance_weight("stance"), "text_pt": Z.position_text(), "option_id": F.try_element_at(F.array(*map(F.lit, vocab.OPTION_IDS)), F.col("rank"))})
+    rows = rows.join(sizes, "topic").withColumns({"weight": M.stance_weight("stance"), "text_pt": O.position_texts(F.lit(0), "topic", F.lit(None).cast("string"), F.lit(None).cast("string"), "stance", F.lit(None).cast("string"), F.lit(None).cast("string"), F.lit(None).cast("string"))[0], "option_id": F.try_element_at(F.array(*map(F.lit, vocab.OPTION_IDS)), F.col("rank"))})
     return V.checked(rows, V.quiz_rules()).select("topic", "candidate", F.array_join("violations", ",").alias("violations"))
 
 
@@ -1000,3 +1058,93 @@ def t09_bad_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = F.when(F.col("event_id") % 10 == 0, F.lit("{not json")).otherwise(F.col("props"))
     rows = T.table(spark, sf_dir, "events").select("event_id", F.try_parse_json(raw).alias("v"))
     return rows.select("event_id", F.when(F.col("v").isNull(), "bad record").alias("error"))
+
+
+# ---- streams: tables that arrive in parts, through the jobs that keep state ----
+
+
+def _arriving(spark: SparkSession, rows: DataFrame, parts: list, job: Callable[[DataFrame, str, str], object]) -> str:  # noqa: ANN001
+    """Land the rows part by part, each a batch of a stream that goes on from the one before; the folder of the job's tables."""
+    import uuid
+
+    from tidewire.session import shared_dir
+    from tidewire.streaming.jobs import landed
+
+    path = f"{shared_dir(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
+    for part in parts:
+        rows.where(part).write.mode("append").parquet(f"{path}/in")
+        job(landed(spark, f"{path}/in", schema), f"{path}/out", f"{path}/checkpoint").awaitTermination()
+    return f"{path}/out"
+
+
+@query("""@d AS (SELECT event_type AS key, ts, ts::DATE AS day, event_id % 3 AS part FROM events),
+h AS (SELECT p.part, max(d.ts) AS horizon FROM (SELECT DISTINCT part FROM d) p LEFT JOIN d ON d.part < p.part GROUP BY p.part)
+SELECT key, day, count(*)::BIGINT AS n, count_if(coalesce(day + INTERVAL 1 DAY <= horizon - INTERVAL 24 HOUR, false))::BIGINT AS n_late FROM d JOIN h USING (part) GROUP BY key, day""", "one AS (SELECT 1)")
+def t08_late_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events counted by type and day in three batches; what comes after its day was final is kept apart and merged in."""
+    from tidewire.streaming.jobs import corrected_days, counted_days
+
+    rows = T.table(spark, sf_dir, "events").select("event_id", "event_type", "ts")
+    out = _arriving(spark, rows, [F.col("event_id") % 3 == k for k in range(3)], lambda s, out, check: counted_days(s, out, "event_type", "ts", check))
+    return corrected_days(spark, out, "event_type", "ts")
+
+
+@query("""@m AS (SELECT unnest(candidates_mentioned) AS key, published_at::DATE AS day FROM articles WHERE published_at IS NOT NULL),
+s AS (SELECT max(ts) AS last, min(ts) AS first FROM (SELECT published_at AS ts FROM articles WHERE published_at IS NOT NULL AND len(candidates_mentioned) > 0)),
+e AS (SELECT unnest(range(first::DATE::TIMESTAMP, last::DATE::TIMESTAMP, INTERVAL 1 DAY))::DATE AS day FROM s),
+n AS (SELECT m.key, e.day, count(*) AS n, count_if(m.day = e.day) AS n_recent FROM e JOIN m ON m.day <= e.day AND m.day > e.day - 7 GROUP BY ALL)
+SELECT key, day, n::BIGINT AS n, n_recent::BIGINT AS n_recent, CASE WHEN n_recent > 0 AND n_recent > 1.25 * ((n - n_recent) / 6.0) THEN 'rising' WHEN n > n_recent AND n_recent < 0.75 * ((n - n_recent) / 6.0) THEN 'falling' ELSE 'stable' END AS trend FROM n""", T.ARTICLES)
+def t03_mention_trends(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mentions in three batches by time; each day's trend when the day is final."""
+    from tidewire.streaming.jobs import mention_trends
+
+    a = T.articles(spark, sf_dir)
+    last = a.agg(F.max("ordinal")).first()[0] or 0
+    rows = a.select("ordinal", F.explode("candidates_mentioned").alias("candidate"), "published_at")
+    part = F.least(F.floor(F.col("ordinal") * 3 / F.lit(last + 1)), F.lit(2))
+    out = _arriving(spark, rows, [part == k for k in range(3)], lambda s, out, check: mention_trends(s, out, "candidate", "published_at", check, late_hours=0))
+    return spark.read.schema("key string, day date, n long, n_recent long, trend string").parquet(f"{out}/trends")
+
+
+@query(f"""@e AS (SELECT *, ts >= (SELECT max(ts) FROM articles) - INTERVAL 24 HOUR AS fresh FROM articles WHERE {ELIGIBLE})
+SELECT ordinal, id FROM e WHERE fresh OR NOT (SELECT bool_or(fresh) FROM e) ORDER BY status = 'curated' DESC, prominence_score DESC NULLS LAST, ts DESC NULLS LAST, ordinal LIMIT 80""", T.ARTICLES)
+def t04_rolling_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The feed after articles came in three batches, out of order; rows leave it as the latest time goes on."""
+    from tidewire.streaming.jobs import curated_feed_batches
+
+    a = T.articles(spark, sf_dir).select("ordinal", "id", "status", "prominence_score", "published_at", "collected_at")
+    out = _arriving(spark, a, [F.col("ordinal") % 3 == k for k in range(3)], curated_feed_batches)
+    return spark.read.schema("ordinal long, id string").parquet(f"{out}/feed/step=2")
+
+
+@query("""@s AS (SELECT ordinal, source, ordinal // 10000 AS block, ordinal % 50 = 0 AS bad FROM articles),
+g AS (SELECT source, count(DISTINCT block) AS n_files, count_if(bad) AS n_bad, count(*) AS n, source = 'src3' AS cut FROM s GROUP BY source)
+SELECT source, n_files::BIGINT AS n_files, CASE WHEN cut THEN n_files ELSE 0 END::BIGINT AS n_errors, CASE WHEN cut THEN 0 ELSE n - n_bad END::BIGINT AS n_rows, CASE WHEN cut THEN 0 ELSE n_bad END::BIGINT AS n_bad_records FROM g""", T.ARTICLES)
+def t09_failure_isolation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Articles landed as files by source, those of one source cut off and some records without an id: the ledger of the read."""
+    import uuid
+
+    from tidewire.session import shared_dir
+    from tidewire.sources.isolation import isolate, read_files
+
+    path = f"{shared_dir(spark).rstrip('/')}/files-{uuid.uuid4().hex}"
+    item = F.struct(F.when(F.col("ordinal") % 50 > 0, F.col("id")).alias("id"), "url")
+    # a file holds the articles of a source in 10 000 ordinals at most
+    landed = T.articles(spark, sf_dir).groupBy("source", F.floor(F.col("ordinal") / 10000).alias("block")).agg(F.to_json(F.struct(F.collect_list(item).alias("articles"))).alias("value"))
+    landed = landed.withColumn("value", F.when(F.col("source") == "src3", F.expr("substring(value, 1, length(value) - 2)")).otherwise(F.col("value")))
+    landed.write.partitionBy("source", "block").text(path)
+    return isolate(read_files(spark, path), "articles", "struct<id: string, url: string>")[2]
+
+
+@query("""@rules AS (SELECT DISTINCT lower(split_part(trim(text), ' ', 1)) AS value FROM conversations WHERE turn = 0 AND length(split_part(trim(text), ' ', 1)) >= 4)
+SELECT ordinal, EXISTS (SELECT 1 FROM rules WHERE contains(lower(title), value)) AS found FROM articles""", T.ARTICLES)
+def j03_many_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Titles that contain one of a table of patterns that grows with the input, by the index of the patterns."""
+    from tidewire.operators.matching import containing
+
+    first = F.lower(F.split_part(F.trim("text"), F.lit(" "), F.lit(1)))
+    rules = T.table(spark, sf_dir, "conversations").where("turn = 0").select(first.alias("value")).where(F.length("value") >= 4)
+    a = T.articles(spark, sf_dir).select("ordinal", F.lower("title").alias("text"))
+    hits = containing(a, rules).withColumn("found", F.lit(True))
+    return a.join(hits.hint("merge"), "text", "left").select("ordinal", F.coalesce("found", F.lit(False)).alias("found"))

@@ -4,38 +4,67 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tidewire.functions.text import blank_to_null, parse_ts, short_hash, strip_html
 
 
-def read_envelope(spark: SparkSession, path: str, field: str, item: str) -> DataFrame:
+def read_envelope(spark: SparkSession, path: str, field: str, item: str, missing_ok: bool = False) -> DataFrame:
     """Rows of JSON files that are a list of items or an object with the list under ``field``.
 
-    The text is parsed with a declared schema; a file of neither shape fails the job.
+    The text is parsed with a declared schema; a file of neither shape fails the job. With ``missing_ok`` a path without files is
+    an empty table.
     """
-    whole = spark.read.text(path, wholetext=True)
+    try:
+        whole = spark.read.text(path, wholetext=True)
+    except AnalysisException as e:
+        if not missing_ok or e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        whole = spark.createDataFrame([], "value string")
     kind = f"array<{item}>"
     rows = F.coalesce(F.get_json_object("value", f"$.{field}"), F.when(F.ltrim("value").startswith("["), F.col("value")))
     rows = F.when(F.assert_true(rows.isNotNull(), "neither a list nor an envelope").isNull(), rows)
     return whole.select(F.inline(F.filter(F.from_json(rows, kind), lambda x: x.isNotNull())))
 
 
+def _summary(df: DataFrame) -> DataFrame:
+    """Number of rows and a checksum of their contents, whatever their order and partitions; repeated rows count."""
+    names = sorted(df.columns)
+    text = F.to_json(F.struct(*(F.col(c) for c in names)), {"ignoreNullFields": "false"})
+    return df.agg(F.count("*").alias("total_count"), F.coalesce(F.sum(F.xxhash64(text).cast("decimal(38,0)")), F.lit(0)).cast("string").alias("checksum"), F.lit(",".join(names)).alias("columns"))
+
+
 def write_envelope(df: DataFrame, path: str) -> DataFrame:
-    """Write rows as JSON lines under ``path``/rows, and one row of metadata under ``path``/meta, which is returned."""
+    """Write rows as JSON lines under ``path``/rows, and one row of metadata under ``path``/meta, which is returned.
+
+    Rows that are the same as those written last, by number and checksum of their contents, are not written again: then no
+    file changes. The metadata is written last, so a run that ends early is made good by the next.
+    """
+    spark, meta = df.sparkSession, _summary(df)
+    new = meta.first()
+    old = _stored_meta(spark, path)
+    if old is not None and (old.total_count, old.checksum, old.columns) == (new.total_count, new.checksum, new.columns):
+        return spark.createDataFrame([new], META)
+    if old is not None:  # stale once the rows are being replaced
+        spark.createDataFrame([], META).write.mode("overwrite").json(f"{path}/meta")
     df.write.mode("overwrite").json(f"{path}/rows")
-    meta = df.agg(F.count("*").alias("total_count"), F.sum(F.xxhash64(*df.columns).cast("decimal(38,0)")).cast("string").alias("checksum"))
-    meta.write.mode("overwrite").json(f"{path}/meta")
-    return meta
+    out = spark.createDataFrame([new], META)
+    out.coalesce(1).write.mode("overwrite").json(f"{path}/meta")
+    return out
+
+
+META = "total_count long, checksum string, columns string"
 
 
-def changed(df: DataFrame, old: DataFrame) -> DataFrame:
-    """Rows that differ from the stored table, with the side they are on."""
-    cols = [c for c in df.columns if not isinstance(df.schema[c].dataType, T.MapType)]
-    a, b = df.select(cols), old.select(cols)
-    return a.exceptAll(b).withColumn("side", F.lit("new")).unionByName(b.exceptAll(a).withColumn("side", F.lit("old")))
+def _stored_meta(spark: SparkSession, path: str) -> Row | None:
+    try:
+        return spark.read.schema(META).json(f"{path}/meta").first()
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
 
 
 def active_sources(sources: DataFrame, kind: str) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+from collections import Counter
 from collections.abc import Iterable, Iterator
 from html.parser import HTMLParser
 from urllib.parse import urljoin
@@ -13,63 +14,69 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SKIPPED = frozenset(("script", "style", "nav", "footer", "header", "aside"))
-VOID = frozenset(("br", "img", "meta", "link", "input", "hr"))
-#: Containers in the order in which they are tried, by tag or class.
-CONTAINERS = ("article", ".post-content", ".entry-content", ".article-body", ".content", "main", "#content", ".story", ".news")
+UNSEEN = frozenset(("script", "style"))
+VOID = frozenset(("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"))
+#: Containers in the order in which they are tried, by tag, role, class or id.
+CONTAINERS = ("article", "[role='main']", "main", ".post-content", ".article-content", ".article-body", ".entry-content", ".content", "#content")
+#: Fixed value: what the address of a news page looks like.
+NEWS = re.compile(r"/(noticias?|news|20\d{2}/)", re.IGNORECASE)
+
+
+class _Element:
+    """A tag with its attributes, and where its text begins and ends among the pieces of the page."""
+
+    def __init__(self, tag: str, attrs: dict[str, str], at: int, place: int, skipped: bool):
+        self.tag, self.attrs, self.start, self.end = tag, attrs, at, at
+        self.place = self.last = place
+        self.skipped = skipped
+        self.marks = {tag, *(f".{c}" for c in attrs.get("class", "").split()), f"#{attrs.get('id', '')}", f"[role='{attrs.get('role', '')}']"}
 
 
 class _Reader(HTMLParser):
-    """Text of the body, of each container, of links and headings; JSON-LD and Open Graph of the head."""
+    """The elements of a page in order, each a range of pieces of text and of later elements."""
 
     def __init__(self) -> None:
         super().__init__()
-        self.stack: list[tuple[str, list[str]]] = []
-        self.parts: dict[str, list[str]] = {}
-        self.links: list[list[str]] = []
-        self.heads: list[list[str]] = []
-        self.meta: dict[str, str] = {}
-        self.ld: list[str] = []
-        self.canonical = ""
+        self.stack: list[_Element] = []
+        self.elements: list[_Element] = []
+        self.pieces: list[tuple[str, bool, bool]] = []
+        self.depth: Counter[str] = Counter()
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
-        a = {k: v or "" for k, v in attrs}
-        if tag == "meta" and a.get("property", "").startswith("og:"):
-            self.meta[a["property"]] = a.get("content", "")
-        if tag == "link" and "canonical" in a.get("rel", ""):
-            self.canonical = a.get("href", "")
-        if tag in VOID:
-            return
-        marks = [tag, *(f".{c}" for c in a.get("class", "").split()), f"#{a.get('id', '')}"]
-        if tag == "script" and a.get("type") == "application/ld+json":
-            marks.append("ld")
-            self.ld.append("")
-        if tag == "a" and a.get("href"):
-            self.links.append([a["href"], ""])
-        if tag in ("h1", "h2", "h3"):
-            self.heads.append([tag, ""])
-        self.stack.append((tag, marks))
+        e = _Element(tag, {k: v or "" for k, v in reversed(attrs)}, len(self.pieces), len(self.elements), any(self.depth[t] for t in SKIPPED))
+        self.elements.append(e)
+        if tag not in VOID:
+            self.stack.append(e)
+            self.depth[tag] += 1
+
+    def _close(self, e: _Element) -> None:
+        e.end, e.last = len(self.pieces), len(self.elements) - 1
+        self.depth[e.tag] -= 1
 
     def handle_endtag(self, tag: str) -> None:
-        for k in range(len(self.stack) - 1, -1, -1):
-            if self.stack[k][0] == tag:
-                del self.stack[k:]
-                break
+        if self.depth[tag]:
+            while True:
+                e = self.stack.pop()
+                self._close(e)
+                if e.tag == tag:
+                    break
 
     def handle_data(self, data: str) -> None:
-        tags = [t for t, _ in self.stack]
-        if self.stack and "ld" in self.stack[-1][1]:
-            self.ld[-1] += data
-        if SKIPPED & set(tags):
-            return
-        marks = {m for _, ms in self.stack for m in ms}
-        for m in CONTAINERS:
-            if m in marks:
-                self.parts.setdefault(m, []).append(data)
-        self.parts.setdefault("body", []).append(data)
-        if "a" in tags and self.links:
-            self.links[-1][1] += data
-        if self.heads and tags and self.heads[-1][0] in tags:
-            self.heads[-1][1] += data
+        self.pieces.append((data, any(self.depth[t] for t in SKIPPED), any(self.depth[t] for t in UNSEEN)))
+
+    def finish(self) -> None:
+        while self.stack:
+            self._close(self.stack.pop())
+
+    def text(self, e: _Element | None, skip: bool) -> str:
+        """Text of an element, or of all, without what is never seen, or without all that is skipped."""
+        return _line(t for t, skipped, unseen in self.pieces[e.start : e.end] if not (skipped if skip else unseen)) if e else ""
+
+    def within(self, e: _Element, tag: str) -> Iterator[_Element]:
+        return (x for x in self.elements[e.place + 1 : e.last + 1] if x.tag == tag)
+
+    def ld(self) -> Iterator[str]:
+        return ("".join(t for t, _, _ in self.pieces[e.start : e.end]) for e in self.elements if e.tag == "script" and e.attrs.get("type") == "application/ld+json")
 
 
 def _read(html: str | None) -> _Reader:
@@ -79,6 +86,7 @@ def _read(html: str | None) -> _Reader:
         r.close()
     except (ValueError, AssertionError):
         pass  # what was read so far counts
+    r.finish()
     return r
 
 
@@ -86,17 +94,26 @@ def _line(parts: Iterable[str]) -> str:
     return " ".join(" ".join(parts).split())
 
 
-def main_text(html: str | None, least: int = 100) -> str:
-    r = _read(html)
-    for c in CONTAINERS:
-        text = _line(r.parts.get(c, []))
+def _main_text(r: _Reader, least: int = 100) -> str:
+    for mark in CONTAINERS:
+        first = next((e for e in r.elements if mark in e.marks and not e.skipped and e.tag not in SKIPPED), None)
+        text = r.text(first, True)
         if len(text) > least:
             return text
-    return _line(r.parts.get("body", []))
+    body = next((e for e in r.elements if e.tag == "body"), None)
+    if body:
+        return r.text(body, True)
+    head = next((e for e in r.elements if e.tag in ("head", "title")), None)
+    return _line(t for i, (t, skipped, _) in enumerate(r.pieces) if not skipped and not (head and head.start <= i < head.end))
+
+
+def main_text(html: str | None, least: int = 100) -> str:
+    return _main_text(_read(html), least)
 
 
 def extract_main_text(pages: DataFrame) -> DataFrame:
-    """(page_id, text): text of the first container with over 100 characters, else of the body."""
+    """(page_id, text): of each container mark only the first element counts; the first of them with over 100 characters, else
+    the body."""
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -115,28 +132,73 @@ def _nodes(value: object) -> Iterator[dict]:
             yield from _nodes(v)
 
 
-def link_ladder(url: str, html: str | None) -> tuple[int, list[tuple[str, str]]]:
-    """(rung, links): JSON-LD articles, else Open Graph, else article-like anchors, else heading and canonical."""
-    r = _read(html)
-    found: list[tuple[str, str]] = []
-    for text in r.ld:
+def _stated_articles(r: _Reader) -> Iterator[tuple[str, str]]:
+    """(url, title) of the article nodes of JSON-LD."""
+    for text in r.ld():
         try:
             nodes = list(_nodes(json.loads(text)))
         except ValueError:
             continue
-        found += [(str(n["url"]), str(n.get("headline") or n.get("name") or "")) for n in nodes if "Article" in str(n.get("@type")) and n.get("url")]
-    rungs = [
-        found,
-        [(r.meta["og:url"], r.meta["og:title"])] if r.meta.get("og:url") and r.meta.get("og:title") else [],
-        [(h, " ".join(t.split())) for h, t in r.links if re.search(r"/(news|noticias?|artigos?)/", h) and t.strip()],
-        [(r.canonical or url, " ".join(r.heads[0][1].split()))] if r.heads and r.heads[0][1].strip() and (r.canonical or url) else [],
-    ]
+        for n in nodes:
+            kinds = n.get("@type") if isinstance(n.get("@type"), list) else [n.get("@type")]
+            if not any(isinstance(k, str) and k.lower() in ("newsarticle", "article") for k in kinds):
+                continue
+            page = n.get("mainEntityOfPage")
+            page = (page.get("@id") or page.get("url")) if isinstance(page, dict) else page
+            url = n["url"] if isinstance(n.get("url"), str) else page
+            title = next((n[k] for k in ("headline", "name") if isinstance(n.get(k), str)), None)
+            if isinstance(url, str) and title is not None:
+                yield url, title
+
+
+def _anchors(r: _Reader) -> Iterator[tuple[str, str]]:
+    """(href, title) of the links of articles, then of headings, then of those that look like news."""
+    linked = lambda e: (x for x in r.within(e, "a") if "href" in x.attrs)
+    for e in r.elements:
+        if e.tag == "article":
+            yield from ((x.attrs["href"], r.text(x, False)) for x in linked(e))
+    for e in r.elements:
+        if e.tag in ("h2", "h3"):
+            first = next(linked(e), None)
+            if first:
+                yield first.attrs["href"], r.text(first, False) or r.text(e, False)
+    for e in r.elements:
+        if e.tag == "a" and NEWS.search(e.attrs.get("href", "")):
+            yield e.attrs["href"], r.text(e, False)
+
+
+def _unique(found: Iterable[tuple[str, str]], base: str) -> list[tuple[str, str]]:
+    """Links with a title, resolved, the first of each place."""
+    out: dict[str, str] = {}
+    for url, title in found:
+        url, title = url.strip(), " ".join(title.split())
+        if not url or not title:
+            continue
+        try:
+            place = urljoin(base, url)
+        except ValueError:  # no address at all
+            continue
+        if place:
+            out.setdefault(place, title)
+    return list(out.items())
+
+
+def link_ladder(url: str | None, html: str | None) -> tuple[int, list[tuple[str, str]]]:
+    """(rung, links) of the first rung with any: JSON-LD articles, Open Graph, anchors, first heading with the canonical address."""
+    r, base = _read(html), url or ""
+    named = lambda name: next((e.attrs.get("content") for e in r.elements if e.tag == "meta" and e.attrs.get("property") == name), None)
+    head = next((e for e in r.elements if e.tag in ("h1", "h2")), None)
+    canonical = next((e for e in r.elements if e.tag == "link" and "canonical" in e.attrs.get("rel", "").split()), None)
+    rungs = (
+        lambda: _stated_articles(r),
+        lambda: [(named("og:url"), named("og:title"))] if named("og:url") is not None and named("og:title") is not None else [],
+        lambda: _anchors(r),
+        lambda: [(canonical.attrs["href"] if canonical and "href" in canonical.attrs else base, r.text(head, False))] if head else [],
+    )
     for k, rung in enumerate(rungs):
-        if rung:
-            unique: dict[str, str] = {}
-            for h, t in rung:
-                unique.setdefault(urljoin(url or "", h), t)
-            return k + 1, list(unique.items())
+        links = _unique(rung(), base)
+        if links:
+            return k + 1, links
     return 0, []
 
 
@@ -164,7 +226,7 @@ def party_articles(links: DataFrame, pages: DataFrame, sources: DataFrame, exist
 def stated_results(html: str | None) -> list[tuple[str, str]]:
     """(name, percentage) pairs that the JSON-LD of a page states, in any node, as texts."""
     found = []
-    for text in _read(html).ld:
+    for text in _read(html).ld():
         try:
             nodes = list(_nodes(json.loads(text)))
         except ValueError:

@@ -51,8 +51,58 @@ OPTION_IDS = ("opt_a", "opt_b", "opt_c", "opt_d", "opt_e", "opt_f")
 EVENT_TERMS = ("denuncia", "denúncia", "inquerito", "inquérito", "investigacao", "investigação", "percentual", "pesquisa", "sondagem")
 NAME_TERMS = ("aldo rebelo", "bolsonaro", "caiado", "eduardo leite", "lula", "ratinho", "renan santos", "tarcisio", "tarcísio", "zema")
 OPENINGS = ("a prioridade", "acredito que", "considero que", "defendo que", "e fundamental", "entendo que", "eu acredito que", "eu defendo", "na minha visao", "na minha visão", "não apoio que", "o estado", "o governo", "prefiro que", "quero que", "sou contra", "sou favoravel", "sou favorável", "é fundamental")
-PARTY_TERMS = ("mbl", "mdb", "pcdob", "pdt", "pl", "pp", "progressistas", "psb", "psd", "psdb", "psol", "pt", "ptb", "republicanos", "união brasil", "uniao brasil")
-AMBIGUOUS_PARTY_TERMS = ("agir", "avante", "cidadania", "novo", "podemos", "rede", "solidariedade")
+PARTY_TERMS = (
+    "pt", "partido dos trabalhadores", "pl", "partido liberal", "psol", "partido socialismo e liberdade", "pcb", "partido comunista brasileiro", "pcdob", "pc do b", "partido comunista do brasil",
+    "pdt", "partido democrático trabalhista", "partido democratico trabalhista", "psb", "partido socialista brasileiro", "psdb", "partido da social democracia brasileira",
+    "mdb", "movimento democrático brasileiro", "movimento democratico brasileiro", "pmdb", "psd", "partido social democrático", "partido social democratico", "pp", "progressistas", "partido progressista",
+    "republicanos", "união brasil", "uniao brasil", "novo", "podemos", "solidariedade", "avante", "cidadania", "pv", "partido verde", "rede", "rede sustentabilidade", "agir", "dc", "democracia cristã", "democracia crista",
+    "dem", "democratas", "patriota", "prd", "prtb", "pmb", "partido da mulher brasileira", "mobiliza", "pmn", "psc", "pros", "ptb", "pco", "partido da causa operária", "partido da causa operaria",
+    "up", "unidade popular", "pstu", "mbl", "movimento brasil livre",
+)
+#: Of these, everyday words, which count only beside a party marker.
+AMBIGUOUS_PARTY_TERMS = ("novo", "podemos", "solidariedade", "avante", "cidadania", "rede", "agir", "patriota", "mobiliza")
+PARTY_MARKER = r"\b(?:partido|legenda|sigla|filiad[oa]|membro|integrante|aliado|alian[aç]a|movimento)\b"
+AFFILIATIONS = (
+    r"\bpartido\b.*\b(partido|psdb|pt|pl|psol|mbl|republicanos|un[iã]o\s*brasil|novo|mdb|pdt|psb|pp|psd|pv|dc|dem)\b",
+    r"\bcomo\s+membro\b",
+    r"\bfiliad[oa]\b.*\b(partido|movimento)\b",
+    r"\bintegrante\b.*\b(partido|movimento)\b",
+    r"\bo\s+partido\b",
+)
+BOILERPLATE_PT = ("o governo deveria adotar uma política pública clara e estável em que",)
+BOILERPLATE_EN = ("the government should adopt a clear and stable public policy in which",)
+#: Sentences that were glued together wrongly, in either language.
+BROKEN = (
+    r"\b(isso\s+inclui\s+[a-zéêãõ]{1,4}\s)",
+    r"\b(tamb[eé]m\s+[eé]\s+essencial\s+[a-zéêãõ]{1,4}\s)",
+    r"\b(\b[a-zéêãõ]{1,3}\b\s){3,}",
+    r",\s*,",
+    r"apoiou\s+a\s+reforma|defendeu\s+a\s+reforma|apoia\s+a\s+reforma|votou\s+a\s+favor\s+do\s+processo",
+    r"dados\s+da\s+wikipedia",
+    r"\.\s+na\s+pauta\s+de\b",
+    r"\bpolicy\s+for\b.*\bshould\s+(?:supports|advocates|prefers|defends)\b",
+    r"\bi\s+believe\s+the\s+policy\s+for\b",
+    r"^\s*here\s+is\s+the\s+json\s+requested\b",
+)
+
+# ---- Fixed values: parts of position texts ----
+INTROS_EN = ("I believe the government should", "I argue the government should", "In my view, the government should", "I support the government choosing to")
+STANCE_PT = {
+    "strongly_favor": "priorize mudanças amplas com expansão de direitos e de políticas públicas",
+    "favor": "avance com reformas graduais e metas públicas verificáveis",
+    "neutral": "busque equilíbrio pragmático antes de ampliar mudanças estruturais",
+    "against": "mantenha estabilidade institucional e evite mudanças bruscas sem consenso",
+    "strongly_against": "preserve o modelo atual e rejeite reformas de ruptura sem justificativa sólida",
+}
+STANCE_EN = {
+    "strongly_favor": "prioritize broad reforms that expand rights and public policies",
+    "favor": "advance gradual reforms with transparent and measurable goals",
+    "neutral": "seek pragmatic balance before expanding structural reforms",
+    "against": "maintain institutional stability and avoid abrupt changes without consensus",
+    "strongly_against": "preserve the current framework and reject disruptive reforms without strong justification",
+}
+ENDING_PT, ENDING_EN = "com metas transparentes e revisão periódica.", "with transparent goals and periodic review."
+ALSO_PT, MOREOVER_PT, ALSO_EN = "Também considero importante", "Além disso, proponho", "I also consider it important to"
 
 # ---- From a rule: Latin letters with marks and the ASCII letter each decomposes to ----
 _FOLD = {chr(c): unicodedata.normalize("NFKD", chr(c)).encode("ascii", "ignore").decode() for c in range(0xC0, 0x250)}
