@@ -10,8 +10,9 @@ A group gives term t the share ``p = 1 + floor(SCALE * (n + PRIOR) / (N + PRIOR
 of them lacks is summed over the distinct counts of the other (each with how many terms have it), and the rest is one
 product. Every number is whole.
 
-The vocabulary passes the driver and is broadcast, as ``CountVectorizer`` does it. To bound that, terms are dealt by their hash
-to as many models as keep the distinct terms of each at about ``MODEL_TERMS``; their number changes no result.
+The vocabulary passes the driver and is broadcast, as ``CountVectorizer`` does it: some 100 bytes for each term of ``least``
+documents. ``models`` deals the terms by their hash to so many models, each with its share of the vocabulary and two
+passes over the texts of its own; their number changes no result.
 
 Defined cases: a null text, language or source is an empty string; each row is a document, so repeated rows count as often
 as they stand there; a language without kept terms has distances of 0 and no term rows; an empty table gives an empty
@@ -27,36 +28,35 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidewire.session import forget, shared_dir, stored
+from tidewire.session import shared_dir, stored
 
 LEAST, TOP, PRIOR, SCALE = 30, 50, 5, 1_000_000_000
-#: Distinct terms of one model, about: what a driver and each executor hold of a vocabulary.
-MODEL_TERMS = 1 << 22
 ALL_TERMS = 2**31 - 1
 BETWEEN = "[\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+def lower_ascii(text: Column) -> Column:
+    """A-Z lower-cased and nothing else; ``lower`` does that where there is nothing else to lower."""
+    return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
+
+
 def with_terms(docs: DataFrame, lang: str = "lang", source: str = "source", text: str = "text") -> DataFrame:
-    """``(lang, source, terms)`` of every document; a term is its language, a space and the word."""
+    """``(lang, source, terms)`` of every document; a term is its language, a space and the word. At the ends of a text the word may
+    be empty: that term is dropped from the vocabulary."""
     said = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
-    rows = docs.select(said(lang).alias("lang"), said(source).alias("source"), F.array_remove(F.split(F.translate(said(text), UPPER, LOWER), BETWEEN), "").alias("terms"))
+    rows = docs.select(said(lang).alias("lang"), said(source).alias("source"), F.split(lower_ascii(said(text)), BETWEEN).alias("terms"))
     return rows.withColumn("terms", F.transform("terms", lambda w: F.concat("lang", F.lit(" "), w)))
 
 
-def _models(rows: DataFrame, most: int) -> int:
-    found = rows.select(F.explode("terms").alias("t")).agg(F.approx_count_distinct("t")).first()[0]
-    return max(1, -(-found // most))
-
-
 def _share_of(rows: DataFrame, models: int, k: int) -> DataFrame:
     return rows.withColumn("terms", F.filter("terms", lambda t: F.pmod(F.xxhash64(t), F.lit(models)) == k))
 
 
-def group_counts(rows: DataFrame, least: int = LEAST, most: int = MODEL_TERMS) -> tuple[DataFrame, DataFrame]:
+def group_counts(rows: DataFrame, least: int = LEAST, models: int = 1) -> tuple[DataFrame, DataFrame]:
     """Counts above 0 ``(lang, source, term, n)`` of the terms in at least ``least`` documents of their language, and those
     terms ``(lang, term)``, from rows ``(lang, source, terms)``."""
-    spark, models = rows.sparkSession, _models(rows, most)
+    spark = rows.sparkSession
     base = f"{shared_dir(spark).rstrip('/')}/vocabulary-{uuid.uuid4().hex}"
     # a model needs a term: the empty one, which no text has
     dummy = spark.range(least).select(F.lit(None).cast("string").alias("lang"), F.lit(None).cast("string").alias("source"), F.array(F.lit("")).alias("terms"))
@@ -66,7 +66,7 @@ def group_counts(rows: DataFrame, least: int = LEAST, most: int = MODEL_TERMS) -
         model = CountVectorizer(inputCol="terms", outputCol="vector", minDF=float(least), vocabSize=ALL_TERMS).fit(mine.unionByName(dummy))
         model.save(f"{base}/{k}")
         terms = spark.read.parquet(f"{base}/{k}/data").select(F.posexplode("vocabulary").alias("i", "term")).where("term <> ''")
-        terms = stored(terms.select("i", F.expr("substring(term, 1, length(term) - length(substring_index(term, ' ', -1)) - 1)").alias("lang"), F.substring_index("term", " ", -1).alias("term")), "terms")
+        terms = stored(terms.select("i", F.expr("substring(term, 1, length(term) - length(substring_index(term, ' ', -1)) - 1)").alias("lang"), F.substring_index("term", " ", -1).alias("term")).where("term <> ''"), "terms")
         v = F.unwrap_udt("vector")
         cells = model.transform(mine).select("lang", "source", F.explode(F.arrays_zip(v["indices"].alias("i"), v["values"].alias("n"))).alias("cell"))
         sums = stored(cells.groupBy("lang", "source", F.col("cell.i").alias("i")).agg(F.sum(F.col("cell.n").cast("long")).alias("n")), "sums")
@@ -124,11 +124,11 @@ def telling_terms(kept: DataFrame, counts: DataFrame, held: DataFrame) -> DataFr
     return met.select("lang", "source", F.col("term").alias("item"), (F.col("p") - F.col("q")).alias("value"))
 
 
-def audit(docs: DataFrame, lang: str = "lang", source: str = "source", text: str = "text", least: int = LEAST, top: int = TOP, most: int = MODEL_TERMS) -> DataFrame:
+def audit(docs: DataFrame, lang: str = "lang", source: str = "source", text: str = "text", least: int = LEAST, top: int = TOP, models: int = 1) -> DataFrame:
     """``(lang, source, part, item, value, rank)``: part ``pair`` holds the distance to each other source of the language, part
     ``term`` the ``top`` terms by which a group stands out; ranks by falling value, then by item."""
     rows = with_terms(docs, lang, source, text)
-    found, kept = group_counts(rows, least, most)
+    found, kept = group_counts(rows, least, models)
     counts = stored(found, "counts")
     kept = stored(kept, "kept")
     groups, held = shares(counts, kept, rows.select("lang", "source").distinct())
