@@ -1,9 +1,10 @@
 """Source divergence audit: how far the sources of a language differ in the words they use, and by which.
 
 ``CountVectorizer`` with a least document frequency and no limit on the vocabulary turns each document into an exact sparse
-vector. Terms carry their language, so one model holds the vocabularies of all languages, each with its own document
-frequencies. Vectors are summed by (language, source) as whole numbers, combined before the shuffle; ``Summarizer`` itself
-sums in floating point and in dense arrays, so it isn't used.
+vector. One model serves all languages, as what is frequent enough in one of them is so in all together; each language
+then keeps the terms that stand in enough of its own vectors. Vectors are summed by (language, source) as whole numbers,
+with the vectors that hold each term, combined before the shuffle; ``Summarizer`` itself sums in floating point and in dense
+arrays, so it isn't used.
 
 A group gives term t the share ``p = 1 + floor(SCALE * (n + PRIOR) / (N + PRIOR * V))``. The distance of two groups is the sum of
 |p - q| over all V terms of their language, and comes from sparse parts only: the terms that both have are joined, what one
@@ -42,11 +43,9 @@ def lower_ascii(text: Column) -> Column:
 
 
 def with_terms(docs: DataFrame, lang: str = "lang", source: str = "source", text: str = "text") -> DataFrame:
-    """``(lang, source, terms)`` of every document; a term is its language, a space and the word. At the ends of a text the word may
-    be empty: that term is dropped from the vocabulary."""
+    """``(lang, source, terms)`` of every document. At the ends of a text a term may be empty; no vocabulary keeps that one."""
     said = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
-    rows = docs.select(said(lang).alias("lang"), said(source).alias("source"), F.split(lower_ascii(said(text)), BETWEEN).alias("terms"))
-    return rows.withColumn("terms", F.transform("terms", lambda w: F.concat("lang", F.lit(" "), w)))
+    return docs.select(said(lang).alias("lang"), said(source).alias("source"), F.split(lower_ascii(said(text)), BETWEEN).alias("terms"))
 
 
 def _share_of(rows: DataFrame, models: int, k: int) -> DataFrame:
@@ -55,26 +54,27 @@ def _share_of(rows: DataFrame, models: int, k: int) -> DataFrame:
 
 def group_counts(rows: DataFrame, least: int = LEAST, models: int = 1) -> tuple[DataFrame, DataFrame]:
     """Counts above 0 ``(lang, source, term, n)`` of the terms in at least ``least`` documents of their language, and those
-    terms ``(lang, term)``, from rows ``(lang, source, terms)``."""
+    terms ``(lang, term)``, from rows ``(lang, source, terms)``; both are written tables."""
     spark = rows.sparkSession
     base = f"{shared_dir(spark).rstrip('/')}/vocabulary-{uuid.uuid4().hex}"
-    # a model needs a term: the empty one, which no text has
+    # a model needs a term: the empty one, which no vocabulary keeps
     dummy = spark.range(least).select(F.lit(None).cast("string").alias("lang"), F.lit(None).cast("string").alias("source"), F.array(F.lit("")).alias("terms"))
     counts, kept = [], []
     for k in range(models):
         mine = rows if models == 1 else _share_of(rows, models, k)
         model = CountVectorizer(inputCol="terms", outputCol="vector", minDF=float(least), vocabSize=ALL_TERMS).fit(mine.unionByName(dummy))
         model.save(f"{base}/{k}")
-        terms = spark.read.parquet(f"{base}/{k}/data").select(F.posexplode("vocabulary").alias("i", "term")).where("term <> ''")
-        terms = stored(terms.select("i", F.expr("substring(term, 1, length(term) - length(substring_index(term, ' ', -1)) - 1)").alias("lang"), F.substring_index("term", " ", -1).alias("term")).where("term <> ''"), "terms")
+        terms = stored(spark.read.parquet(f"{base}/{k}/data").select(F.posexplode("vocabulary").alias("i", "term")).where("term <> ''"), "terms")
         v = F.unwrap_udt("vector")
         cells = model.transform(mine).select("lang", "source", F.explode(F.arrays_zip(v["indices"].alias("i"), v["values"].alias("n"))).alias("cell"))
-        sums = stored(cells.groupBy("lang", "source", F.col("cell.i").alias("i")).agg(F.sum(F.col("cell.n").cast("long")).alias("n")), "sums")
-        counts.append(sums.join(terms.select("i", "term").hint("merge"), "i").select("lang", "source", "term", "n"))
-        kept.append(terms.select("lang", "term"))
+        sums = stored(cells.groupBy("lang", "source", F.col("cell.i").alias("i")).agg(F.sum(F.col("cell.n").cast("long")).alias("n"), F.count("*").alias("docs")), "sums")
+        enough = sums.groupBy("lang", "i").agg(F.sum("docs").alias("docs")).where(F.col("docs") >= least)
+        named = stored(enough.select("lang", "i").join(terms.hint("merge"), "i"), "named")
+        counts.append(sums.select("lang", "source", "i", "n").join(named.hint("merge"), ["lang", "i"]).select("lang", "source", "term", "n"))
+        kept.append(named.select("lang", "term"))
     for more, terms in zip(counts[1:], kept[1:], strict=True):
         counts[0], kept[0] = counts[0].unionByName(more), kept[0].unionByName(terms)
-    return counts[0], kept[0]
+    return stored(counts[0], "counts"), kept[0]
 
 
 def share(n: Column | str, total: str = "total", v: str = "v") -> Column:
@@ -128,9 +128,7 @@ def audit(docs: DataFrame, lang: str = "lang", source: str = "source", text: str
     """``(lang, source, part, item, value, rank)``: part ``pair`` holds the distance to each other source of the language, part
     ``term`` the ``top`` terms by which a group stands out; ranks by falling value, then by item."""
     rows = with_terms(docs, lang, source, text)
-    found, kept = group_counts(rows, least, models)
-    counts = stored(found, "counts")
-    kept = stored(kept, "kept")
+    counts, kept = group_counts(rows, least, models)
     groups, held = shares(counts, kept, rows.select("lang", "source").distinct())
     far = stored(distances(groups, held), "distances")
     pairs = far.select("lang", F.explode(F.array(F.struct(F.col("a").alias("source"), F.col("b").alias("item")), F.struct(F.col("b").alias("source"), F.col("a").alias("item")))).alias("e"), "value").select("lang", "e.*", "value")
