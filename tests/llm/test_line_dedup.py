@@ -71,3 +71,12 @@ def test_clashing_columns(spark):
     df = spark.createDataFrame([(1, "a b\na b", 3, 4, 5, 6)], "doc_id long, text string, copy int, doc int, _gone int, n_removed int")
     (row,) = drop_repeated_lines(df).collect()
     assert row.asDict() == {"doc_id": 1, "text": "a b", "copy": 3, "doc": 4, "_gone": 5, "n_lines": 2, "n_removed": 1}
+
+
+def test_rows_of_one_id_that_short_hashes_mix_up(spark):
+    """Texts whose hashes agree in 31 bits, without an id and with one id."""
+    one, two = "w3946 x3946 y3946", "w339463 x339463 y339463"
+    for key in (None, 7):
+        df = spark.createDataFrame([(1, two), (key, one), (key, two), (key, one), (key, None), (key, "")], "doc_id long, text string")
+        got = sorted((x.doc_id or 99, x.text or "", x.n_removed) for x in drop_repeated_lines(df).collect())
+        assert got == sorted([(1, two, 0), (key or 99, one, 0), (key or 99, one, 0), (key or 99, "", 1), (key or 99, "", 0), (key or 99, "", 0)])

@@ -82,3 +82,19 @@ def test_very_long_text_repeats_and_clashing_columns(spark):
     rows = [(1, long), (2, long[1000:59000] + "é" * 300), (3, "x" * 40 + long[-70:]), (3, "x" * 40 + long[-70:]), (4, " " * 3000), (5, " " * 200), (6, None)]
     df = spark.createDataFrame([(d, t, 1, "s", b"k", 2) for d, t in rows], "doc_id long, text string, n_bytes int, spans string, kept binary, bucket int")
     assert ours(df) == brute(rows)
+
+
+def test_rows_of_one_id_with_equal_checksums(spark):
+    """Two texts of one crc32 under one id, and under none: only what stands in an earlier document goes."""
+    import zlib
+
+    r, seen = random.Random(12), {}
+    passage = "".join(r.choice("abcdefgh ") for _ in range(90))
+    while True:
+        text = "".join(r.choice("abcdefghijklmnop") for _ in range(60))
+        text = passage + text if len(seen) % 2 else text
+        other = seen.setdefault(zlib.crc32(text.encode()), text)
+        if other != text and (text.startswith(passage) != other.startswith(passage)):
+            break
+    rows = [(1, passage), (2, text), (2, other), (None, text), (None, other), (None, other)]
+    assert ours(spark.createDataFrame(rows, "doc_id long, text string")) == brute(rows)

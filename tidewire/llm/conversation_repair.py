@@ -32,9 +32,9 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidewire.llm.places import in_order
 from tidewire.session import cut, forget, stored
 
 BLOCK_BITS = 8
@@ -119,25 +119,6 @@ def _coded(rows: DataFrame) -> DataFrame:
     return out.select("conv_id", "turn", "role", "digest", "code", F.explode(F.array_repeat(F.lit(0), F.col("copies")))).drop("col")
 
 
-def _placed(rows: DataFrame) -> DataFrame:
-    """Rows with ``place``, 0 and on by conversation, turn, role and digest.
-
-    Ranges cut conversations, and a last column cuts what is alike in all others. The table that counts the rows of each
-    partition has as many rows as there are partitions.
-    """
-    keys = [F.col(c).asc_nulls_first() for c in ("conv_id", *ORDER)]
-    rows = rows.withColumn("tie", F.monotonically_increasing_id()).repartitionByRange(*keys, "tie").sortWithinPartitions(*keys).drop("tie")
-    rows = stored(rows.withColumn("at", F.monotonically_increasing_id()), "turns")
-    part = F.shiftright("at", 33)
-    sizes = rows.groupBy(part.alias("part")).agg(F.count("*").alias("n"))
-    before = F.coalesce(F.sum("n").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    sizes = F.broadcast(sizes.select("part", before.alias("before")))
-    place = (F.col("before") + F.col("at").bitwiseAND(F.lit((1 << 33) - 1))).alias("place")
-    out = rows.withColumn("part", part).join(sizes, "part").select("conv_id", "role", "digest", "code", place)
-    out.stored_path = rows.stored_path
-    return out
-
-
 def blocks(placed: DataFrame, bits: int = BLOCK_BITS) -> DataFrame:
     """``(block, rows)``: the rows (place, conv_id, code) of 2^``bits`` places each, duplicates told, and one more on either side.
 
@@ -328,7 +309,7 @@ def runs(of: DataFrame, bits: int = BLOCK_BITS) -> DataFrame:
 
 def edits(rows: DataFrame, bits: int = BLOCK_BITS) -> DataFrame:
     """The ``runs`` of the cheapest edits of all conversations of rows ``(conv_id, turn, role, text, copies)``."""
-    placed = _placed(_coded(rows))
+    placed = in_order(_coded(rows), ("conv_id", *ORDER), "turns")
     cuts = stored(blocks(placed, bits), "blocks")
     forget(placed)
     tails = heads(cuts, bits).select((F.col("block") - 1).alias("block"), F.col("vectors").alias("tail"))

@@ -19,7 +19,7 @@ of one document count too) has a Jaccard similarity of at least 0.8 with it. The
 6. Candidates are verified on their whole sets of words, as 64-bit hashes, which are read from the texts again.
 
 Defined cases: ids must be integers; lines without a word stay and match nothing; null texts have no lines; rows with
-one id are one document after another in the order of their texts' hashes, identical rows are judged as one; rows with
+one id are one document after another in the order of their texts' SHA-256, identical rows are judged as one; rows with
 a null id come last; an empty table gives an empty table; columns named like the added ones are replaced.
 """
 
@@ -30,6 +30,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidewire.llm.places import LAST, with_copies
 from tidewire.session import forget, stored
 
 #: Jaccard threshold as a fraction, buckets of the rarity table, occurrences in a bucket that make its tokens frequent.
@@ -39,7 +40,6 @@ SLOTS, HOT = 1 << 18, 512
 LONG = 80
 #: Lines of which places (16 bytes each) are sent to all tasks; more of them are shuffled.
 FEW = 1 << 19
-LAST = (1 << 63) - 1
 WORD = "[^\\x20\\x09-\\x0D]"
 
 
@@ -51,13 +51,6 @@ def _tokens(line: Column) -> Column:
     return F.array_distinct(F.transform(F.array_remove(F.split(line, " "), ""), lambda w: F.xxhash64(w)))
 
 
-def _documents(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(row, doc, copy, t): the whole row, the id, null as the last, and where ids repeat a hash that tells their texts apart."""
-    again = docs.groupBy(F.col(key).alias("k")).agg(F.count("*").alias("n")).where("n > 1").limit(1).count()
-    copy = F.coalesce(F.xxhash64(text).bitwiseAND(F.lit(0x7FFFFFFF)), F.lit(0)) if again else F.lit(0).cast("long")
-    return docs.select(F.struct("*").alias("row"), F.coalesce(F.col(key).cast("long"), F.lit(LAST)).alias("doc"), copy.alias("copy"), F.col(text).alias("t"))
-
-
 def _lines(rows: DataFrame) -> DataFrame:
     """(doc, line, s) of the lines with a word; line has the copy above its number."""
     lines = rows.select("doc", "copy", F.posexplode(F.split("t", "\n")).alias("i", "s")).where(F.col("s").rlike(WORD))
@@ -220,7 +213,7 @@ def _low(c: str) -> Column:
 
 def repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``(key, line)`` of every line to remove, lines numbered from 0."""
-    rows = _documents(docs, key, text)
+    rows = with_copies(docs, key, text)
     lines = _lines(rows).select("doc", "line").distinct()
     gone = lines.join(_kept(rows).hint("merge"), ["doc", "line"], "left_anti")
     return gone.select(F.nullif("doc", F.lit(LAST)).alias(key), _low("line").alias("line"))
@@ -228,7 +221,7 @@ def repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
 
 def drop_repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with ``text`` less its repeated lines, and ``n_lines`` and ``n_removed``; every row stays."""
-    rows = _documents(docs, key, text)
+    rows = with_copies(docs, key, text)
     stay = _kept(rows).groupBy("doc", F.shiftright("line", 32).alias("copy")).agg(F.collect_list(_low("line")).alias("stay"))  # no more than a document has lines
     out = rows.join(stay.hint("merge"), ["doc", "copy"], "left").select("row", F.split("t", "\n").alias("lines"), F.coalesce("stay", F.array().cast("array<int>")).alias("stay"))
     left = F.filter("lines", lambda s, i: ~s.rlike(WORD) | F.array_contains("stay", i))

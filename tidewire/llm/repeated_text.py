@@ -28,13 +28,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewire.llm.decontaminate import _mix, _powers
+from tidewire.llm.places import LAST, with_copies
 
 DEPTH, DIGIT = 50, 20
 SIDE = DEPTH - DIGIT
 WIDTH = DEPTH + SIDE  # bytes of an anchor's surroundings
 BASE = 0x100000001B3
 CHUNK, PASS = 1 << 23, 1 << 16
-LAST = (1 << 63) - 1
 #: Packed rows. The first digit is 32 bits of a hash beside those that chose the bucket: a chance hit of two digits
 #: only sends an anchor on to the second pass, which compares bytes.
 HEAD = np.dtype([("digit", "<u4"), ("doc", "<i8"), ("copy", "<u4"), ("at", "<u4")])
@@ -439,8 +439,8 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     gathers does not grow with the input. Texts move twice, by document, to meet their places and their spans.
     """
     spark = docs.sparkSession
-    data = F.coalesce(F.col(text).cast("string").cast("binary"), F.lit(b""))
-    rows = docs.select(F.coalesce(F.col(key).cast("bigint"), F.lit(LAST)).alias("doc"), F.crc32(data).cast("bigint").alias("copy"), data.alias("data"), F.col(key).isNull().alias("null"))
+    data = F.coalesce(F.col("t").cast("binary"), F.lit(b""))
+    rows = with_copies(docs.select(key, text), key, text).select("doc", "copy", data.alias("data"), F.col("row")[key].isNull().alias("null"))
     total = rows.agg(F.sum(F.octet_length("data"))).first()[0] or 0
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(total) // (1 << 25)))
     texts = rows.mapInArrow(_texts(buckets), PACKED)
