@@ -34,16 +34,17 @@ def prominence(now: Column) -> Column:
     """Weighted recency, confidence, relevance, source, mentions, topics and sentiment of an article row."""
     age = (now.cast("long") - article_ts().cast("long")) / 3600
     recency = F.when(article_ts().isNull(), 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - F.greatest(age, F.lit(0.0)) / 36)))
-    confidence = F.coalesce("confidence_score", F.when(eligible(), 0.65).otherwise(0.4))
+    clamp = lambda c: F.greatest(F.lit(0.0), F.least(F.lit(1.0), c))
+    confidence = clamp(F.coalesce("confidence_score", F.when(eligible(), 0.65).otherwise(0.4)))
     both = (F.coalesce(F.trim("summaries.pt"), F.lit("")) != "") & (F.coalesce(F.trim("summaries.en"), F.lit("")) != "")
     score = F.coalesce("relevance_score", F.lit(0.0))
-    relevance = F.when((score <= 0) & eligible() & both, 0.65).otherwise(score)
-    source = F.coalesce(F.try_element_at(mapping(vocab.CATEGORY_WEIGHT), F.lower("source_category")), F.lit(0.5))
+    relevance = F.when((score <= 0) & eligible() & both, 0.65).otherwise(clamp(score))
+    source = F.coalesce(F.try_element_at(mapping(vocab.CATEGORY_WEIGHT), F.col("source_category")), F.lit(vocab.OTHER_CATEGORY_WEIGHT))
     n = F.size(clean_list("candidates_mentioned"))
     t = F.size(clean_list("topics"))
-    total = 0.34 * recency + 0.22 * confidence + 0.16 * relevance + 0.08 * source + 0.08 * F.least(F.lit(1.0), n / F.lit(3)) + 0.06 * F.least(F.lit(1.0), t / F.lit(4)) + 0.06 * F.abs(F.coalesce("sentiment_score", F.lit(0.0)))
-    edited = F.coalesce(F.exists("edit_history", lambda e: (e.tier == "editor") & (e.action == "validate")), F.lit(False))
-    total = total + F.when(F.col("narrative_cluster_id").isNotNull(), 0.04).otherwise(0.0) + F.when(edited, 0.03).otherwise(0.0)
+    total = 0.34 * recency + 0.22 * confidence + 0.16 * relevance + 0.08 * source + 0.08 * F.least(F.lit(1.0), n / F.lit(3)) + 0.06 * F.least(F.lit(1.0), t / F.lit(4)) + 0.06 * clamp(F.abs(F.coalesce("sentiment_score", F.lit(0.0))))
+    edited = F.coalesce(F.exists("edit_history", lambda e: (e.tier == "editor") & (e.action == "validated")), F.lit(False))
+    total = total + F.when(F.trim("narrative_cluster_id") != "", 0.04).otherwise(0.0) + F.when(edited, 0.03).otherwise(0.0)
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), places(total)))
 
 

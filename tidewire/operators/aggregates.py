@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidewire import vocab
 from tidewire.functions.gates import eligible
-from tidewire.functions.text import article_ts, label_to_score, places
+from tidewire.functions.text import article_ts, clean_list, label_to_score, places
 
 
 def resolved_scores() -> Column:
@@ -22,9 +23,10 @@ def sentiment_cells(df: DataFrame) -> DataFrame:
     return df.where(eligible()).select("*", F.explode(resolved_scores()).alias("candidate", "score"))
 
 
-def sentiment_by_topic(df: DataFrame) -> DataFrame:
-    """Mean score per candidate and topic; rows without a topic count under the election."""
-    topics = F.when(F.size("topics") > 0, F.col("topics")).otherwise(F.array(F.lit("eleicoes")))
+def sentiment_by_topic(df: DataFrame, valid: Sequence[str] = vocab.TOPICS) -> DataFrame:
+    """Mean score per candidate and topic; rows without a valid topic count under the election."""
+    known = F.filter("topics", lambda t: t.isin(*valid))
+    topics = F.when(F.size(known) > 0, known).otherwise(F.array(F.lit("eleicoes")))
     return sentiment_cells(df).select("candidate", "score", F.explode(topics).alias("topic")).groupBy("candidate", "topic").agg(places(F.avg("score")).alias("avg_score"), F.count("*").alias("n"))
 
 
@@ -52,14 +54,18 @@ def _since(now: Column, days: int) -> Column:
     return article_ts() >= now - F.make_dt_interval(days=F.lit(days))
 
 
+def _or_zero(name: str) -> Column:
+    return F.coalesce(name, F.lit(0.0)).alias(name)
+
+
 def trending_topics(df: DataFrame, now: Column, days: int = 7, n: int = 10) -> DataFrame:
-    rows = df.where(eligible() & _since(now, days)).select(F.explode("topics").alias("topic"), "prominence_score", "ordinal")
+    rows = df.where(eligible() & _since(now, days)).select(F.explode(clean_list("topics")).alias("topic"), _or_zero("prominence_score"), "ordinal")
     return rows.groupBy("topic").agg(F.count("*").alias("n"), places(F.avg("prominence_score")).alias("avg_prominence"), F.min("ordinal").alias("first_seen")).orderBy(F.desc("n"), "first_seen", "topic").limit(n)
 
 
 def candidate_highlights(df: DataFrame, now: Column) -> DataFrame:
     """Seven-day counts per candidate, and the trend of the last day against the six before."""
-    rows = df.where(eligible() & _since(now, 7)).select(F.explode("candidates_mentioned").alias("candidate"), "prominence_score", "sentiment_score", _since(now, 1).alias("recent"))
+    rows = df.where(eligible() & _since(now, 7)).select(F.explode(clean_list("candidates_mentioned")).alias("candidate"), _or_zero("prominence_score"), _or_zero("sentiment_score"), _since(now, 1).alias("recent"))
     out = rows.groupBy("candidate").agg(F.count("*").alias("n"), places(F.avg("prominence_score")).alias("avg_prominence"), places(F.avg("sentiment_score")).alias("avg_sentiment"), F.count_if("recent").alias("n_recent"))
     return out.withColumn("trend", trend("n", "n_recent"))
 

@@ -46,16 +46,16 @@ def accumulate_rules(rules: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def retention_tier(now: Column, hot: int = 7, curated: int = 14, warm: int = 30) -> Column:
-    """hot, warm or cold by age in days; rows without a time are hot."""
-    age = lambda d: article_ts() >= now - F.make_dt_interval(days=F.lit(d))
-    return F.when(article_ts().isNull() | age(hot) | ((F.col("status") == "curated") & age(curated)), "hot").when(age(warm), "warm").otherwise("cold")
+    """hot, warm or cold by days since publication; rows without that time are hot, whenever they were collected."""
+    age = lambda d: F.col("published_at") >= now - F.make_dt_interval(days=F.lit(d))
+    return F.when(F.col("published_at").isNull() | age(hot) | ((F.col("status") == "curated") & age(curated)), "hot").when(age(warm), "warm").otherwise("cold")
 
 
 def apply_retention(df: DataFrame, now: Column) -> tuple[DataFrame, DataFrame]:
     """(rows that remain, with the content of warm rows dropped; cold rows with their archive month)."""
     tiered = df.withColumn("tier", retention_tier(now))
     stay = tiered.where("tier <> 'cold'").withColumn("content", F.when(F.col("tier") == "hot", F.col("content")))
-    return stay, tiered.where("tier = 'cold'").withColumn("archive_month", F.date_format(article_ts(), "yyyy-MM"))
+    return stay, tiered.where("tier = 'cold'").withColumn("archive_month", F.date_format("published_at", "yyyy-MM"))
 
 
 def promote(df: DataFrame, now: Column, above: float = 0.8) -> DataFrame:
@@ -89,7 +89,7 @@ def newest(df: DataFrame, n: int = 500, time: str = "published_at", ordinal: str
 
 
 def feed_order() -> list[Column]:
-    return [(F.col("status") == "curated").desc(), F.col("prominence_score").desc_nulls_last(), article_ts().desc_nulls_last(), F.col("ordinal").asc()]
+    return [(F.col("status") == "curated").desc(), F.coalesce("prominence_score", F.lit(0.0)).desc(), article_ts().desc_nulls_last(), F.col("ordinal").asc()]
 
 
 def curated_feed(df: DataFrame, now: Column, hours: int = 24, n: int = 80) -> DataFrame:

@@ -13,6 +13,7 @@ from tidewire.functions.gates import known_position
 from tidewire.functions.scoring import stance_weight
 from tidewire.functions.text import places
 from tidewire.operators.lifecycle import top_per_group
+from tidewire.operators.matching import fits
 
 
 def divergence(positions: DataFrame, width: float = 6.0) -> DataFrame:
@@ -35,7 +36,7 @@ def number_options(positions: DataFrame, valid: Column, n: int = 6, order: Seque
 def evidence(articles: DataFrame, grid: DataFrame, n: int = 12) -> DataFrame:
     """Newest articles that hold both the candidate and the topic of a grid pair."""
     rows = articles.select("id", "ordinal", "published_at", F.explode("candidates_mentioned").alias("candidate"), "topics").select("id", "ordinal", "published_at", "candidate", F.explode("topics").alias("topic"))
-    return top_per_group(rows.join(grid, ["candidate", "topic"]), ["candidate", "topic"], [F.col("published_at").desc_nulls_last(), F.col("ordinal")], n)
+    return top_per_group(rows.join(grid.hint("merge"), ["candidate", "topic"]), ["candidate", "topic"], [F.col("published_at").desc_nulls_last(), F.col("ordinal")], n)
 
 
 def position_grid(topics: DataFrame, candidates: DataFrame) -> DataFrame:
@@ -46,8 +47,8 @@ def position_grid(topics: DataFrame, candidates: DataFrame) -> DataFrame:
 def lookup_sources(picks: DataFrame, ranked: DataFrame, size: int = 260) -> DataFrame:
     """Evidence that 1-based indices name; invalid ones are dropped, and with none valid the first is taken."""
     asked = picks.select("candidate", "topic", F.explode_outer("indices").alias("rank"))
-    hit = asked.join(ranked, ["candidate", "topic", "rank"])
-    none = picks.select("candidate", "topic").join(hit.select("candidate", "topic").distinct(), ["candidate", "topic"], "left_anti").join(ranked.where("rank = 1"), ["candidate", "topic"])
+    hit = asked.join(ranked.hint("merge"), ["candidate", "topic", "rank"])
+    none = picks.select("candidate", "topic").join(hit.select("candidate", "topic").distinct().hint("merge"), ["candidate", "topic"], "left_anti").join(ranked.where("rank = 1").hint("merge"), ["candidate", "topic"])
     out = hit.select(none.columns).unionByName(none).distinct()
     text = F.col("description")
     return out.withColumn("description", F.when(F.length(text) > size, F.concat(F.rtrim(F.substring(text, 1, size)), F.lit("..."))).otherwise(text))
@@ -73,7 +74,8 @@ def affinity(answers: DataFrame, options: DataFrame, candidates: DataFrame, widt
     """
     first = options.groupBy("topic", "candidate").agg(F.min_by("weight", "option_id").alias("w"))
     met = answers.join(first, "topic").groupBy("user_id", "candidate").agg(F.avg(1 - F.abs(F.col("weight") - F.col("w")) / F.lit(width)).alias("m"), F.count("*").alias("n_topics"))
-    every = answers.select("user_id").distinct().crossJoin(F.broadcast(candidates))
+    # every user with every candidate is the result; the candidates go to all tasks if their counted size allows it
+    every = answers.select("user_id").distinct().crossJoin(F.broadcast(candidates) if fits(candidates, "candidate") else candidates)
     return every.join(met, ["user_id", "candidate"], "left").select("user_id", "candidate", F.coalesce("n_topics", F.lit(0)).alias("n_topics"), places(F.coalesce(F.col("m") * 100, F.lit(0.0)), 2).alias("affinity"))
 
 

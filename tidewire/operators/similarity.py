@@ -34,43 +34,107 @@ def _grams(text: Column) -> Column:
     return F.concat(t, pairs)
 
 
-def tfidf(df: DataFrame, most: int = 10_000) -> DataFrame:
-    """(id, ts, term, w): normalised weights over the ``most`` frequent 1- and 2-grams; idf is smoothed."""
-    terms = df.select("id", F.coalesce("published_at", "collected_at").alias("ts"), F.explode(_grams(cluster_text())).alias("term"))
-    tf = terms.groupBy("id", "ts", "term").agg(F.count("*").alias("tf"))
+def _classes(df: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows (id, ts, text, class), and the classes (class, text, n) of equal texts: copies are compared once, and counted."""
+    rows = df.select("id", F.coalesce("published_at", "collected_at").alias("ts"), cluster_text().alias("text")).withColumn("class", F.md5("text"))
+    return rows, rows.groupBy("class").agg(F.first("text").alias("text"), F.count("*").alias("n"))
+
+
+def tfidf(classes: DataFrame, most: int = 10_000) -> DataFrame:
+    """(class, term, df, w): normalised weights over the ``most`` frequent 1- and 2-grams of all rows; idf is smoothed."""
+    tf = classes.select("class", "n", F.explode(_grams(F.col("text"))).alias("term")).groupBy("class", "n", "term").agg(F.count("*").alias("tf"))
     tf = stored(tf, "tf")
-    vocabulary = tf.groupBy("term").agg(F.sum("tf").alias("total"), F.count("*").alias("df")).orderBy(F.desc("total"), "term").limit(most)
-    n = df.agg(F.count("*").alias("n_docs"))
+    vocabulary = tf.groupBy("term").agg(F.sum(F.col("tf") * F.col("n")).alias("total"), F.sum("n").alias("df")).orderBy(F.desc("total"), "term").limit(most)
+    n = classes.agg(F.sum("n").alias("n_docs"))
     idf = vocabulary.crossJoin(F.broadcast(n)).select("term", "df", (F.log((1 + F.col("n_docs")) / (1 + F.col("df"))) + 1).alias("idf"))
-    raw = tf.join(F.broadcast(idf), "term").select("id", "ts", "term", "df", (F.col("tf") * F.col("idf")).alias("x"))
-    norm = raw.groupBy("id").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
-    return raw.join(norm, "id").select("id", "ts", "term", "df", (F.col("x") / F.col("norm")).alias("w"))
+    raw = tf.join(F.broadcast(idf), "term").select("class", "term", "df", (F.col("tf") * F.col("idf")).alias("x"))
+    norm = raw.groupBy("class").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
+    return raw.join(norm.hint("merge"), "class").select("class", "term", "df", (F.col("x") / F.col("norm")).alias("w"))
 
 
 def _near_in_time(a: str, b: str) -> Column:
     return F.col(a).isNull() | F.col(b).isNull() | (F.abs(F.col(a).cast("long") - F.col(b).cast("long")) <= HOURS * 3600)
 
 
+def similar_classes(rows: DataFrame, vectors: DataFrame, least: float) -> DataFrame:
+    """(c, d, cosine) of classes c < d of similarity ``least`` or more with rows that may be within 48 hours.
+
+    Vectors are ordered by rising document frequency and indexed only until the rest of their norm is below the
+    threshold, so two similar ones share an indexed term. Two vectors that meet at a term are compared only if what they have
+    there and the norms of what comes after allow the threshold; if they share an earlier term, they meet there. So a term that
+    many vectors have late in their order brings few of them together.
+    """
+    order = W.partitionBy("class").orderBy("df", "term")
+    before = F.coalesce(F.sum(F.col("w") * F.col("w")).over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0))
+    prefix = vectors.withColumn("rest", 1 - before).where(F.col("rest") >= least * least - 1e-9)
+    prefix = prefix.select("class", "term", "w", F.sqrt(F.greatest(F.col("rest") - F.col("w") * F.col("w"), F.lit(0.0))).alias("after"))
+    bucket = F.floor(F.col("ts").cast("long") / (HOURS * 3600))
+    seen = stored(rows.select("class", bucket.alias("bucket")).distinct(), "seen")
+    indexed = stored(prefix.join(seen.hint("merge"), "class"), "indexed")
+    side = lambda df, name: df.select(F.col("class").alias(name), "term", F.col("w").alias(f"w{name}"), F.col("after").alias(f"after{name}"), "bucket")
+    timed = indexed.where("bucket IS NOT NULL")
+    x = side(timed, "c").withColumn("bucket", F.explode(F.array(F.col("bucket") - 1, "bucket", F.col("bucket") + 1)))
+    may = (F.col("wc") * F.col("wd") + F.col("afterc") * F.col("afterd")) >= least - 1e-9
+    met = x.join(side(timed, "d").hint("merge"), ["term", "bucket"]).where((F.col("c") < F.col("d")) & may).select("c", "d")
+    timeless = side(indexed.where("bucket IS NULL"), "c").drop("bucket")
+    free = timeless.join(side(indexed, "d").drop("bucket").distinct().hint("merge"), "term").where((F.col("c") != F.col("d")) & may).select(F.least("c", "d").alias("c"), F.greatest("c", "d").alias("d"))
+    pairs = stored(met.unionByName(free).distinct(), "met")
+    u, v = vectors.select(F.col("class").alias("c"), "term", F.col("w").alias("wc")), vectors.select(F.col("class").alias("d"), "term", F.col("w").alias("wd"))
+    both = pairs.join(u.hint("merge"), "c").join(v.hint("merge"), ["d", "term"])
+    return both.groupBy("c", "d").agg(F.sum(F.col("wc") * F.col("wd")).alias("cosine")).where(F.col("cosine") >= least - 1e-12)
+
 
 def cosine_pairs(df: DataFrame, least: float = vocab.SIMILAR, most: int = 10_000) -> DataFrame:
     """(a, b, cosine) of rows of similarity ``least`` or more within 48 hours; a row without a time matches any time.
 
-    Vectors are ordered by rising document frequency and indexed only until the rest of their norm is below the
-    threshold, so two similar rows share an indexed term of each other's prefix; survivors are verified on the whole vectors.
+    Classes of equal texts are compared, and their pairs expanded to rows at the end; ``narrative_clusters`` needs no such pairs.
     """
-    vectors = stored(tfidf(df, most), "tfidf")
-    order = W.partitionBy("id").orderBy("df", "term")
-    before = F.coalesce(F.sum(F.col("w") * F.col("w")).over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0))
-    prefix = vectors.withColumn("rest", 1 - before).where(F.col("rest") >= least * least - 1e-9).select("id", "ts", "term")
+    rows, classes = _classes(df)
+    rows = stored(rows.drop("text"), "rows")
+    vectors = stored(tfidf(classes, most), "tfidf")
+    same = vectors.groupBy("class").agg(F.sum(F.col("w") * F.col("w")).alias("cosine")).select(F.col("class").alias("c"), F.col("class").alias("d"), "cosine")
+    similar = stored(similar_classes(rows, vectors, least).unionByName(same), "similar")
     bucket = F.floor(F.col("ts").cast("long") / (HOURS * 3600))
-    left = prefix.withColumn("bucket", F.explode(F.when(F.col("ts").isNotNull(), F.array(bucket - 1, bucket, bucket + 1))))
-    x, y = left.select(F.col("id").alias("a"), F.col("ts").alias("ta"), "term", "bucket"), prefix.where("ts IS NOT NULL").select(F.col("id").alias("b"), F.col("ts").alias("tb"), "term", bucket.alias("bucket"))
-    timed = x.join(y, ["term", "bucket"]).where((F.col("a") < F.col("b")) & _near_in_time("ta", "tb")).select("a", "b")
-    none = prefix.where("ts IS NULL").select(F.col("id").alias("i"), "term")
-    free = none.join(prefix.select(F.col("id").alias("j"), "term"), "term").where("i <> j").select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b"))
-    pairs = timed.unionByName(free).distinct()
-    u, v = vectors.select(F.col("id").alias("a"), "term", F.col("w").alias("wa")), vectors.select(F.col("id").alias("b"), "term", F.col("w").alias("wb"))
-    return pairs.join(u, "a").join(v, ["b", "term"]).groupBy("a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("cosine")).where(F.col("cosine") >= least - 1e-12)
+    a = rows.select(F.col("id").alias("a"), F.col("ts").alias("ta"), F.col("class").alias("c"), bucket.alias("bucket"))
+    b = rows.select(F.col("id").alias("b"), F.col("ts").alias("tb"), F.col("class").alias("d"), bucket.alias("bucket"))
+    left = a.join(similar.hint("merge"), "c")
+    near = left.where("ta IS NOT NULL").withColumn("bucket", F.explode(F.array(F.col("bucket") - 1, "bucket", F.col("bucket") + 1))).join(b.hint("merge"), ["d", "bucket"])
+    free = left.where("ta IS NULL").drop("bucket").join(b.drop("bucket").hint("merge"), "d")
+    free = free.unionByName(left.where("ta IS NOT NULL").drop("bucket").join(b.where("tb IS NULL").drop("bucket").hint("merge"), "d"))
+    pairs = near.where(_near_in_time("ta", "tb")).select("a", "b", "c", "d", "cosine").unionByName(free.select("a", "b", "c", "d", "cosine"))
+    # a pair within a class comes from both sides
+    return pairs.where((F.col("c") != F.col("d")) | (F.col("a") < F.col("b"))).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "cosine")
+
+
+def narrative_clusters(df: DataFrame, least: float = vocab.SIMILAR, most: int = 10_000) -> DataFrame:
+    """(id, narrative_cluster_id): the clusters of ``cosine_pairs`` without their pairs.
+
+    The rows of a class in one cell of 24 hours are one node, as they are all within 48 hours. Nodes of similar classes, or of
+    one class, are linked if their closest rows are; for that the first and last time of each is enough.
+    """
+    rows, classes = _classes(df)
+    cell = F.floor(F.col("ts").cast("long") / (HOURS * 1800))
+    rows = stored(rows.select("id", "class", "ts", F.concat_ws(":", "class", F.coalesce(cell.cast("string"), F.lit("-"))).alias("node"), cell.alias("cell")), "rows")
+    vectors = stored(tfidf(classes, most), "tfidf")
+    known = vectors.select("class").distinct()
+    nodes = rows.groupBy("node", "class", "cell").agg(F.count("*").alias("n"), F.min("ts").cast("long").alias("low"), F.max("ts").cast("long").alias("high")).join(known.hint("merge"), "class", "left_semi")
+    nodes = stored(nodes, "nodes")
+    similar = similar_classes(rows, vectors, least).select("c", "d")
+    u = nodes.select(F.col("class").alias("c"), F.col("node").alias("a"), F.col("cell").alias("ca"), F.col("low").alias("la"), F.col("high").alias("ha"))
+    v = nodes.select(F.col("class").alias("d"), F.col("node").alias("b"), F.col("cell").alias("cb"), F.col("low").alias("lb"), F.col("high").alias("hb"))
+    left = u.join(similar.hint("merge"), "c")
+    gap = F.greatest(F.col("lb") - F.col("ha"), F.col("la") - F.col("hb"))
+    beside = left.where("ca IS NOT NULL").withColumn("cb", F.explode(F.sequence(F.col("ca") - 2, F.col("ca") + 2))).join(v.hint("merge"), ["d", "cb"]).where(gap <= HOURS * 3600)
+    free = left.where("ca IS NULL").join(v.hint("merge"), "d")
+    free = free.select("a", "b").unionByName(left.where("ca IS NOT NULL").join(v.where("cb IS NULL").hint("merge"), "d").select("a", "b"))
+    order = W.partitionBy("class").orderBy("cell")
+    own = nodes.where("cell IS NOT NULL").withColumns({"b": F.lag("node").over(order), "before": F.lag("high").over(order)}).where(F.col("low") - F.col("before") <= HOURS * 3600).select(F.col("node").alias("a"), "b")
+    timeless = nodes.where("cell IS NULL").select("class", F.col("node").alias("a")).join(nodes.where("cell IS NOT NULL").select("class", F.col("node").alias("b")).hint("merge"), "class").select("a", "b")
+    links = beside.select("a", "b").unionByName(free).unionByName(own).unionByName(timeless)
+    found = connected_components(links, "a", "b")
+    alone = nodes.where("n > 1").select("node", F.col("node").alias("component")).join(found.select("node").hint("merge"), "node", "left_anti")
+    members = stored(rows.select("id", "node").join(found.unionByName(alone).hint("merge"), "node").select(F.col("id").alias("node"), "component"), "members")
+    return members.join(cluster_names(members).hint("merge"), "component").select(F.col("node").alias("id"), "narrative_cluster_id")
 
 
 def clusters(pairs: DataFrame) -> DataFrame:

@@ -27,7 +27,7 @@ def _clustered(rows: DataFrame, chosen: Column, reset: bool) -> DataFrame:
         rows = rows.withColumn("duplicate_of", F.lit(None).cast("string"))
     chosen = F.coalesce(chosen, F.lit(False))
     mine = rows.where(chosen).withColumnsRenamed({"duplicate_of": "_of", "narrative_cluster_id": "_cluster"})
-    out = L.decide_clusters(mine.withColumn("narrative_cluster_id", F.lit(None).cast("string")), K.clusters(K.cosine_pairs(mine).select("a", "b")))
+    out = L.decide_clusters(mine.withColumn("narrative_cluster_id", F.lit(None).cast("string")), K.narrative_clusters(mine))
     new = F.when(F.col("status") != "curated", F.col("duplicate_of"))
     cluster = F.col("narrative_cluster_id") if reset else F.coalesce("narrative_cluster_id", "_cluster")
     out = out.withColumns({"duplicate_of": F.coalesce(new, "_of"), "narrative_cluster_id": cluster}).drop("_of", "_cluster")

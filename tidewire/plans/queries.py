@@ -347,12 +347,30 @@ def g20_g21_g22_m05_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 AGE = f"(epoch({NOW}) - epoch(ts)) / 3600"
 BOTH = "(coalesce(trim(summary_pt), '') <> '' AND coalesce(trim(summary_en), '') <> '')"
-PROMINENCE = "0.34 * greatest(0.0, least(1.0, 1 - greatest(" + AGE + ", 0) / 36)) + 0.22 * coalesce(confidence_score, CASE WHEN " + ELIGIBLE + " THEN 0.65 ELSE 0.4 END) + 0.16 * CASE WHEN relevance_score <= 0 AND " + ELIGIBLE + " AND " + BOTH + " THEN 0.65 ELSE relevance_score END + 0.08 * CASE source_category " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in vocab.CATEGORY_WEIGHT.items()) + " ELSE 0.5 END + 0.08 * least(1.0, len(candidates_mentioned) / 3) + 0.06 * least(1.0, len(topics) / 4) + 0.06 * abs(sentiment_score) + CASE WHEN narrative_cluster_id IS NOT NULL THEN 0.04 ELSE 0 END + CASE WHEN edited AND tier = 'editor' AND action = 'validate' THEN 0.03 ELSE 0 END"
+#: Rows with what articles may lack or repeat: scores, known categories and topics, clean names, cluster names.
+ROUGH = """rough AS (SELECT * REPLACE (CASE WHEN ordinal % 7 > 0 THEN prominence_score END AS prominence_score, CASE WHEN ordinal % 9 > 0 THEN sentiment_score END AS sentiment_score,
+  CASE WHEN ordinal % 4 = 0 THEN candidates_mentioned || [' lula ', '', 'lula'] ELSE candidates_mentioned END AS candidates_mentioned, CASE WHEN ordinal % 6 < 2 THEN topics || ['futebol', ' saude'] ELSE topics END AS topics,
+  CASE ordinal % 8 WHEN 0 THEN 'blog' WHEN 1 THEN NULL WHEN 2 THEN 'POLITICS' ELSE source_category END AS source_category, CASE WHEN ordinal % 10 = 1 THEN ' ' ELSE narrative_cluster_id END AS narrative_cluster_id) FROM articles)"""
+CLEAN = "list_distinct(list_filter(list_transform({0}, lambda x: trim(x)), lambda x: x <> ''))"
 
 
-@query(f"SELECT ordinal, greatest(0.0, least(1.0, {places(PROMINENCE)}))::DOUBLE AS prominence, CASE WHEN ordinal % 10 = 0 THEN 0.6::DOUBLE WHEN {BOTH} THEN 1.0::DOUBLE ELSE 0.8::DOUBLE END AS confidence FROM articles", T.ARTICLES)
+def _rough(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, o = T.articles(spark, sf_dir), F.col("ordinal")
+    more = lambda c, cond, *values: F.when(cond, F.concat(c, F.array(*map(F.lit, values)))).otherwise(F.col(c))
+    return a.withColumns({
+        "prominence_score": F.when(o % 7 > 0, F.col("prominence_score")), "sentiment_score": F.when(o % 9 > 0, F.col("sentiment_score")),
+        "candidates_mentioned": more("candidates_mentioned", o % 4 == 0, " lula ", "", "lula"), "topics": more("topics", o % 6 < 2, "futebol", " saude"),
+        "source_category": F.when(o % 8 == 0, "blog").when(o % 8 == 1, None).when(o % 8 == 2, "POLITICS").otherwise(F.col("source_category")),
+        "narrative_cluster_id": F.when(o % 10 == 1, " ").otherwise(F.col("narrative_cluster_id")),
+    })
+
+
+PROMINENCE = "0.34 * greatest(0.0, least(1.0, 1 - greatest(" + AGE + ", 0) / 36)) + 0.22 * coalesce(confidence_score, CASE WHEN " + ELIGIBLE + " THEN 0.65 ELSE 0.4 END) + 0.16 * CASE WHEN relevance_score <= 0 AND " + ELIGIBLE + " AND " + BOTH + " THEN 0.65 ELSE relevance_score END + 0.08 * CASE source_category " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in vocab.CATEGORY_WEIGHT.items()) + " ELSE 0.6 END + 0.08 * least(1.0, len(" + CLEAN.format("candidates_mentioned") + ") / 3) + 0.06 * least(1.0, len(" + CLEAN.format("topics") + ") / 4) + 0.06 * abs(coalesce(sentiment_score, 0)) + CASE WHEN trim(narrative_cluster_id) <> '' THEN 0.04 ELSE 0 END + CASE WHEN edited AND tier = 'editor' AND action = 'validated' THEN 0.03 ELSE 0 END"
+
+
+@query(f"SELECT ordinal, greatest(0.0, least(1.0, {places(PROMINENCE)}))::DOUBLE AS prominence, CASE WHEN ordinal % 10 = 0 THEN 0.6::DOUBLE WHEN {BOTH} THEN 1.0::DOUBLE ELSE 0.8::DOUBLE END AS confidence FROM rough", T.ARTICLES, ROUGH)
 def m03_m04_prominence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = T.articles(spark, sf_dir).withColumn("parse_error", F.col("ordinal") % 10 == 0)
+    rows = _rough(spark, sf_dir).withColumn("parse_error", F.col("ordinal") % 10 == 0)
     return rows.select("ordinal", M.prominence(T.now()).alias("prominence"), M.confidence_ladder("summaries.pt", "summaries.en").alias("confidence"))
 
 
@@ -361,10 +379,10 @@ def m03_m04_prominence(spark: SparkSession, sf_dir: str) -> DataFrame:
 SCORES = f"""cells AS (SELECT a.*, c.candidate, c.score FROM (SELECT *, unnest(CASE WHEN len(stored_scores) > 0 THEN stored_scores ELSE label_scores END) AS c FROM articles WHERE {ELIGIBLE}) a)"""
 
 
-@query(f"""@t AS (SELECT candidate, score, unnest(CASE WHEN len(topics) > 0 THEN topics ELSE ['eleicoes'] END) AS topic FROM cells)
-SELECT candidate, topic, {places("avg(score)")} AS avg_score, count(*)::BIGINT AS n FROM t GROUP BY ALL""", T.ARTICLES, SCORES)
+@query(f"""@t AS (SELECT candidate, score, unnest(CASE WHEN len(k) > 0 THEN k ELSE ['eleicoes'] END) AS topic FROM (SELECT *, list_filter(topics, lambda x: list_contains({lst(vocab.TOPICS)}, x)) AS k FROM cells))
+SELECT candidate, topic, {places("avg(score)")} AS avg_score, count(*)::BIGINT AS n FROM t GROUP BY ALL""", T.ARTICLES, ROUGH, SCORES.replace("FROM articles", "FROM rough"))
 def a01_a03_sentiment_by_topic(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return V.sentiment_in_range(A.sentiment_by_topic(T.articles(spark, sf_dir)))
+    return V.sentiment_in_range(A.sentiment_by_topic(_rough(spark, sf_dir)))
 
 
 @query(f"""SELECT candidate, CASE WHEN source_category = 'social' THEN 'mainstream' ELSE source_category END AS category, {places("avg(score)")} AS avg_score, count(*)::BIGINT AS n FROM cells GROUP BY ALL""", T.ARTICLES, SCORES)
@@ -385,30 +403,30 @@ def a05_article_sentiment(spark: SparkSession, sf_dir: str) -> DataFrame:
 WEEK = f"{ELIGIBLE} AND ts >= {NOW} - INTERVAL 7 DAY"
 
 
-@query(f"""SELECT topic, count(*)::BIGINT AS n, {places("avg(prominence_score)")} AS avg_prominence, min(ordinal) AS first_seen FROM (SELECT *, unnest(topics) AS topic FROM articles WHERE {WEEK}) GROUP BY topic ORDER BY n DESC, first_seen, topic LIMIT 10""", T.ARTICLES)
+@query(f"""SELECT topic, count(*)::BIGINT AS n, {places("avg(coalesce(prominence_score, 0))")} AS avg_prominence, min(ordinal) AS first_seen FROM (SELECT *, unnest({CLEAN.format("topics")}) AS topic FROM rough WHERE {WEEK}) GROUP BY topic ORDER BY n DESC, first_seen, topic LIMIT 10""", T.ARTICLES, ROUGH)
 def a06_trending_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return A.trending_topics(T.articles(spark, sf_dir), T.now())
+    return A.trending_topics(_rough(spark, sf_dir), T.now())
 
 
 HIGHLIGHTS = f"""highlights AS (SELECT *, CASE WHEN n_recent > 0 AND n_recent > 1.25 * (n - n_recent) / 6.0 THEN 'rising' WHEN n - n_recent > 0 AND n_recent < 0.75 * (n - n_recent) / 6.0 THEN 'falling' ELSE 'stable' END AS trend FROM (
-  SELECT candidate, count(*)::BIGINT AS n, {places("avg(prominence_score)")} AS avg_prominence, {places("avg(sentiment_score)")} AS avg_sentiment, count_if(ts >= {NOW} - INTERVAL 1 DAY)::BIGINT AS n_recent
-  FROM (SELECT *, unnest(candidates_mentioned) AS candidate FROM articles WHERE {WEEK}) GROUP BY candidate))"""
+  SELECT candidate, count(*)::BIGINT AS n, {places("avg(coalesce(prominence_score, 0))")} AS avg_prominence, {places("avg(coalesce(sentiment_score, 0))")} AS avg_sentiment, count_if(ts >= {NOW} - INTERVAL 1 DAY)::BIGINT AS n_recent
+  FROM (SELECT *, unnest({CLEAN.format("candidates_mentioned")}) AS candidate FROM rough WHERE {WEEK}) GROUP BY candidate))"""
 
 
-@query("SELECT * FROM highlights", T.ARTICLES, HIGHLIGHTS)
+@query("SELECT * FROM highlights", T.ARTICLES, ROUGH, HIGHLIGHTS)
 def a07_t03_candidate_highlights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return A.candidate_highlights(T.articles(spark, sf_dir), T.now())
+    return A.candidate_highlights(_rough(spark, sf_dir), T.now())
 
 
-ORDER = "status = 'curated' DESC, prominence_score DESC, ts DESC, ordinal"
+ORDER = "status = 'curated' DESC, coalesce(prominence_score, 0) DESC, ts DESC, ordinal"
 
 
-@query(f"""@t AS (SELECT topic, count(*) AS n, min(ordinal) AS f FROM (SELECT *, unnest(topics) AS topic FROM articles WHERE {WEEK}) GROUP BY topic ORDER BY n DESC, f, topic LIMIT 10),
-b AS (SELECT ordinal FROM articles WHERE {WEEK} ORDER BY {ORDER} LIMIT 10)
-SELECT (SELECT count(*) FROM articles WHERE {WEEK})::BIGINT AS article_count, (SELECT string_agg(topic, ',' ORDER BY n DESC, f, topic) FROM t) AS topics,
-  (SELECT string_agg(candidate || ':' || n || ':' || trend, ',' ORDER BY candidate) FROM highlights) AS candidates, (SELECT string_agg(ordinal::VARCHAR, ',' ORDER BY ordinal) FROM b) AS top_articles""", T.ARTICLES, HIGHLIGHTS)
+@query(f"""@t AS (SELECT topic, count(*) AS n, min(ordinal) AS f FROM (SELECT *, unnest({CLEAN.format("topics")}) AS topic FROM rough WHERE {WEEK}) GROUP BY topic ORDER BY n DESC, f, topic LIMIT 10),
+b AS (SELECT ordinal FROM rough WHERE {WEEK} ORDER BY {ORDER} LIMIT 10)
+SELECT (SELECT count(*) FROM rough WHERE {WEEK})::BIGINT AS article_count, (SELECT string_agg(topic, ',' ORDER BY n DESC, f, topic) FROM t) AS topics,
+  (SELECT string_agg(candidate || ':' || n || ':' || trend, ',' ORDER BY candidate) FROM highlights) AS candidates, (SELECT string_agg(ordinal::VARCHAR, ',' ORDER BY ordinal) FROM b) AS top_articles""", T.ARTICLES, ROUGH, HIGHLIGHTS)
 def a08_w03_weekly_briefing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = A.weekly_briefing(T.articles(spark, sf_dir), T.now())
+    out = A.weekly_briefing(_rough(spark, sf_dir), T.now())
     people = F.array_join(F.transform("candidates", lambda c: F.concat_ws(":", c.candidate, c.n.cast("string"), c.trend)), ",")
     return out.select("article_count", F.array_join("topics", ",").alias("topics"), people.alias("candidates"), F.array_join(F.transform("top_articles", lambda x: x.cast("string")), ",").alias("top_articles"))
 
@@ -506,7 +524,7 @@ def a19_k06_cleanup_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.cleanup_summary(rows.join(dup, "ordinal"))
 
 
-TIER = f"CASE WHEN ts >= {NOW} - INTERVAL 1 DAY OR (status = 'curated' AND ts >= {NOW} - INTERVAL 2 DAY) THEN 'hot' WHEN ts >= {NOW} - INTERVAL 3 DAY THEN 'warm' ELSE 'cold' END"
+TIER = f"CASE WHEN published_at IS NULL OR published_at >= {NOW} - INTERVAL 1 DAY OR (status = 'curated' AND published_at >= {NOW} - INTERVAL 2 DAY) THEN 'hot' WHEN published_at >= {NOW} - INTERVAL 3 DAY THEN 'warm' ELSE 'cold' END"
 
 
 @query(f"SELECT keep AS tier, count(*)::BIGINT AS n, sum(CASE WHEN keep = 'hot' THEN 0 ELSE strlen(content) END)::BIGINT AS bytes_saved FROM (SELECT *, {TIER} AS keep FROM articles) GROUP BY keep", T.ARTICLES)
@@ -514,7 +532,7 @@ def a20_u05_archive_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.archive_summary(T.articles(spark, sf_dir).withColumn("tier", L.retention_tier(T.now(), 1, 2, 3)))
 
 
-@query(f"""SELECT ordinal, keep AS tier, CASE WHEN keep = 'hot' THEN length(content) END::INTEGER AS n, CASE WHEN keep = 'cold' THEN strftime(ts, '%Y-%m') END AS archive_month FROM (SELECT *, CASE WHEN ts >= {NOW} - INTERVAL 7 DAY OR (status = 'curated' AND ts >= {NOW} - INTERVAL 14 DAY) THEN 'hot' WHEN ts >= {NOW} - INTERVAL 30 DAY THEN 'warm' ELSE 'cold' END AS keep FROM articles)""", T.ARTICLES)
+@query(f"""SELECT ordinal, keep AS tier, CASE WHEN keep = 'hot' THEN length(content) END::INTEGER AS n, CASE WHEN keep = 'cold' THEN strftime(published_at, '%Y-%m') END AS archive_month FROM (SELECT *, CASE WHEN published_at IS NULL OR published_at >= {NOW} - INTERVAL 7 DAY OR (status = 'curated' AND published_at >= {NOW} - INTERVAL 14 DAY) THEN 'hot' WHEN published_at >= {NOW} - INTERVAL 30 DAY THEN 'warm' ELSE 'cold' END AS keep FROM articles)""", T.ARTICLES)
 def u06_s16_retention(spark: SparkSession, sf_dir: str) -> DataFrame:
     stay, cold = L.apply_retention(T.articles(spark, sf_dir).drop("tier"), T.now())
     month = F.lit(None).cast("string").alias("archive_month")
@@ -719,7 +737,7 @@ SELECT e.candidate, e.topic, e.ordinal FROM e JOIN n USING (candidate, topic) WH
 def j12_u14_source_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = T.articles(spark, sf_dir)
     grid = Z.position_grid(a.select(F.explode("topics").alias("topic")).distinct(), a.select(F.explode("candidates_mentioned").alias("candidate")).distinct())
-    ranked = Z.evidence(a, grid).join(a.select("ordinal", F.col("title").alias("description")), "ordinal").select("candidate", "topic", "rank", "ordinal", "description")
+    ranked = Z.evidence(a, grid).join(a.select("ordinal", F.col("title").alias("description")).hint("merge"), "ordinal").select("candidate", "topic", "rank", "ordinal", "description")
     picks = ranked.select("candidate", "topic").distinct().withColumn("indices", F.array(F.lit(3), F.lit(99)))
     return Z.lookup_sources(picks, ranked).select("candidate", "topic", "ordinal")
 
@@ -741,7 +759,7 @@ def _said(table, lead: str) -> str:  # noqa: ANN001
 
 @query(f"""WITH_RECURSIVE @k AS (SELECT topic, candidate, weight, stance, position_type, row_number() OVER (PARTITION BY topic ORDER BY candidate) AS k, lower(replace(topic, '_', ' ')) AS label FROM weighted WHERE known),
 t AS (
-  SELECT topic, k, o, {lst(vocab.INTROS)}[i] || {_said(vocab.STANCE_PT, " o governo ")} || ' em ' || replace(topic, '_', ' ') || ', {vocab.ENDING_PT}' AS pt, {lst(vocab.INTROS_EN)}[i] || {_said(vocab.STANCE_EN, " ")} || ' on ' || replace(topic, '_', ' ') || ', {vocab.ENDING_EN}' AS en
+  SELECT topic, k, o, {lst(vocab.INTROS)}[i] || {_said(vocab.STANCE_PT, " o governo ")} || ' em ' || label || ', {vocab.ENDING_PT}' AS pt, {lst(vocab.INTROS_EN)}[i] || {_said(vocab.STANCE_EN, " ")} || ' on ' || replace(topic, '_', ' ') || ', {vocab.ENDING_EN}' AS en
   FROM (SELECT *, unnest(range(16, 40)) AS o FROM k) x, LATERAL (SELECT ('0x' || substr(sha256(topic || ':' || candidate || ':' || stance || ':' || o), 1, 8))::BIGINT % 4 + 1 AS i)),
 c AS (SELECT topic, k, list(struct_pack(pt := pt, en := en) ORDER BY o) AS texts FROM t GROUP BY topic, k),
 r(topic, k, used, picked) AS (
@@ -800,7 +818,7 @@ def k01_j04_cosine_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 c AS (SELECT x AS id, min(y) AS root FROM r GROUP BY x), m AS (SELECT root, 'cluster_' || substr(sha256(string_agg(id, '' ORDER BY id)), 1, 8) AS narrative_cluster_id FROM c GROUP BY root)
 SELECT id, narrative_cluster_id FROM c JOIN m USING (root)""", T.ARTICLES, TFIDF)
 def k02_k05_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return K.clusters(K.cosine_pairs(T.articles(spark, sf_dir)).select("a", "b"))
+    return K.narrative_clusters(T.articles(spark, sf_dir))
 
 
 NARRATIVE = f"""{TFIDF.replace("FROM articles", "FROM mine")},
@@ -865,7 +883,8 @@ def s04_s05_s06_feed_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""SELECT source AS name, 'https://' || source AS url, len(list_filter(list_transform(c, lambda x: trim(x)), lambda x: x <> ''))::INTEGER AS n FROM (SELECT source, bool_or(ordinal % 3 = 0) AS active, list_concat([' '], list_sort(list_distinct(flatten(list(candidates_mentioned))))) AS c FROM articles GROUP BY source) WHERE active AND len(c) > 1""", T.ARTICLES)
 def s03_active_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = T.articles(spark, sf_dir).groupBy("source").agg(F.bool_or(F.col("ordinal") % 3 == 0).alias("active"), F.array_distinct(F.flatten(F.collect_list("candidates_mentioned"))).alias("c"))
+    a = T.articles(spark, sf_dir).select("source", F.explode_outer("candidates_mentioned").alias("candidate"), (F.col("ordinal") % 3 == 0).alias("active"))
+    rows = a.groupBy("source").agg(F.bool_or("active").alias("active"), F.collect_set("candidate").alias("c"))
     sources = rows.select(F.lit("party").alias("kind"), F.col("source").alias("name"), F.concat(F.lit("https://"), "source").alias("url"), F.lit("").alias("category"), F.array_prepend("c", F.lit(" ")).alias("candidate_slugs"), "active")
     return S.active_sources(sources, "party").select("name", "url", F.size("candidate_slugs").alias("n"))
 
@@ -889,7 +908,7 @@ def s01_s02_s14_envelopes(spark: SparkSession, sf_dir: str) -> DataFrame:
 ARCHIVED = "2024-02-03 00:00:00"
 
 
-@query(f"""SELECT ordinal, id, strftime(ts, '%Y-%m') AS archive_month FROM articles WHERE NOT (ts >= TIMESTAMP '{ARCHIVED}' - INTERVAL 30 DAY)""", T.ARTICLES)
+@query(f"""SELECT ordinal, id, strftime(published_at, '%Y-%m') AS archive_month FROM articles WHERE NOT (published_at >= TIMESTAMP '{ARCHIVED}' - INTERVAL 30 DAY)""", T.ARTICLES)
 def s16_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cold rows appended to month partitions: a part of them first, then all, of which only those not there yet are added."""
     import uuid
@@ -1104,7 +1123,7 @@ def t03_mention_trends(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = a.select("ordinal", F.explode("candidates_mentioned").alias("candidate"), "published_at")
     part = F.least(F.floor(F.col("ordinal") * 3 / F.lit(last + 1)), F.lit(2))
     out = _arriving(spark, rows, [part == k for k in range(3)], lambda s, out, check: mention_trends(s, out, "candidate", "published_at", check, late_hours=0))
-    return spark.read.schema("key string, day date, n long, n_recent long, trend string").parquet(f"{out}/trends")
+    return spark.read.schema("key string, day date, n long, n_recent long, trend string").parquet(f"{out}/trends").drop("step")
 
 
 @query(f"""@e AS (SELECT *, ts >= (SELECT max(ts) FROM articles) - INTERVAL 24 HOUR AS fresh FROM articles WHERE {ELIGIBLE})

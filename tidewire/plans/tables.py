@@ -35,7 +35,7 @@ def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     minutes = lambda e: F.lit(START).cast("timestamp") + F.expr(f"make_dt_interval(0, 0, {e})")
     line = lambda n: F.nullif(F.trim(F.split_part("content", F.lit("\n"), F.lit(n))), F.lit(""))
     d = d.withColumns({"topics": found(TOPIC_WORDS), "candidates_mentioned": found(CANDIDATE_WORDS)})
-    entry = "named_struct('tier', IF(ordinal % 2 = 0, 'editor', 'curator'), 'at', '2024-01-01T00:00:00Z', 'provider', source, 'action', IF(ordinal % 3 = 0, 'validate', 'promote'), 'changes', IF(ordinal % 4 = 0, array('status', 'title'), array('title')))"
+    entry = "named_struct('tier', IF(ordinal % 2 = 0, 'editor', 'curator'), 'at', '2024-01-01T00:00:00Z', 'provider', source, 'action', IF(ordinal % 3 = 0, 'validated', 'promote'), 'changes', IF(ordinal % 4 = 0, array('status', 'title'), array('title')))"
     return d.select(
         "ordinal", F.substring(F.sha2(F.col("ordinal").cast("string"), 256), 1, 16).alias("id"),
         F.concat(F.lit("https://"), "source", F.lit(".example.org/"), F.col("ordinal").cast("string")).alias("url"),
@@ -75,7 +75,7 @@ articles AS (
     CASE WHEN ordinal % 13 <> 0 THEN (ordinal % 11) / 10.0::DOUBLE END AS confidence_score, ((ordinal % 21) - 10) / 10.0::DOUBLE AS sentiment_score,
     (ordinal % 10) / 10.0::DOUBLE AS relevance_score, ((ordinal * 37) % 100) / 100.0::DOUBLE AS prominence_score,
     CASE WHEN ordinal % 6 = 0 THEN 'c' || (ordinal // 12) END AS narrative_cluster_id,
-    ordinal % 5 = 0 AS edited, CASE WHEN ordinal % 2 = 0 THEN 'editor' ELSE 'curator' END AS tier, CASE WHEN ordinal % 3 = 0 THEN 'validate' ELSE 'promote' END AS action,
+    ordinal % 5 = 0 AS edited, CASE WHEN ordinal % 2 = 0 THEN 'editor' ELSE 'curator' END AS tier, CASE WHEN ordinal % 3 = 0 THEN 'validated' ELSE 'promote' END AS action,
     coalesce(CASE WHEN ordinal % 97 <> 0 THEN TIMESTAMP '{START}' + to_minutes(ordinal * 7) END, TIMESTAMP '{START}' + to_minutes(ordinal * 7 + 5)) AS ts
   FROM base)"""
 

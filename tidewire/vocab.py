@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import unicodedata
 
-# ---- Fixed values: keyword sets of the relevance gates ----
+# ---- Fixed values: keyword sets of the relevance gates; they are sets, so their order, the alphabet, means nothing ----
 HIGH_SIGNAL = ("2026", "campanha eleitoral", "candidato", "candidatos", "candidatura", "debate presidencial", "eleicao", "eleicoes", "eleitor", "eleitoral", "eleitores", "intencao de voto", "pesquisa de voto", "pesquisa eleitoral", "plano de governo", "pre candidato", "pre-candidato", "presidencia", "presidencial", "primeiro turno", "reeleicao", "reeleito", "segundo turno", "terceira via", "tse", "turno", "urna", "urnas", "votacao", "voto", "votos")
 CANDIDATE_WORDS = ("aldo rebelo", "bolsonaro", "caiado", "eduardo leite", "flavio bolsonaro", "lula", "ratinho jr", "renan santos", "tarcisio", "zema")
 CONTEXT = ("brasil", "brasileira", "brasileiro", "brasilia", "camara dos deputados", "governo federal", "palacio do planalto", "planalto", "senado federal", "stf", "supremo", "tse")
@@ -43,6 +43,9 @@ INTROS = ("Defendo que", "Acredito que", "Entendo que", "Na minha visão,")
 CATEGORIES = ("mainstream", "politics", "magazine", "party", "institutional", "international", "social")
 CATEGORY_ORDER = {"politics": 1, "mainstream": 2, "magazine": 3, "institutional": 4, "international": 5, "party": 6, "social": 7}
 CATEGORY_WEIGHT = {"politics": 0.95, "mainstream": 0.8, "magazine": 0.7, "international": 0.65, "institutional": 0.6, "party": 0.55, "social": 0.5}
+#: What a source of no known category weighs.
+OTHER_CATEGORY_WEIGHT = 0.6
+TOPICS = ("economia", "seguranca", "saude", "educacao", "meio_ambiente", "corrupcao", "armas", "privatizacao", "previdencia", "politica_externa", "lgbtq", "aborto", "indigenas", "impostos", "midia", "eleicoes")
 STATUSES = ("raw", "validated", "curated", "irrelevant")
 LABELS = {"positivo": 1.0, "neutro": 0.0, "negativo": -1.0}
 STANCES = {"strongly_favor": 3, "favor": 2, "neutral": 0, "against": -2, "strongly_against": -3}
