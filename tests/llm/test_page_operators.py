@@ -159,3 +159,18 @@ def test_trees_align():
     assert H.align("a ( b c ( d ) e )", "a ( c ( d ) e f )") == [0, -1, 1, 2, 3]
     assert H.parse("<div>" * 3000 + "x")[1] == [(-1, True, "x")]
     assert H.parse("<a title='x>y")[1]
+
+
+def test_runs_of_false_marks_take_linear_time():
+    import time
+
+    import tidewire.llm.warc as A
+
+    one = A.record([("WARC-Type", "response")], b"body")
+    for junk in (b"WARC/1.", b"WARC/1.1\r\n", b"WARC/1.1\r\nx: WARC/1.0\r\n", b"\x1f\x8b\x08", b"WARC/1.1\r\nContent-Length: x\r\n\r\n"):
+        for wrap in (lambda d: d, A.member):
+            data = wrap(junk * (320_000 // len(junk)) + one)
+            began = time.perf_counter()
+            found = [r for r in A.salvage(data) if r[3]]
+            assert [r[4] for r in found] == [b"body"], junk
+            assert time.perf_counter() - began < 8, junk

@@ -89,6 +89,31 @@ def write_archives(decided: DataFrame) -> DataFrame:
     return decided.select("key", "url", "payload", "digest", "size", "refers_to").mapInArrow(run, "archive string, data binary")
 
 
+#: A header is no longer than this; what goes on without its end is none.
+HEADER = 1 << 16
+
+
+def _member(data: bytes, at: int) -> bool:
+    """Whether a gzip member may begin at ``at``: its header ends within ``HEADER`` bytes, or the data before it does."""
+    if data[at : at + 2] != b"\x1f\x8b":
+        return False
+    head = data[at : at + 12]
+    if len(head) < 12:
+        return True
+    flags, stop = head[3], at + 10
+    if head[2] != 8 or flags & 0xE0:
+        return False
+    if flags & 4:
+        stop += 2 + int.from_bytes(head[10:12], "little")
+    for text in (8, 16):
+        if flags & text:
+            end = data.find(b"\0", stop, at + HEADER)
+            if end < 0:
+                return at + HEADER > len(data)
+            stop = end + 1
+    return stop <= at + HEADER
+
+
 def _inflate(data: memoryview, start: int) -> tuple[bytes, int, str | None]:
     """(content, end, reason) of the gzip member at ``start``; with a reason, what could be inflated before the error."""
     z, out, at = zlib.decompressobj(31), [], start
@@ -113,11 +138,26 @@ def _inflate(data: memoryview, start: int) -> tuple[bytes, int, str | None]:
     return b"".join(out), at - len(z.unused_data), None
 
 
-def _parse(data: bytes, start: int) -> tuple[dict[str, str], bytes, int]:
+class _Next:
+    """The next place of a mark from a place on, the end if there is none; asked for rising places, it reads the data once."""
+
+    def __init__(self, data: bytes, mark: bytes):
+        self.data, self.mark, self.at = data, mark, -1
+
+    def __call__(self, start: int) -> int:
+        if self.at < start and self.at < len(self.data):
+            found = self.data.find(self.mark, start)
+            self.at = found if found >= 0 else len(self.data)
+        return self.at
+
+
+def _parse(data: bytes, start: int, blank: _Next) -> tuple[dict[str, str], bytes, int]:
     """(fields, block, end) of the record at ``start``; raises if a check fails."""
-    stop = data.find(b"\r\n\r\n", start)
-    if not re.match(rb"WARC/1\.\d\r\n", data[start : start + 10]) or stop < 0:
+    if not re.match(rb"WARC/1\.\d\r\n", data[start : start + 10]):
         raise ValueError("no version line")
+    stop = blank(start)
+    if stop >= len(data) or stop - start > HEADER:
+        raise ValueError("no end of the header")
     fields = {}
     for line in data[start:stop].split(b"\r\n")[1:]:
         k, _, v = line.partition(b":")
@@ -137,10 +177,11 @@ def _parse(data: bytes, start: int) -> tuple[dict[str, str], bytes, int]:
 def _inside(content: bytes, reason: str | None) -> list[tuple[str | None, dict[str, str] | None, bytes | None]]:
     """``(reason, fields, block)`` of all records and gaps of a member's content, in order."""
     found, inner, bad = [], 0, False
+    blank, version = _Next(content, b"\r\n\r\n"), _Next(content, b"WARC/1.")
     checked = bool(reason) and "incorrect" in reason and "check" in reason
     while inner < len(content):
         try:
-            fields, block, stop = _parse(content, inner)
+            fields, block, stop = _parse(content, inner, blank)
             if checked and (inner == 0 and stop == len(content) or not fields.get("warc-block-digest", "").startswith("sha1:")):
                 raise ValueError(reason)
             found.append((None, fields, block))
@@ -149,18 +190,18 @@ def _inside(content: bytes, reason: str | None) -> list[tuple[str | None, dict[s
             if not bad:
                 found.append((str(e)[:80], None, None))
                 bad = True
-            at = content.find(b"WARC/1.", inner + 1)
-            inner = at if at >= 0 else len(content)
+            inner = version(inner + 1)
     return found
 
 
 def salvage(data: bytes) -> Iterator[tuple[int, int, str | None, dict[str, str] | None, bytes | None]]:
     """``(start, stop, reason, fields, block)`` of all records and gaps of one archive, in order; a gap has a reason."""
     view, at, gap, why = memoryview(data), 0, -1, ""
+    blank, version, zipped = _Next(data, b"\r\n\r\n"), _Next(data, b"WARC/1."), _Next(data, b"\x1f\x8b\x08")
     while at < len(data):
         found, broken = [], None
         try:
-            if data[at : at + 2] == b"\x1f\x8b":
+            if _member(data, at):
                 content, stop, broken = _inflate(view, at)
                 inside = _inside(content, broken)
                 if broken and inside and inside[-1][0]:
@@ -169,7 +210,7 @@ def salvage(data: bytes) -> Iterator[tuple[int, int, str | None, dict[str, str]
                     raise ValueError(broken or inside[0][0])
                 found = [(at, stop, *x) for x in inside]
             else:
-                fields, block, stop = _parse(data, at)
+                fields, block, stop = _parse(data, at, blank)
                 found = [(at, stop, None, fields, block)]
         except ValueError as e:
             broken = str(e)[:80]
@@ -180,8 +221,7 @@ def salvage(data: bytes) -> Iterator[tuple[int, int, str | None, dict[str, str]
         if broken:
             if gap < 0:
                 gap, why = at, broken
-            nexts = [x for x in (data.find(b"\x1f\x8b\x08", at + 1), data.find(b"WARC/1.", at + 1)) if x >= 0]
-            at = min(nexts) if nexts else len(data)
+            at = min(zipped(at + 1), version(at + 1))
             continue
         at = stop
     if gap >= 0:
