@@ -174,3 +174,13 @@ def test_runs_of_false_marks_take_linear_time():
             found = [r for r in A.salvage(data) if r[3]]
             assert [r[4] for r in found] == [b"body"], junk
             assert time.perf_counter() - began < 8, junk
+
+
+def test_lines_that_articles_repeat_stay(spark):
+    page = "<div class='top'>Fixed words</div><article><h1>Title {0}</h1><p>By our staff</p><p>Body of {0}</p><p>Sources agree on this point.</p></article>"
+    rows = [(i, f"http://h.org/{i}", page.format(i)) for i in range(7)] + [(9, "http://h.org/9", page.format(3)), (9, "http://h.org/9", page.format(3))]
+    rows.append((10, "http://h.org/10", page.format("long " * 50_000)))
+    got = texts(spark, rows)
+    for i in range(7):
+        assert got[i] == f"Title {i}\nBy our staff\nBody of {i}\nSources agree on this point."
+    assert got[9] == got[3] and len(got[10]) > 500_000
