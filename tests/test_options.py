@@ -28,7 +28,8 @@ def failed(spark, texts):
 
 def template(topic, candidate, stance, offset, label_pt, label_en):
     k = int(hashlib.sha256(f"{topic}:{candidate}:{stance}:{offset}".encode()).hexdigest()[:8], 16) % 4
-    return (f"{vocab.INTROS[k]} o governo {vocab.STANCE_PT[stance]} em {label_pt.lower()}, {vocab.ENDING_PT}", f"{vocab.INTROS_EN[k]} {vocab.STANCE_EN[stance]} on {label_en.lower()}, {vocab.ENDING_EN}")
+    named = lambda label: (label or "").lower() or topic.replace("_", " ")
+    return (f"{vocab.INTROS[k]} o governo {vocab.STANCE_PT[stance]} em {named(label_pt)}, {vocab.ENDING_PT}", f"{vocab.INTROS_EN[k]} {vocab.STANCE_EN[stance]} on {named(label_en)}, {vocab.ENDING_EN}")
 
 
 def brute(spark, positions, generated):
@@ -77,6 +78,17 @@ def test_assembly_matches_one_option_after_the_other(spark, seed):
     assert got == brute(spark, positions, [])
 
 
+def test_registered_query_matches_one_option_after_the_other(spark):
+    from tidewire.plans import queries as Q
+
+    sf = "/root/testdata/sf0.001"
+    rows = Q._sourced_positions(spark, sf).collect()
+    positions = [(r.topic, r.candidate, r.position_type, r.stance, None, None, None, [tuple(x) for x in r.sources] if r.sources else None, None, None) for r in rows]
+    generated = [tuple(r[c] for c in ("topic", "place", "mapped_position", "text_pt", "text_en", "stance", "weight")) for r in Q._generated(spark, sf).collect()]
+    got = {(x.topic, x.option_id): (x.candidate, x.weight, x.text_pt, x.text_en, x.confidence, x.source_url, x.source_pt) for x in Q.m06_generated_options(spark, sf).collect()}
+    assert got == brute(spark, positions, generated) and len(got) > 20
+
+
 def test_hints_and_texts(spark):
     assert value(spark, O.summary_hint("s"), s="Prioriza expansão do ensino técnico. E mais.") == "Prioriza expansão do ensino técnico"
     assert value(spark, O.summary_hint("s"), s="Muito curto. Segunda frase com palavras suficientes aqui") is None

@@ -210,3 +210,25 @@ def title_pairs(df: DataFrame, jaccard: float = vocab.JACCARD, long: int = 20) -
     free_a = met.where("tb IS NOT NULL").join(a.where("ta IS NULL").drop("ka").hint("merge"), "x")
     cols = ["a", "b", "pa", "pb"]
     return timed.where("pa < pb").select(cols).unionByName(free_b.where("pa < pb").select(cols)).unionByName(free_a.where("pa < pb").select(cols))
+
+
+def first_wins(pairs: DataFrame) -> DataFrame:
+    """(node, kept_by): rows that an earlier kept row matches, in ingest order, with the earliest such row, from any pairs.
+
+    For near-duplicate titles ``operators.first_wins`` needs no pairs.
+
+    Rounds: a row whose earlier neighbours are all decided decides; each round is two joins on the row, and only the
+    number of open rows reaches the driver.
+    """
+    edges = cut(pairs.select("pa", "pb").distinct())
+    nodes = cut(edges.select(F.explode(F.array("pa", "pb")).alias("node")).distinct().select("node", F.lit(None).cast("boolean").alias("kept")))
+    while True:
+        state = edges.join(nodes.select(F.col("node").alias("pa"), F.col("kept").alias("ka")).hint("merge"), "pa").groupBy("pb").agg(F.bool_or("ka").alias("hit"), F.count_if(F.col("ka").isNull()).alias("open"))
+        met = nodes.join(state.select(F.col("pb").alias("node"), "hit", "open").hint("merge"), "node", "left")
+        new = F.when(F.col("kept").isNotNull(), F.col("kept")).when(F.col("hit"), False).when(F.coalesce("open", F.lit(0)) == 0, True)
+        nodes = cut(met.select("node", new.alias("kept")))
+        if not nodes.where("kept IS NULL").limit(1).count():
+            break
+    kept = nodes.where("kept").select(F.col("node").alias("pa"))
+    gone = nodes.where("NOT kept").select(F.col("node").alias("pb"))
+    return edges.join(kept.hint("merge"), "pa").join(gone.hint("merge"), "pb").groupBy("pb").agg(F.min("pa").alias("kept_by")).withColumnRenamed("pb", "node")

@@ -787,13 +787,16 @@ def _generated(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.top_per_group(rows, ["topic"], [F.col("place")], 12).drop("rank")
 
 
-@query()
-def m06_generated_options(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Options from generated texts and, where they fail, templates with hints; tested against one option after the other."""
+def _sourced_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     entry = F.struct(F.col("p_name").alias("description_pt"), F.lit("").alias("description_en"), F.concat(F.lit("https://example.org/"), "p_partkey").alias("url"), F.lit(None).cast("string").alias("date"))
     parts = T.table(spark, sf_dir, "part").select("p_partkey", "p_name")
-    positions = T.positions(spark, sf_dir).join(parts, "p_partkey").withColumn("sources", F.when(F.col("p_partkey") % 3 > 0, F.array(entry)))
-    return O.assemble(positions, _generated(spark, sf_dir)).drop("n_options")
+    return T.positions(spark, sf_dir).join(parts, "p_partkey").withColumn("sources", F.when(F.col("p_partkey") % 3 > 0, F.array(entry)))
+
+
+@query()
+def m06_generated_options(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Options from generated texts and, where they fail, templates; tested against one option after the other."""
+    return O.assemble(_sourced_positions(spark, sf_dir), _generated(spark, sf_dir)).drop("n_options")
 
 
 # ---- similarity ----
