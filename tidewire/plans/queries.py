@@ -1120,13 +1120,14 @@ SELECT key, day, n::BIGINT AS n, n_recent::BIGINT AS n_recent, CASE WHEN n_recen
 def t03_mention_trends(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mentions in three batches by time; each day's trend when the day is final."""
     from tidewire.streaming.jobs import mention_trends
+    from tidewire.streaming.steps import held
 
     a = T.articles(spark, sf_dir)
     last = a.agg(F.max("ordinal")).first()[0] or 0
     rows = a.select("ordinal", F.explode("candidates_mentioned").alias("candidate"), "published_at")
     part = F.least(F.floor(F.col("ordinal") * 3 / F.lit(last + 1)), F.lit(2))
     out = _arriving(spark, rows, [part == k for k in range(3)], lambda s, out, check: mention_trends(s, out, "candidate", "published_at", check, late_hours=0))
-    return spark.read.schema("key string, day date, n long, n_recent long, trend string").parquet(f"{out}/trends").drop("step")
+    return held(spark, f"{out}/trends", "key string, day date, n long, n_recent long, trend string, step long").drop("step")
 
 
 @query(f"""@e AS (SELECT *, ts >= (SELECT max(ts) FROM articles) - INTERVAL 24 HOUR AS fresh FROM articles WHERE {ELIGIBLE})
