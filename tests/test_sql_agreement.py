@@ -20,7 +20,7 @@ def both(spark, name, path, table, rows, columns):
 CUT = ("&amp", "a &lt", "&gt;&quot", "it&#x27;s &#x27", "&#x27", "x &amp;amp; &amp;lt &am &a &", "&amp;&amp")
 
 
-@pytest.mark.parametrize("name", ["s07_s08_main_text"])
+@pytest.mark.parametrize("name", ["s07_s08_main_text", "s09_s10_party_links"])
 def test_references_cut_before_their_semicolon(spark, tmp_path, name):
     text = "palavra " * 20
     rows = [(k, f"https://h.example.org/{k}", f"<html><head><title>T</title></head><body><article><h1>Um {x}</h1><p>{text}{x}</p></article></body></html>") for k, x in enumerate(CUT, 1)]
