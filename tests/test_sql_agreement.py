@@ -26,3 +26,11 @@ def test_references_cut_before_their_semicolon(spark, tmp_path, name):
     rows = [(k, f"https://h.example.org/{k}", f"<html><head><title>T</title></head><body><article><h1>Um {x}</h1><p>{text}{x}</p></article></body></html>") for k, x in enumerate(CUT, 1)]
     got, expected = both(spark, name, tmp_path, "pages", rows, ["page_id", "url", "html"])
     assert len(got) == len(CUT) and got == expected
+
+
+def test_latest_poll_of_equal_shares(spark, tmp_path):
+    day = pd.Timestamp("2024-03-01 10:00:00")
+    ids = [(k * 7) % 40 for k in range(40)]
+    rows = [(k, day, 9, "click", 150.0, "{}") for k in ids]
+    got, expected = both(spark, "w05_j09_latest_poll", tmp_path, "events", rows, ["event_id", "ts", "user_id", "event_type", "value", "payload"])
+    assert [r[-1] for r in got] == [0, 1, 2, 3, 4] and got == expected

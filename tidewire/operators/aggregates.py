@@ -116,9 +116,9 @@ def poll_variation(results: DataFrame) -> DataFrame:
 
 
 def latest_poll(results: DataFrame, n: int = 5) -> DataFrame:
-    """Top results of the newest poll."""
+    """Top results of the newest poll; equal shares follow by candidate, then by ordinal."""
     last = results.groupBy().agg(F.max(F.struct("published_at", "poll")).alias("l"))
-    return results.crossJoin(F.broadcast(last)).where((F.col("poll") == F.col("l.poll")) & (F.col("published_at") == F.col("l.published_at"))).withColumn("pct", F.greatest(F.lit(0.0), F.least(F.lit(100.0), "pct"))).drop("l").orderBy(F.desc("pct"), "candidate").limit(n)
+    return results.crossJoin(F.broadcast(last)).where((F.col("poll") == F.col("l.poll")) & (F.col("published_at") == F.col("l.published_at"))).withColumn("pct", F.greatest(F.lit(0.0), F.least(F.lit(100.0), "pct"))).drop("l").orderBy(F.desc("pct"), "candidate", "ordinal").limit(n)
 
 
 def relevance_histogram(df: DataFrame, score: str = "relevance_score") -> DataFrame:
