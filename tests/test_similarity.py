@@ -55,3 +55,11 @@ def test_copies_and_a_hot_term_bring_no_pairs(spark, monkeypatch):
     assert len(got) == 2000 and len({r.narrative_cluster_id for r in got}) == 1
     # the hot term stands in 300 texts of one bucket, the copies are 2000 rows of one class
     assert seen["met"] == 0 and max(n for name, n in seen.items() if name != "tf") <= 3000
+
+
+def test_clusters_meet_packed_vectors(spark, monkeypatch):
+    """A class is one row of vectors, so a candidate pair is one row too, not one for each of its terms."""
+    seen = counted(monkeypatch)
+    rows = list(rows_of(3, 120))
+    assert K.narrative_clusters(spark.createDataFrame(rows, KIND)).count()
+    assert 0 < seen["tfidf"] <= len({r[1] for r in rows})
