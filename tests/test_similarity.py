@@ -1,6 +1,8 @@
 import datetime as dt
+import itertools
+import math
 import random
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import pytest
 
@@ -63,3 +65,27 @@ def test_clusters_meet_packed_vectors(spark, monkeypatch):
     rows = list(rows_of(3, 120))
     assert K.narrative_clusters(spark.createDataFrame(rows, KIND)).count()
     assert 0 < seen["tfidf"] <= len({r[1] for r in rows})
+
+
+def test_pairs_of_packed_vectors_match_brute_force(spark, monkeypatch):
+    seen = counted(monkeypatch)
+    rows = list(rows_of(4, 150))
+    tf = {}
+    for key, title, *_ in rows:
+        words = f"{title} {title}".split()
+        tf[key] = Counter(words + [f"{a} {b}" for a, b in zip(words, words[1:])])
+    df = Counter(t for terms in tf.values() for t in terms)
+    vectors = {}
+    for key, terms in tf.items():
+        x = {t: n * (math.log((1 + len(tf)) / (1 + df[t])) + 1) for t, n in terms.items()}
+        norm = math.sqrt(sum(w * w for w in x.values()))
+        vectors[key] = {t: w / norm for t, w in x.items()}
+    at = {r[0]: r[4] for r in rows}
+    want = {}
+    for a, b in itertools.combinations(sorted(tf), 2):
+        cosine = sum(w * vectors[b].get(t, 0.0) for t, w in vectors[a].items())
+        if cosine >= 0.75 - 1e-12 and (at[a] is None or at[b] is None or abs(at[a] - at[b]) <= dt.timedelta(hours=48)):
+            want[a, b] = round(cosine, 9)
+    got = {(r.a, r.b): round(r.cosine, 9) for r in K.cosine_pairs(spark.createDataFrame(rows, KIND).repartition(4)).collect()}
+    assert len(want) > 100 and got == want
+    assert 0 < seen["tfidf"] <= len({r[1] for r in rows})
