@@ -38,6 +38,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near-duplicates, by five-word shingles of similarity 0.8: that with the smallest id.
+    Candidates share a SimHash class by deletion-variant signatures or a MinHash band; whole shingle sets decide.
     Null, empty and blank texts are one class; rows of one id with different texts are documents of their own,
     rows of one id and one text are one; a null id comes last."""
     return keep_first(docs).select(*COLUMNS)

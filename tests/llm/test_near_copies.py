@@ -1,7 +1,10 @@
 import random
 
+import numpy as np
+
 import corpus_pipeline
 from tidewire.llm import near_copies as N
+from tidewire.llm import simhash
 
 
 def grams(text):
@@ -82,3 +85,15 @@ def test_stage_keeps_one_of_near_copies(spark):
     rows = [(k, t, "en", "s", len(t or "")) for k, t in texts.items()]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     assert sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()) == sorted(set(brute(texts).values()))
+
+
+def test_fingerprints_alone_find_close_copies(spark, monkeypatch):
+    """Where no MinHash band meets, sets whose fingerprints are within three bits are still compared, and only similar ones linked."""
+    monkeypatch.setattr(N, "bands", lambda hashes: [int(np.bitwise_xor.reduce(hashes).view(np.int64))])
+    r = random.Random(11)
+    words = [f"w{r.randrange(3000)}" for _ in range(3000)]
+    texts = {1: " ".join(words), 2: " ".join([*words, "last"]), 3: " ".join(f"y{r.randrange(3000)}" for _ in range(3000))}
+    sims = [simhash.fingerprint_of(N.shingles(t)) for t in texts.values()]
+    assert (sims[0] ^ sims[1]).bit_count() <= 3 < (sims[0] ^ sims[2]).bit_count()
+    got = N.near_copies(spark.createDataFrame(list(texts.items()), "doc_id long, text string").coalesce(1)).collect()
+    assert {x.doc_id: x.component_id for x in got} == {1: 1, 2: 1, 3: 3} == brute(texts)

@@ -1,6 +1,8 @@
-"""Near copies by word shingles: MinHash bands find candidates, exact Jaccard similarity decides.
+"""Near copies by word shingles: SimHash classes and MinHash bands find candidates, exact Jaccard similarity decides.
 
-A text is the set of its ``SHINGLE``-word shingles, by 64-bit hashes. Equal sets count once. Each distinct set has
+A text is the set of its ``SHINGLE``-word shingles, by 64-bit hashes. Equal sets count once. Each distinct set has a
+fingerprint, and the fingerprints are classed by the deletion-variant signatures of ``simhash``: sets whose fingerprints are
+linked over at most three bits share a key. As sets of similarity 0.8 differ in about 10 of 64 bits, each set has besides
 ``BANDS`` keys of ``ROWS`` MinHash values; two sets of similarity s share none with probability (1 - s^ROWS)^BANDS, which
 at 0.8 is 3.2e-6. Groups of one key with the same members are read once, and inside a group pairs are verified on the
 whole sets, as a spanning forest. Of a group of more than ``GROUP`` sets all are compared with one first, in as many tasks
@@ -21,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidewire.llm import simhash
 from tidewire.operators.graph import connected_components
 from tidewire.session import stored
 
@@ -67,7 +70,8 @@ _FACTORS = _factors()
 
 
 def _sets(docs: DataFrame, key: str, text: str, shingle: int, whole: bool) -> DataFrame:
-    """``(key, fp, keys)`` of every row: fp stands for the set; ``keys`` are its bands, or if ``whole`` its hashes."""
+    """``(key, fp, sim, keys)`` of every row: fp stands for the set, sim is its fingerprint (0 if ``whole``); ``keys`` are its
+    bands, or if ``whole`` its hashes."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -78,10 +82,11 @@ def _sets(docs: DataFrame, key: str, text: str, shingle: int, whole: bool) -> Da
                 found = [shingles(x, shingle) for x in part.column(1).to_pylist()]
                 fps = np.array([xxhash.xxh64_intdigest(x.tobytes(), SEED) for x in found], np.uint64).view(np.int64)
                 keys = [x.view(np.int64) for x in found] if whole else [bands(x) if len(x) else [] for x in found]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fps), pa.array(keys, pa.list_(pa.int64()))], names=["key", "fp", "keys"])
+                sims = np.array([0 if whole else simhash.fingerprint_of(x) for x in found], np.uint64).view(np.int64)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fps), pa.array(sims), pa.array(keys, pa.list_(pa.int64()))], names=["key", "fp", "sim", "keys"])
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")).mapInArrow(run, f"key {kind}, fp bigint, keys array<bigint>")
+    return docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")).mapInArrow(run, f"key {kind}, fp bigint, sim bigint, keys array<bigint>")
 
 
 def forest(sets: list[np.ndarray], least: float, asks: np.ndarray) -> list[tuple[int, int]]:
@@ -162,7 +167,10 @@ def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", shingl
     """``(key, fp, component_id)`` for every row: the smallest key reachable over pairs of similarity ``least`` or more."""
     found = stored(_sets(docs, key, text, shingle, False), "bands")
     distinct = found.groupBy("fp").agg(F.min("key").alias("low"), F.any_value("keys").alias("keys"))
-    index = stored(distinct.select("fp", F.explode("keys").alias("band")), "index")
+    marks = stored(found.where(F.size("keys") > 0).select("fp", "sim").distinct(), "marks")
+    alike = simhash.linked(marks.select(F.col("sim").alias("fp")).distinct()).select(F.col("node").alias("sim"), "component")
+    alike = marks.join(alike.hint("merge"), "sim", "left").select("fp", F.xxhash64(F.lit("simhash"), F.coalesce("component", "sim")).alias("band"))
+    index = stored(distinct.select("fp", F.explode("keys").alias("band")).unionByName(alike), "index")
     groups = index.groupBy("band").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("fp")).alias("x"), F.bit_xor(F.hash("fp")).alias("y")).where("n > 1")
     chosen = groups.groupBy("n", "x", "y").agg(F.min("band").alias("band")).select("band", "n")
     members = stored(index.join(chosen.hint("merge"), "band"), "members")

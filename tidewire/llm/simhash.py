@@ -58,6 +58,14 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     return int(np.packbits(2 * counts > n).view(">u8")[0])
 
 
+def fingerprint_of(hashes: np.ndarray) -> int:
+    """Unsigned fingerprint of shingle hashes, each counted as often as it is given; 0 of none."""
+    counts = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), PART):
+        counts += np.unpackbits(hashes[at : at + PART].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * counts > len(hashes)).view(">u8")[0])
+
+
 def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """``(key, fp)`` for every row; fp is the fingerprint as a signed long."""
 
@@ -216,21 +224,28 @@ def _link(level: int):  # noqa: ANN202
     return run
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """``(key, fp, component_id)`` for every row: the smallest key reachable over links of at most three bits.
+def linked(distinct: DataFrame) -> DataFrame:
+    """``(node, component)`` of the distinct fingerprints ``fp`` that are within three bits of another one.
 
-    Only distinct fingerprints are indexed, so exact copies, however many, cost one entry. Shuffled per distinct
-    fingerprint: 64 rows of two longs.
+    Shuffled per fingerprint: 64 rows of two longs.
     """
-    fps = stored(fingerprints(docs, key, text, shingle), "fingerprints")
-    distinct = fps.groupBy("fp").agg(F.min("key").alias("low"))
     index = distinct.select("fp", F.explode(_keys_first()).alias("key")).select("key", "fp")
     found = stored(index.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(_link(1), "kind tinyint, a bigint, b bigint"), "links")
     second = found.where("kind = 1").select(F.col("a").alias("key"), F.col("b").alias("fp"))
     second = second.select("key", F.explode(_keys_second()).alias("sub"), "fp")
     more = second.repartition("key", "sub").sortWithinPartitions("key", "sub", "fp").mapInArrow(_link(2), "kind tinyint, a bigint, b bigint")
     links = found.where("kind = 0").unionByName(more).select("a", "b")
-    classes = connected_components(links, "a", "b").select(F.col("node").alias("fp"), "component")
+    return connected_components(links, "a", "b")
+
+
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE) -> DataFrame:
+    """``(key, fp, component_id)`` for every row: the smallest key reachable over links of at most three bits.
+
+    Only distinct fingerprints are indexed, so exact copies, however many, cost one entry.
+    """
+    fps = stored(fingerprints(docs, key, text, shingle), "fingerprints")
+    distinct = fps.groupBy("fp").agg(F.min("key").alias("low"))
+    classes = linked(distinct).select(F.col("node").alias("fp"), "component")
     labelled = distinct.join(classes.hint("merge"), "fp", "left").select("fp", "low", F.coalesce("component", "fp").alias("component"))
     lows = labelled.groupBy("component").agg(F.min("low").alias("component_id"))
     ids = labelled.join(lows.hint("merge"), "component").select("fp", "component_id")
