@@ -184,3 +184,15 @@ def test_lines_that_articles_repeat_stay(spark):
     for i in range(7):
         assert got[i] == f"Title {i}\nBy our staff\nBody of {i}\nSources agree on this point."
     assert got[9] == got[3] and len(got[10]) > 500_000
+
+
+def test_marked_pages_are_aligned(spark):
+    """Blocks of marked pages stand at nodes of their trees; the slots that marked articles fill are content, others still judged."""
+    page = lambda k, tag: f"<html><body><{tag} class='story'><h1>Title {k}</h1><div>By our staff</div><p>Body {k} of it</p></{tag}></body></html>"
+    nodes = [n for n, _, _ in H.parse(page(1, "article"))[1]]
+    assert min(nodes) >= 0 and len(set(nodes)) == 3
+    marked = [(k, "http://h.example/x", page(k, "article")) for k in range(6)]
+    plain = [(k, "http://g.example/x", page(k, "div")) for k in range(10, 16)]
+    got = texts(spark, [*marked, *plain])
+    assert all(got[k] == f"Title {k}\nBy our staff\nBody {k} of it" for k in range(6))
+    assert all(got[k] == f"Title {k}\nBody {k} of it" for k in range(10, 16))

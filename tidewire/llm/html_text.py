@@ -10,8 +10,9 @@ blocks are all equal, count once, so what only they share stays. Elements that a
 notices, adverts, forms or comments by their tag or role are never content. A class or id says so only by a whole token of
 such words, and not of a wrapper that holds a main element, the page's longest article or over ``MOST`` of its text; tokens
 that merely contain such a word drop elements outside an article only while these hold at most ``LITTLE`` of the text.
-Where a page marks an article or main element, content lies inside it and is never template, however many pages of a
-host repeat it: a byline stays. Slots decide on pages that mark none.
+Pages that mark an article or main element go through the same alignment. On them content lies inside the mark, and the
+slots that it fills are content slots of the layout, on pages without a mark too: what fills them is never template, however
+many pages of a host repeat it, so a byline stays. All other slots are judged by their texts.
 
 Counts cover all pages and are combined before their shuffle; the parsed blocks are written once, and only hashes move.
 Distinct contents are counted for texts that fill a slot on enough pages, copies included, as no others can be template.
@@ -41,8 +42,6 @@ MOST, LITTLE = 0.5, 0.1
 ALIKE = 0.5
 #: Shape of a page too deep to be numbered.
 DEEP = "#deep"
-#: Node of every block of a page that marks its article or main element: no slot of a template.
-MARKED = -2
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*\"|'[^']*')*+|[^>]*)>", re.S)
 ATTR = re.compile(r"([a-zA-Z_:][-\w:.]*)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
@@ -137,6 +136,12 @@ def _settle(blocks: list[tuple[_Node, bool, tuple[_Node, ...], str]]) -> None:
 
 def parse(page: str | None) -> tuple[str, list[tuple[int, bool, str]]]:
     """``(shape, blocks)`` of a page: its collapsed tree, and (node, kept, text) of each text block in page order."""
+    shape, _, blocks = parse_marked(page)
+    return shape, blocks
+
+
+def parse_marked(page: str | None) -> tuple[str, bool, list[tuple[int, bool, str]]]:
+    """The same, with whether the page marks its article or main element; then only blocks inside it are kept."""
     text = page or ""
     root = _Node("#", "#", False, False)
     stack, blocks, run = [root], [], []
@@ -254,7 +259,7 @@ def parse(page: str | None) -> tuple[str, list[tuple[int, bool, str]]]:
         _number([root], -1)
         shape.append(DEEP)
     area = "article" if any(not d and "article" in a for _, d, a, _ in blocks) else "main" if any(not d and "main" in a for _, d, a, _ in blocks) else None
-    return " ".join(shape), [(n.number if area is None else MARKED, not drop and (area is None or area in areas), words) for n, drop, areas, words in blocks]
+    return " ".join(shape), area is not None, [(n.number, not drop and (area is None or area in areas), words) for n, drop, areas, words in blocks]
 
 
 def _depths(root: _Node) -> Iterator[range]:
@@ -341,13 +346,13 @@ def _parsed(pages: DataFrame, key: str, url: str, html: str) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                shapes, blocks = zip(*(parse(x) for x in part.column(3).to_pylist()), strict=True)
+                shapes, marked, blocks = zip(*(parse_marked(x) for x in part.column(3).to_pylist()), strict=True)
                 rows = [[{"node": n, "kept": k, "text": t} for n, k, t in b] for b in blocks]
-                yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(shapes), pa.array(rows, block)], names=["key", "url", "host", "shape", "blocks"])
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(shapes), pa.array(marked, pa.bool_()), pa.array(rows, block)], names=["key", "url", "host", "shape", "marked", "blocks"])
 
     host = F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"(?s)^.*?://([^/?#]*)", 1))
     rows = pages.select(F.col(key).alias("key"), F.col(url).alias("url"), host.alias("host"), F.col(html).cast("string").alias("html"))
-    return rows.mapInArrow(run, f"key {kind}, url string, host string, shape string, blocks array<struct<node:int,kept:boolean,text:string>>")
+    return rows.mapInArrow(run, f"key {kind}, url string, host string, shape string, marked boolean, blocks array<struct<node:int,kept:boolean,text:string>>")
 
 
 def _layouts(shapes: DataFrame) -> DataFrame:
@@ -399,27 +404,32 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str
     """``(key, url, text, n_chars, n_template)`` for every row: blocks of the main text joined by a line break."""
     parsed = stored(_parsed(pages, key, url, html), "blocks")
     shapes = parsed.groupBy("host", "shape").agg(F.count("*").alias("n"))
-    slots = stored(_aligned(_layouts(shapes)), "slots")
-    cells = F.transform(F.filter("blocks", lambda b: b.kept & (b.node != MARKED)), lambda b: F.struct(b.node.alias("node"), F.xxhash64(b.text).alias("h")))
+    slots = stored(_aligned(_layouts(shapes)).withColumn("sid", F.xxhash64("shape")).drop("shape"), "slots")
+    parsed = parsed.withColumn("sid", F.xxhash64("shape")).drop("shape")
+    cells = F.transform(F.filter("blocks", lambda b: b.kept), lambda b: F.struct(b.node.alias("node"), F.xxhash64(b.text).alias("h")))
     content = F.xxhash64(F.transform(F.filter("blocks", lambda b: b.kept), lambda b: b.text))
-    slim = parsed.select("host", "shape", F.explode(F.array_distinct(cells)).alias("c")).groupBy("host", "shape", "c").agg(F.count("*").alias("n"))
+    page = ["host", "sid", "marked"]
+    slim = parsed.select(*page, F.explode(F.array_distinct(cells)).alias("c")).groupBy(*page, "c").agg(F.count("*").alias("n"))
     slot = F.when(F.col("c.node") >= 0, F.get("slots", F.col("c.node"))).otherwise(-1)
-    filled = slim.join(slots.hint("merge"), ["host", "shape"]).select("host", "shape", "layout", "c", "n", slot.alias("slot"), F.col("c.h").alias("h"))
+    filled = stored(slim.join(slots.hint("merge"), ["host", "sid"]).select(*page, "layout", "c", "n", slot.alias("slot"), F.col("c.h").alias("h")), "filled")
     cell = ["host", "layout", "slot", "h"]
-    contents = parsed.select("host", "shape", content.alias("content")).distinct()
-    contents = contents.join(slots.select("host", "shape", "layout").hint("merge"), ["host", "shape"]).groupBy("host", "layout").agg(F.count_distinct("content").alias("contents"))
+    # the slots of marked content; -1 is no place that a page without a mark shares
+    held = filled.where("marked AND slot >= 0").select("host", "layout", "slot").distinct()
+    judged = filled.where("NOT (marked AND slot < 0)").join(stored(held, "held").hint("merge"), ["host", "layout", "slot"], "left_anti")
+    contents = parsed.select("host", "sid", content.alias("content")).distinct()
+    contents = contents.join(slots.select("host", "sid", "layout").hint("merge"), ["host", "sid"]).groupBy("host", "layout").agg(F.count_distinct("content").alias("contents"))
     # pages are no fewer than contents; written and read back, as below
-    often = filled.groupBy(*cell).agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST)
+    often = judged.groupBy(*cell).agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST)
     often = often.join(contents.hint("merge"), ["host", "layout"]).where(F.col("n") >= SHARE * F.col("contents")).select(*cell)
-    maybe = stored(filled.join(often.hint("merge"), cell).groupBy("host", "shape", "layout").agg(F.collect_list(F.struct("c", "slot")).alias("maybe")), "maybe")
+    maybe = stored(judged.join(often.hint("merge"), cell).groupBy(*page, "layout").agg(F.collect_list(F.struct("c", "slot")).alias("maybe")), "maybe")
     seen = F.filter("maybe", lambda m: F.array_contains("cells", m.c))
-    exact = parsed.select("host", "shape", cells.alias("cells"), content.alias("content")).join(maybe, ["host", "shape"]).select("host", "layout", "content", F.explode(F.transform(seen, lambda m: F.struct(m.slot.alias("slot"), m.c.h.alias("h")))).alias("m"))
+    exact = parsed.select(*page, cells.alias("cells"), content.alias("content")).join(maybe, page).select("host", "layout", "content", F.explode(F.transform(seen, lambda m: F.struct(m.slot.alias("slot"), m.c.h.alias("h")))).alias("m"))
     constant = exact.select("host", "layout", "m.slot", "m.h", "content").groupBy(*cell).agg(F.count_distinct("content").alias("n")).where(F.col("n") >= LEAST)
     constant = constant.join(contents.hint("merge"), ["host", "layout"]).where(F.col("n") >= SHARE * F.col("contents")).select(*cell)
-    listed = maybe.select("host", "shape", "layout", F.explode("maybe").alias("m")).select("host", "shape", "layout", "m.slot", F.col("m.c.h").alias("h"), "m.c")
-    template = listed.join(constant.hint("merge"), cell).groupBy("host", "shape").agg(F.collect_set("c").alias("template"))
+    listed = maybe.select(*page, "layout", F.explode("maybe").alias("m")).select(*page, "layout", "m.slot", F.col("m.c.h").alias("h"), "m.c")
+    template = listed.join(constant.hint("merge"), cell).groupBy(*page).agg(F.collect_set("c").alias("template"))
     # written and read back: its true size decides between a broadcast and a sort-merge join
-    joined = parsed.join(stored(template, "template"), ["host", "shape"], "left")
+    joined = parsed.join(stored(template, "template"), page, "left")
     is_template = lambda b: F.coalesce(F.array_contains("template", F.struct(b.node.alias("node"), F.xxhash64(b.text).alias("h"))), F.lit(False))
     kept = joined.withColumn("kept", F.transform(F.filter("blocks", lambda b: b.kept & ~is_template(b)), lambda b: b.text))
     text = F.array_join("kept", "\n")
