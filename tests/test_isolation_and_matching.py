@@ -84,3 +84,14 @@ def test_cluster_names_hash_sorted_members(spark):
     for c in range(5):
         members = sorted(n for n, k in rows if k == f"n{c}")
         assert got[f"n{c}"] == "cluster_" + hashlib.sha256("".join(members).encode()).hexdigest()[:8]
+
+
+def test_grams_that_no_pattern_has_are_not_shuffled(spark):
+    from tidewire.operators import matching
+
+    t = spark.createDataFrame([(f"texto numero {k} sem nada {k * 7919}",) for k in range(300)] + [("aqui vai o alvo",)], "text string")
+    p = spark.createDataFrame([("alvo",), ("ausente",), ("muito comprido",)], "value string")
+    keys = spark.createDataFrame([("alvo",), ("ausente",)], "key string")
+    bits = matching._possible(keys).first().bits
+    assert len(bits) == matching.BITS // 64 and sum((b & (1 << 64) - 1).bit_count() for b in bits) == 2
+    assert [x.text for x in containing(t, p).collect()] == ["aqui vai o alvo"]
