@@ -2,6 +2,8 @@
 
 from pyspark.sql import functions as F
 
+from tidewire.operators import lifecycle as L
+from tidewire.operators import similarity as K
 from tidewire.plans import jobs
 from tidewire.plans import tables as T
 
@@ -22,3 +24,18 @@ def test_clean_up_scores_each_row_once(spark):
     rows, n = counted(spark)
     out = jobs.clean_up(rows).select("ordinal", "status", "relevance_score", "duplicate_of").collect()
     assert len(out) > 100 and n.value == len(out)
+
+
+def test_clusters_read_each_text_once(spark):
+    rows, n = counted(spark)
+    assert K.narrative_clusters(rows).count()
+    assert n.value == rows.count()
+
+
+def test_decisions_shuffle_no_content(spark):
+    rows = T.articles(spark, "/root/testdata/sf0.001")
+    out = L.decide_clusters(rows, rows.where("narrative_cluster_id IS NOT NULL").select("id", "narrative_cluster_id")).select("ordinal", "status", "duplicate_of")
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    joined = plan[: plan.rindex("Join")]
+    assert "Join" in joined and "content#" not in joined.replace("length(content#", "")
+    assert {r.ordinal for r in out.where("duplicate_of IS NOT NULL").collect()}
