@@ -80,3 +80,21 @@ def test_rows_of_one_id_that_short_hashes_mix_up(spark):
         df = spark.createDataFrame([(1, two), (key, one), (key, two), (key, one), (key, None), (key, "")], "doc_id long, text string")
         got = sorted((x.doc_id or 99, x.text or "", x.n_removed) for x in drop_repeated_lines(df).collect())
         assert got == sorted([(1, two, 0), (key or 99, one, 0), (key or 99, one, 0), (key or 99, "", 1), (key or 99, "", 0), (key or 99, "", 0)])
+
+
+def test_ids_that_span_all_numbers(spark):
+    """Ids too far apart for numbers less the first are counted in order; a row without one comes last."""
+    ids = (-(1 << 63), -5, 3, (1 << 63) - 2, None)
+    df = spark.createDataFrame([(i, f"x y\tz\nonly{i} wÉ") for i in ids], "doc_id long, text string")
+    got = {x.doc_id: x.text for x in drop_repeated_lines(df).collect()}
+    assert got == {i: f"x y\tz\nonly{i} wÉ" if i == ids[0] else f"only{i} wÉ" for i in ids}
+
+
+def test_keys_are_compiled(spark):
+    """No lambda among the expressions that make the keys of the join, which are most of its rows."""
+    import tidewire.llm.line_dedup as L
+
+    heads = spark.createDataFrame([(1, 3, 0, 0, True, 2, [5, 6, 7])], "at long, n int, b1 long, b2 long, open boolean, keep int, p array<long>")
+    rows = L._rows(heads)
+    assert "lambda" not in rows._jdf.queryExecution().executedPlan().toString()
+    assert len({x.key for x in rows.collect()}) == 2
